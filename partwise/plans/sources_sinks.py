@@ -99,7 +99,7 @@ def s10(spark, d):
     path = scratch_path(spark, "tolerant")
     c = table(spark, d, "customer").select(
         F.col("c_custkey").cast("string").alias(" code "), F.col("c_name").alias(" name"), F.col("c_mktsegment").alias("segment "))
-    c.write.csv(path, header=True, sep="|", encoding="GBK")
+    c.write.csv(path, header=True, sep="|")
     return R.read_csv_tolerant(spark, path)
 
 
