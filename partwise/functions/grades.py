@@ -12,6 +12,10 @@ from partwise.functions.text import contains_any
 from partwise.rules import grades as G
 
 
+HITS = ("array<struct<detected:string,base:string,weight:double,category:string,grade:string,confidence:double,"
+        "removals:array<string>>>")
+
+
 def dictionary() -> list[tuple[str, tuple]]:
     """(keyword or lower-cased alias, grade row), longest first."""
     entries = {}
@@ -43,8 +47,9 @@ def grade_hits(name: Column) -> Column:
             F.lit(keyword).alias("detected"), F.lit(base).alias("base"), F.lit(weight).alias("weight"),
             F.lit(category).alias("category"), F.lit(grade).alias("grade"), F.least(confidence, F.lit(1.0)).alias("confidence"),
             F.array(*[F.lit(_removal_pattern(w)) for w in [keyword, *aliases]]).alias("removals"))))
-    hits = F.array_compact(F.array(*found))
-    return F.filter(hits, lambda h, i: ~F.exists(F.slice(hits, 1, i), lambda g: g["base"] == h["base"]))
+    # A fold, so that the searches run once and only the kept hits are looked at again.
+    return F.aggregate(F.array_compact(F.array(*found)), F.array().cast(HITS), lambda kept, h: F.when(
+        F.exists(kept, lambda k: k["base"] == h["base"]), kept).otherwise(F.concat(kept, F.array(h))))
 
 
 def weight_sum(hits: Column) -> Column:

@@ -17,14 +17,17 @@ def tokens(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
-def ngrams(words: Column, most: int) -> Column:
-    """All runs of 1..most consecutive words, joined by a space."""
-    def runs(k: int) -> Column:
-        start = F.sequence(F.lit(1), F.size(words) - (k - 1))
-        grams = F.transform(start, lambda i: F.array_join(F.slice(words, i, k), " "))
-        return F.when(F.size(words) >= k, grams).otherwise(F.array().cast("array<string>"))
-
-    return words if most == 1 else F.concat(words, *[runs(k) for k in range(2, most + 1)])
+def ngrams(words: Column, most: int) -> list[Column]:
+    """Runs of 1..most consecutive words joined by a space, one array per length.
+
+    ``words`` should be a plain column: each length zips shifted slices of it.
+    """
+    runs = [words]
+    for k in range(2, most + 1):
+        shifted = F.slice(words, F.lit(k), F.greatest(F.size(words) - (k - 1), F.lit(0)))
+        before = F.slice(runs[-1], F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0)))
+        runs.append(F.zip_with(before, shifted, lambda x, y: F.concat_ws(" ", x, y)))
+    return runs
 
 
 def strip(c: Column) -> Column:

@@ -22,9 +22,6 @@ class Vectoriser:
     longest: int = 1
     max_features: int | None = None
 
-    def terms(self, text: Column) -> Column:
-        return ngrams(tokens(text, self.pattern), self.longest)
-
 
 # The vectorisers of the matchers.
 BASELINE = Vectoriser(WORD2, 1)
@@ -51,14 +48,19 @@ def profile_key(fields: list[Column]) -> Column:
 
 def term_counts(prof: DataFrame, vectorisers: dict[str, Vectoriser]) -> DataFrame:
     """(pk, n, field, term, tf). Grouping by pk first makes this free of a further shuffle."""
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), v.terms(F.col(f)).alias("terms")) for f, v in vectorisers.items()])
-    exploded = prof.select("pk", "n", F.explode(per_field).alias("x")).select("pk", "n", "x.field", F.explode("x.terms").alias("term"))
+    per_field = F.array(*[
+        F.struct(F.lit(f).alias("field"), F.lit(v.longest).alias("longest"), tokens(F.col(f), v.pattern).alias("words"))
+        for f, v in vectorisers.items()])
+    words = prof.select("pk", "n", F.explode(per_field).alias("x")).select("pk", "n", "x.*")
+    runs = ngrams(F.col("words"), max(v.longest for v in vectorisers.values()))
+    none = F.array().cast("array<string>")
+    terms = F.concat(*[F.when(F.col("longest") >= k, r).otherwise(none) if k > 1 else r for k, r in enumerate(runs, 1)])
+    exploded = words.select("pk", "n", "field", F.explode(terms).alias("term"))
     return exploded.groupBy("pk", "field", "term").agg(F.count("*").alias("tf"), F.any_value("n").alias("n"))
 
 
-def vocabulary(prof: DataFrame, vectorisers: dict[str, Vectoriser]) -> DataFrame:
-    """(field, term, idf, rank) over the master profiles; rank orders terms from rare to frequent."""
-    counts = term_counts(prof, vectorisers)
+def vocabulary(counts: DataFrame, rows: DataFrame, vectorisers: dict[str, Vectoriser]) -> DataFrame:
+    """(field, term, df, idf) of the master's term counts; ``rows`` is the master, for its size."""
     stats = counts.groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum(F.col("tf") * F.col("n")).alias("cf"))
     limits = {f: v.max_features for f, v in vectorisers.items() if v.max_features}
     if limits:
@@ -68,16 +70,16 @@ def vocabulary(prof: DataFrame, vectorisers: dict[str, Vectoriser]) -> DataFrame
         cap = max(limits.values())
         ranked = stats.withColumn("by_cf", frequent).filter(F.col("by_cf") <= cap)
         stats = ranked.filter(F.col("by_cf") <= F.coalesce(limit[F.col("field")], F.lit(cap)))
-    total = prof.agg(F.sum("n").alias("rows"))
+    total = rows.agg(F.count("*").alias("rows"))
     idf = F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1
     return stats.crossJoin(F.broadcast(total)).select("field", "term", "df", idf.alias("idf"))
 
 
-def vectors(prof: DataFrame, vocab: DataFrame, vectorisers: dict[str, Vectoriser]) -> DataFrame:
+def vectors(counts: DataFrame, vocab: DataFrame, vectorisers: dict[str, Vectoriser]) -> DataFrame:
     """(pk, field, term, idf, w): normalised weights of the terms the vocabulary knows."""
     bounded = all(v.max_features for v in vectorisers.values())
     known = F.broadcast(vocab) if bounded else vocab  # at most max_features rows per field
-    raw = term_counts(prof, vectorisers).join(known, ["field", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
+    raw = counts.join(known, ["field", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.expr("sqrt(sum(raw * raw) OVER (PARTITION BY pk, field))")
     return raw.select("pk", "field", "term", "idf", (F.col("raw") / norm).alias("w"))
 

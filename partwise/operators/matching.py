@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions import tfidf as V
+from partwise.session import cut_lineage
 
 EPS = 1e-9
 # Weights of a fuzzy field and of the joined description.
@@ -35,11 +36,15 @@ class MatchConfig:
     def fields(self) -> list[str]:
         return [f"f{i}" for i in range(len(self.fuzzy))] + (["description"] if self.describe else [])
 
+    def compared(self) -> list[str]:
+        """Fields whose texts differ: the description of one field is that field."""
+        return ["f0"] if len(self.fuzzy) == 1 else self.fields()
+
     def weights(self) -> dict[str, float]:
         return {f: DESCRIPTION_WEIGHT if f == "description" else FIELD_WEIGHT for f in self.fields()}
 
     def vectorisers(self) -> dict[str, V.Vectoriser]:
-        return {f: self.vectoriser for f in self.fields()}
+        return {f: self.vectoriser for f in self.compared()}
 
 
 def _side(df: DataFrame, cfg: MatchConfig, which: int) -> tuple[DataFrame, dict[str, Column], list[str]]:
@@ -48,7 +53,7 @@ def _side(df: DataFrame, cfg: MatchConfig, which: int) -> tuple[DataFrame, dict[
     exact = [f"e{i}" for i in range(len(cfg.exact))]
     cols = [F.col(ident).alias("id")] + [blank(p[which]).alias(e) for e, p in zip(exact, cfg.exact)]
     texts = {f"f{i}": F.coalesce(F.col(p[which]).cast("string"), F.lit("")) for i, p in enumerate(cfg.fuzzy)}
-    if cfg.describe:
+    if "description" in cfg.compared():
         texts["description"] = F.concat_ws(" ", *texts.values())
     rows = df.select(*cols, *[c.alias(f) for f, c in texts.items()])
     return rows, {f: F.col(f) for f in texts}, exact
@@ -109,9 +114,12 @@ class Matcher:
         n_prof = V.profiles(self.n_rows, texts, self.exact)
         m_prof = V.profiles(self.m_rows, texts, self.exact)
         vec = cfg.vectorisers()
-        self.vocab = V.vocabulary(m_prof, vec)
-        self.n_vec = V.vectors(n_prof, self.vocab, vec)
-        self.m_vec = V.vectors(m_prof, self.vocab, vec)
+        # Texts are read and split once; every later step starts from these written counts.
+        m_counts = cut_lineage(V.term_counts(m_prof, vec))
+        n_counts = cut_lineage(V.term_counts(n_prof, vec))
+        self.vocab = cut_lineage(V.vocabulary(m_counts, self.m_rows, vec))
+        self.n_vec = V.vectors(n_counts, self.vocab, vec)
+        self.m_vec = V.vectors(m_counts, self.vocab, vec)
         self.n_exact = n_prof.select("pk", *self.exact)
         self.m_exact = m_prof.select("pk", *self.exact)
 
@@ -121,11 +129,13 @@ class Matcher:
 
     def score(self, pairs: DataFrame) -> DataFrame:
         """Per-field cosine of profile pairs: (n_pk, m_pk, s_<field>...)."""
-        fields = self.cfg.fields()
+        fields = self.cfg.compared()
         left = V.packed(self.n_vec, fields).withColumnsRenamed({"pk": "n_pk"} | {f"v_{f}": f"n_{f}" for f in fields})
         right = V.packed(self.m_vec, fields).withColumnsRenamed({"pk": "m_pk"} | {f"v_{f}": f"m_{f}" for f in fields})
         both = pairs.join(left, "n_pk").join(right, "m_pk")
-        return both.select("n_pk", "m_pk", *[V.dot(F.col(f"n_{f}"), F.col(f"m_{f}")).alias(f"s_{f}") for f in fields])
+        scored = both.select("n_pk", "m_pk", *[V.dot(F.col(f"n_{f}"), F.col(f"m_{f}")).alias(f"s_{f}") for f in fields])
+        same = [f for f in self.cfg.fields() if f not in fields]
+        return scored.withColumns({f"s_{f}": F.col("s_f0") for f in same})
 
     def candidates(self, threshold: float) -> DataFrame:
         """Profile pairs some field of which can reach the threshold; a weighted mean never exceeds its largest term."""
@@ -295,3 +305,28 @@ def history_recommendation(items: DataFrame, history: DataFrame, top: int = 3) -
     best = full.withColumn("rank", rank).filter(F.col("rank") <= top)
     return items.select(F.col("id").alias("item_id"), F.col("name").alias("n_name")).join(best, "n_name").select(
         "item_id", "category", "confidence", F.col("id").alias("history_id"), "rank")
+
+
+def expand_pairs(m: Matcher, scored: DataFrame) -> DataFrame:
+    """Profile pairs as pairs of row ids."""
+    n = _members(m.n_rows, m.texts, m.exact).select(F.col("pk").alias("n_pk"), F.col("id").alias("new_id"))
+    r = _members(m.m_rows, m.texts, m.exact).select(F.col("pk").alias("m_pk"), F.col("id").alias("master_id"))
+    return scored.join(n, "n_pk").join(r, "m_pk").drop("n_pk", "m_pk")
+
+
+def _exact_strategy(source, target, source_id, target_id, cfg):
+    return exact_code(source, target, source_id, target_id, "standard_code", "standard_code")
+
+
+def _text_strategy(source, target, source_id, target_id, cfg, threshold=0.5, top_n=5):
+    found = match(source, target, cfg, threshold, top_n)
+    return found.select(F.col("new_id").alias("source_id"), F.col("master_id").alias("target_id"),
+                        F.col("similarity").alias("confidence"), F.lit("text_similarity").alias("strategy"))
+
+
+# A strategy is a function of (source, target, source_id, target_id, cfg) giving (source_id, target_id, confidence, strategy).
+STRATEGIES = {"exact_code": _exact_strategy, "text_similarity": _text_strategy}
+
+
+def register_strategy(name: str, fn) -> None:
+    STRATEGIES[name] = fn
