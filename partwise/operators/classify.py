@@ -20,6 +20,7 @@ from partwise.operators.dedup import containment
 from partwise.rules import classification as R
 from partwise.rules import extraction as X
 from partwise.rules import training as TR
+from partwise.session import cut_lineage
 
 RUNS = r"[\x{4e00}-\x{9fff}]+|[a-zA-Z]+"
 RUNS2 = r"[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z]{2,}"
@@ -93,7 +94,7 @@ def unit_similarity(unit: Column, cat: Column) -> Column:
 
 
 ITEM_TEXTS = ["name", "spec", "unit", "dn", "pn", "material"]
-FILL = 20
+FILL = 32
 
 
 def _profiles(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,34 +117,49 @@ def _categories(categories: DataFrame) -> DataFrame:
                              _rule_ids(low, 2).alias("c_rules"))
 
 
+def _pool(cats: DataFrame) -> DataFrame:
+    """One row: the sampled and general categories, and the first FILL others by level and name."""
+    fixed = F.col("category").isin([*R.GENERAL, *R.SAMPLES])
+    listed = cats.filter(fixed).select("category").unionByName(cats.filter(~fixed).orderBy("level", "category").limit(FILL).select("category"))
+    return listed.agg(F.collect_list("category").alias("pool"))
+
+
 def _candidates(prof: DataFrame, cats: DataFrame) -> DataFrame:
-    """(pk, category) pairs that can be among an item's best five, without comparing all with all.
+    """(pk, category) pairs outside the pool that can be among an item's best five.
 
-    Pairs sharing a word, a rule or containment come from equi joins. Every other category scores
-    the same for an item, so of those only the first by level and name can appear; they, the
-    sampled and the general categories are a bounded list.
+    They share a word or a rule with the item, equal it, or one contains the other: all equi
+    joins. Any other category scores the same for an item, and of those only the first by level
+    and name can be listed, which is what the pool holds.
     """
     def by(left: str, right: str) -> DataFrame:
         return prof.select("pk", F.explode(left).alias("k")).join(cats.select("category", F.explode(right).alias("k")), "k").select("pk", "category")
 
     equal = prof.join(cats, F.col("low") == F.col("c_low")).select("pk", "category")
     names, targets = prof.select("low", "pk").filter("low <> ''"), cats.select("c_low", "category").filter("c_low <> ''")
-    inside = containment(names.select(F.col("low").alias("text_id"), F.col("low").alias("text")).distinct(), targets.select(F.col("c_low").alias("key")), 1)
-    around = containment(targets.select(F.col("c_low").alias("text_id"), F.col("c_low").alias("text")).distinct(), names.select(F.col("low").alias("key")), 1)
+    inside = containment(names.select(F.col("low").alias("text_id"), F.col("low").alias("text")).distinct(), targets.select(F.col("c_low").alias("key")))
+    around = containment(targets.select(F.col("c_low").alias("text_id"), F.col("c_low").alias("text")).distinct(), names.select(F.col("low").alias("key")))
     contained = (inside.select(F.col("text_id").alias("low"), F.col("key").alias("c_low")).unionByName(around.select(F.col("key").alias("low"), F.col("text_id").alias("c_low")))
                  .join(names, "low").join(targets, "c_low").select("pk", "category"))
-    fixed = F.col("category").isin([*R.GENERAL, *R.SAMPLES])
-    listed = cats.filter(fixed).select("category").unionByName(cats.filter(~fixed).orderBy("level", "category").limit(FILL).select("category"))
-    pool = listed.agg(F.collect_list("category").alias("pool"))  # at most FILL + the fixed names
-    filled = prof.select("pk").crossJoin(F.broadcast(pool)).select("pk", F.explode("pool").alias("category"))
-    parts = [by("runs", "c_runs"), by("words", "c_words"), by("rules", "c_rules"), equal, contained, filled]
+    parts = [by("runs", "c_runs"), by("words", "c_words"), by("rules", "c_rules"), equal, contained]
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
+def _pairs(prof: DataFrame, cats: DataFrame) -> DataFrame:
+    """Item profiles beside the categories worth scoring."""
+    listed = prof.crossJoin(F.broadcast(_pool(cats)))  # one row, at most FILL and the fixed names
+    near = listed.select(*prof.columns, F.explode("pool").alias("category"))
+    if cats.limit(FILL + 1).count() > FILL:
+        prof = cut_lineage(prof)
+        pool = prof.select("pk").crossJoin(F.broadcast(_pool(cats))).select("pk", F.explode("pool").alias("category"))
+        every = _candidates(prof, cats).unionByName(pool).distinct()
+        near = every.join(prof, "pk").select(*prof.columns, "category")
+    return near.join(cats, "category")
+
+
 def _scored(items: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, prof = _profiles(items)
     cats = _categories(categories)
-    both = _candidates(prof, cats).join(prof, "pk").join(cats, "category")
+    both = _pairs(prof, cats)
     samples = _sample_scores({k: F.col(f"in_{k}") for k in ("dn", "pn", "material")})
     best = {c: F.greatest(*s) if len(s) > 1 else s[0] for c, s in samples.items()}
     scored = both.withColumns({
@@ -230,7 +246,7 @@ def keyword_hits(items: DataFrame, rules: DataFrame, text: Column | None = None)
     """(text, rule columns...) for every rule keyword inside a distinct item text; ``rules`` has key and more."""
     texts = items.select((item_text() if text is None else text).alias("text")).distinct()
     low = rules.withColumn("low_key", F.lower("key"))
-    found = containment(texts.select(F.col("text").alias("text_id"), "text"), low.select(F.col("low_key").alias("key")), 1)
+    found = containment(texts.select(F.col("text").alias("text_id"), "text"), low.select(F.col("low_key").alias("key")))
     return found.select(F.col("text_id").alias("text"), F.col("key").alias("low_key")).join(low, "low_key").drop("low_key")
 
 
@@ -298,8 +314,8 @@ def maker_recommendation(items: DataFrame, mapping: DataFrame, history: DataFram
     """
     mine = items.filter(F.coalesce("manufacturer", F.lit("")) != "").select("item_id", F.col("manufacturer").alias("m"))
     names, known = mine.select("m").distinct(), mapping.filter("maker <> ''").select("maker").distinct()
-    a = containment(names.select(F.col("m").alias("text_id"), F.col("m").alias("text")), known.select(F.col("maker").alias("key")), 1)
-    b = containment(known.select(F.col("maker").alias("text_id"), F.col("maker").alias("text")), names.select(F.col("m").alias("key")), 1)
+    a = containment(names.select(F.col("m").alias("text_id"), F.col("m").alias("text")), known.select(F.col("maker").alias("key")))
+    b = containment(known.select(F.col("maker").alias("text_id"), F.col("maker").alias("text")), names.select(F.col("m").alias("key")))
     pairs = a.select(F.col("text_id").alias("m"), F.col("key").alias("maker")).unionByName(b.select(F.col("key").alias("m"), F.col("text_id").alias("maker"))).distinct()
     hit = pairs.join(mapping, "maker")
     rank = F.expr("row_number() OVER (PARTITION BY m ORDER BY maker, category)")

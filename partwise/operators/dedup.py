@@ -223,23 +223,39 @@ def member_rows(dup: Duplicates, groups: DataFrame) -> DataFrame:
     return dup.rows.join(groups.select("pk", "master"), "pk").select("master", "code", "source")
 
 
-def containment(texts: DataFrame, keys: DataFrame, shortest: int = 3) -> DataFrame:
-    """(text_id, key) wherever text contains key, as an equi join on the key's rarest three-letter piece.
+MANY_LENGTHS = 64
 
-    ``texts`` is (text_id, text), ``keys`` is (key). Keys shorter than three use all of
-    themselves; ``shortest`` says how short they get.
-    """
-    def pieces(c: str, k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(F.col(c), i, F.lit(k)))
 
+def _substrings(c: str, k: int) -> Column:
     none = F.array().cast("array<string>")
-    of_text = F.array_distinct(F.concat(*[F.when(F.length("text") >= k, pieces("text", k)).otherwise(none) for k in range(shortest, 4)]))
-    posts = texts.select("text_id", "text", F.explode(of_text).alias("piece"))
+    cut = F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(F.col(c), i, F.lit(k)))
+    return F.when(F.length(c) >= k, cut).otherwise(none)
+
+
+def containment(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text_id, key) wherever text contains key, as an equi join.
+
+    ``texts`` is (text_id, text), ``keys`` is (key). Names have few different lengths: a text then
+    gives its distinct substrings of those lengths and whole keys are joined. With more lengths
+    than ``MANY_LENGTHS`` the join is on the key's rarest piece instead, then checked.
+    """
+    wanted = keys.filter("key <> ''").select("key").distinct()
+    lengths = [r[0] for r in wanted.select(F.length("key")).distinct().limit(MANY_LENGTHS + 1).collect()]
+    if len(lengths) > MANY_LENGTHS:
+        return _containment_by_piece(texts, wanted)
+    if not lengths:
+        return texts.select("text_id").limit(0).join(wanted.limit(0), F.lit(True))
+    pieces = F.array_distinct(F.concat(*[_substrings("text", k) for k in sorted(lengths)]))
+    return texts.select("text_id", F.explode(pieces).alias("key")).join(wanted, "key").select("text_id", "key")
+
+
+def _containment_by_piece(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    posts = cut_lineage(texts.select("text_id", "text", F.explode(F.array_distinct(F.concat(*[_substrings("text", k) for k in (1, 2, 3)]))).alias("piece")))
     width = F.least(F.length("key"), F.lit(3))
     of_key = F.transform(F.sequence(F.lit(1), F.length("key") - width + 1), lambda i: F.substring(F.col("key"), i, width))
-    wanted = keys.filter(F.length("key") >= shortest).distinct().select("key", F.explode(F.array_distinct(of_key)).alias("piece"))
-    found = posts.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("df"))
-    anchor = wanted.join(found, "piece", "left").groupBy("key").agg(
+    parts = wanted.select("key", F.explode(F.array_distinct(of_key)).alias("piece"))
+    found = posts.join(parts.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("df"))
+    anchor = parts.join(found, "piece", "left").groupBy("key").agg(
         F.min_by("piece", F.struct(F.coalesce("df", F.lit(0)), F.col("piece"))).alias("piece"))
     return posts.join(anchor, "piece").filter(F.contains("text", F.col("key"))).select("text_id", "key").distinct()
 
