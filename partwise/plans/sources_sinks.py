@@ -7,6 +7,7 @@ from partwise.plans.registry import query
 from partwise.session import scratch_path, table
 from partwise.sources import readers as R
 from partwise.sources import writers as K
+from partwise.sources.adapters import load, register_adapter
 
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 SUPPLIER = "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"
@@ -198,3 +199,10 @@ def k06(spark, d):
     items = F.coalesce("results", F.array())
     shown = F.transform(items, lambda r: F.concat_ws(":", r["o_orderkey"], r["o_orderstatus"]))
     return back.select("session_id", "name", F.size(items).cast("bigint").alias("n_results"), F.array_join(shown, ",").alias("results"))
+
+
+@query("u03_source_adapter", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = 3")
+def u03(spark, d):
+    table(spark, d, "supplier").createOrReplaceTempView("pw_supplier")
+    register_adapter("suppliers_of", lambda s, nation: R.read_table(s, "pw_supplier", {"s_nationkey": nation}))
+    return load(spark, "suppliers_of", 3).select("s_suppkey", "s_name")

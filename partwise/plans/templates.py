@@ -1 +1,144 @@
+from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from partwise.functions import tfidf as V
+from partwise.operators import matching as J
+from partwise.operators import profiling as D
+from partwise.operators import templates as C
+from partwise.plans import tfidf_sql as S
+from partwise.plans.items import ITEMS, items
+from partwise.plans.mapping_profile import source_rows
+from partwise.plans.registry import query
+from partwise.plans.text_features import q
+from partwise.rules import templates as R
+from partwise.session import table
+
+COMBOS = [(["manufacturer", "specification"], 0.6), (["category", "manufacturer", "material_name"], 0.9)]
+# The item rows name one product each, so a rule counts from one keyword in five.
+RULES = [dict(r, threshold=0.2) if r["rule_type"] == "keyword" else r for r in C.template_rules("manufacturing", COMBOS)]
+FEAT = f"{ITEMS}, f AS (SELECT code AS item_id, name AS material_name, spec AS specification, category, manufacturer FROM items)"
+
+
+def features(spark, d):
+    return items(spark, d).select(F.col("code").alias("item_id"), F.col("name").alias("material_name"), F.col("spec").alias("specification"), "category", "manufacturer")
+
+
+def share(flags):
+    return "(" + " + ".join(f"CASE WHEN {x} THEN 1 ELSE 0 END" for x in flags) + f") * 1.0::DOUBLE / {len(flags)}"
+
+
+def rule_sql(kind: str | None = None) -> str:
+    out = []
+    for r in RULES:
+        if kind and r["rule_type"] != kind:
+            continue
+        text = "concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in r.get("fields", [])) + ")"
+        if r["rule_type"] == "keyword":
+            s, cond = share([f"contains(lower({text}), {q(k.lower())})" for k in r["keywords"]]), f">= {r['threshold']}"
+        elif r["rule_type"] == "pattern":
+            s, cond = share([f"regexp_matches({text}, {q('(?i)' + p)})" for p in r["patterns"]]), "> 0"
+        elif r["rule_type"] == "composite":
+            s, cond = share([f"{c} <> ''" for c in r["fields"]]), f">= {r['support']}"
+        else:
+            continue
+        one, two = (q(r["level1"]), q(r["level2"])) if "level1" in r else ("NULL", "NULL")
+        out.append(f"SELECT item_id, {q(r['rule_id'])} AS rule_id, {q(r['rule_type'])} AS rule_type, {s} AS score, {r['weight']}::DOUBLE AS weight, {r.get('boost', 0)}::DOUBLE AS boost, CAST({one} AS VARCHAR) AS level1, CAST({two} AS VARCHAR) AS level2 FROM f WHERE round({s}, 9) {cond}")
+    return " UNION ALL ".join(out)
+
+
+def register_kind(i: int, kind: str) -> None:
+    @query(f"c{i}_{kind}_rules", f"WITH {FEAT}, r AS ({rule_sql(kind)}) SELECT item_id, rule_id, round(score, 6) AS score, weight FROM r")
+    def one(spark, d):
+        got = C.apply_rules(features(spark, d), [r for r in RULES if r["rule_type"] == kind])
+        return got.select("item_id", "rule_id", F.round("score", 6).alias("score"), "weight")
+
+
+for _i, _kind in ((22, "keyword"), (23, "pattern"), (25, "composite")):
+    register_kind(_i, _kind)
+
+
+@query("c23_pattern_parameters", f"WITH {FEAT} SELECT item_id, nullif(regexp_extract(specification, '(?i)DN\\s*([0-9]+)', 1), '') AS diameter, nullif(regexp_extract(specification, '(?i)PN\\s*([0-9]+)', 1), '') AS pressure FROM f")
+def c23(spark, d):
+    return C.extract_parameters(features(spark, d), next(r for r in RULES if r["rule_type"] == "pattern"))
+
+
+COS = S.cosine("SELECT item_id AS id, text FROM benchmark", "SELECT doc_id AS id, text FROM documents", "SELECT count(*) FROM documents", V.FIELD_MATCH)
+
+
+@query("c24_similarity_rules", f"WITH {COS} SELECT new_id AS item_id, 's0' AS rule_id, round(max(s), 6) AS score, 0.25::DOUBLE AS weight FROM cos GROUP BY 1 HAVING max(s) >= 0.6")
+def c24(spark, d):
+    rule = next(r for r in RULES if r["rule_id"] == "s0")
+    cfg = J.MatchConfig("item_id", "doc_id", [("text", "text")], describe=False)
+    found = J.match(table(spark, d, "benchmark"), table(spark, d, "documents").select("doc_id", "text"), cfg, rule["threshold"], 1)
+    got = C.similarity_results(found.select(F.col("new_id").alias("item_id"), F.col("similarity").alias("score")), rule)
+    return got.select("item_id", "rule_id", F.round("score", 6).alias("score"), "weight")
+
+
+VOTED = f"""{FEAT}, r AS ({rule_sql()}), tot AS (SELECT item_id, count(*) AS k, least(1.0, sum(score * weight) / sum(weight) + sum(boost)) AS confidence FROM r GROUP BY 1),
+v AS (SELECT item_id, level1, level2, round(sum(score * weight), 9) AS s, min(rule_id) AS first FROM r WHERE level1 IS NOT NULL GROUP BY 1, 2, 3),
+vr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, first) AS rank FROM v),
+voted AS (SELECT f.item_id, coalesce(b.level1, '未分类') AS level1, coalesce(b.level2, CASE WHEN k IS NULL THEN '无匹配规则' ELSE '规则无分类' END) AS level2, coalesce(confidence, 0.0) AS confidence, coalesce(k, 0) AS rules_matched,
+ coalesce((SELECT string_agg(x.level2, '|' ORDER BY x.rank) FROM vr x WHERE x.item_id = f.item_id AND x.rank BETWEEN 2 AND 4), '') AS alternatives
+ FROM f LEFT JOIN tot USING (item_id) LEFT JOIN (SELECT * FROM vr WHERE rank = 1) b ON b.item_id = f.item_id)"""
+
+
+def voted(spark, d):
+    f = features(spark, d)
+    return C.vote(f, C.apply_rules(f, RULES))
+
+
+@query("c26_rule_vote", f"WITH {VOTED} SELECT item_id, level1, level2, round(confidence, 6) AS confidence, rules_matched, alternatives FROM voted")
+def c26(spark, d):
+    names = F.array_join(F.transform("alternatives", lambda x: x["level2"]), "|")
+    return voted(spark, d).withColumns({"confidence": F.round("confidence", 6), "alternatives": names})
+
+
+@query("c27_batch_run", f"""WITH {VOTED} SELECT 'manufacturing' AS industry, count(*) AS total, count(*) FILTER (WHERE rules_matched = 0) AS unmatched, round(avg(confidence), 6) AS average_confidence,
+ count(*) FILTER (WHERE confidence < 0.7) AS low_confidence_count FROM voted""")
+def c27(spark, d):
+    industry = D.recognise_industry(D.industry_scores(source_rows(spark, d)))
+    return C.batch_summary(voted(spark, d), industry).withColumn("average_confidence", F.round("average_confidence", 6))
+
+
+@query("c28_template_generation", f"""WITH {ITEMS}, long AS (SELECT '物料名称' AS field, name AS value FROM items UNION ALL SELECT '规格型号', spec FROM items UNION ALL SELECT '制造商', manufacturer FROM items),
+qf AS (SELECT count(*) FILTER (WHERE trim(value) <> '') * 1.0::DOUBLE / count(*) AS comp, greatest(0.0, 1 - count(DISTINCT regexp_replace(value, '[0-9]+', 'N', 'g')) * 1.0::DOUBLE / count(*)) AS cons FROM long GROUP BY field),
+o AS (SELECT avg(comp) * 0.6 + avg(cons) * 0.4 AS quality FROM qf)
+SELECT 'manufacturing_parts' AS template_id, round(CASE WHEN quality > 0.8 THEN 0.45 ELSE 0.35 END, 4)::DOUBLE AS name_weight, 0.7::DOUBLE AS threshold, {len(C.template_rules('manufacturing', COMBOS))} AS n_rules FROM o""")
+def c28(spark, d):
+    t = C.generate_template(D.source_schema(source_rows(spark, d), "parts"))
+    rules = C.rules_table(spark, C.template_rules("manufacturing", COMBOS)).agg(F.count("*").cast("int").alias("n_rules"))
+    return t.select("template_id", F.round(F.col("quality_weights")["name_matching"], 4).alias("name_weight"), F.round("confidence_threshold", 4).alias("threshold")).crossJoin(rules)
+
+
+PERF = """perf AS (SELECT 't' || user_id % 5 AS template_id, avg(CASE WHEN event_type <> 'error' THEN 1.0 ELSE 0.0 END)::DOUBLE * (0.8 + user_id % 5 * 0.08) AS accuracy, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id % 5)"""
+
+
+def performance(spark, d):
+    e = table(spark, d, "events").withColumn("g", F.pmod("user_id", F.lit(5)))
+    return e.groupBy("g").agg(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)).alias("a"), F.count_if(F.col("event_type") == "error").alias("errors")).select(
+        F.concat(F.lit("t"), "g").alias("template_id"), (F.col("a") * (0.8 + F.col("g") * 0.08)).alias("accuracy"), "errors")
+
+
+KINDS = {"keyword": 0.4, "similarity": 0.25, "pattern": 0.3}
+
+
+@query("c29_template_retune", f"WITH {PERF}, k(rule_type, weight) AS (VALUES " + ", ".join(f"('{k}', {w}::DOUBLE)" for k, w in KINDS.items()) + """)
+SELECT template_id, rule_type, round(weight * CASE WHEN accuracy < 0.7 AND rule_type = 'keyword' THEN 1.1 WHEN accuracy < 0.7 AND rule_type = 'similarity' THEN 0.9 ELSE 1 END, 6)::DOUBLE AS weight,
+ round(0.75 + CASE WHEN errors > 10 THEN 0.05 WHEN accuracy > 0.9 THEN -0.02 ELSE 0 END, 6)::DOUBLE AS confidence_threshold FROM perf, k""")
+def c29(spark, d):
+    perf = performance(spark, d)
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("rule_type"), F.lit(w).alias("weight")) for k, w in KINDS.items()])).alias("k")
+    rules = perf.select("template_id", kinds).select("template_id", "k.*")
+    thresholds = C.retune_threshold(perf.select("template_id", F.lit(0.75).alias("confidence_threshold")), perf)
+    return C.retune(rules, perf).join(thresholds.select("template_id", "confidence_threshold"), "template_id").select(
+        "template_id", "rule_type", F.round("weight", 6).alias("weight"), F.round("confidence_threshold", 6).alias("confidence_threshold"))
+
+
+@query("c29_templates_by_industry", """SELECT c_custkey AS template_id, c_mktsegment AS industry_type, c_acctbal AS last_updated FROM customer WHERE c_mktsegment = 'MACHINERY'""")
+def c29_list(spark, d):
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("template_id"), F.col("c_mktsegment").alias("industry_type"), F.col("c_acctbal").alias("last_updated"))
+    return C.by_industry(t, "MACHINERY")
+
+
+del R
