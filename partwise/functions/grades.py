@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,20 +36,27 @@ def _removal_pattern(word: str) -> str:
     return rf"(?iU)\b{k}\b|{k}(?=不锈钢|钢|合金)|(?<![a-z]){k}(?![a-z])"
 
 
-def grade_hits(name: Column) -> Column:
-    """One hit per base grade, found by its longest keyword: array of structs, longest keyword first."""
-    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
-    context = F.when(contains_any(low, G.CONTEXT_WORDS), 0.05).otherwise(0.0)
-    found = []
+@cache
+def _hits_sql() -> str:
+    """Every dictionary entry as a searched struct over the bound text ``low``; built once, parsed as one expression."""
+    context = f"CASE WHEN low RLIKE '{'|'.join(G.CONTEXT_WORDS)}' THEN 0.05D ELSE 0D END"
+    entries = []
     for keyword, (base, weight, category, grade, aliases) in dictionary():
-        confidence = F.lit(0.8) + F.when(F.contains(low, F.lit(keyword)), 0.1).otherwise(0.0) + context
-        found.append(F.when(low.rlike(_search_pattern(keyword)), F.struct(
-            F.lit(keyword).alias("detected"), F.lit(base).alias("base"), F.lit(weight).alias("weight"),
-            F.lit(category).alias("category"), F.lit(grade).alias("grade"), F.least(confidence, F.lit(1.0)).alias("confidence"),
-            F.array(*[F.lit(_removal_pattern(w)) for w in [keyword, *aliases]]).alias("removals"))))
+        removals = ", ".join(f"r'{_removal_pattern(w)}'" for w in [keyword, *aliases])
+        entries.append(
+            f"CASE WHEN low RLIKE r'{_search_pattern(keyword)}' THEN named_struct('detected', '{keyword}', 'base', '{base}', 'weight', {weight}D, "
+            f"'category', '{category}', 'grade', '{grade}', 'confidence', least(1D, 0.8D + CASE WHEN contains(low, '{keyword}') THEN 0.1D ELSE 0D END + {context}), "
+            f"'removals', array({removals})) END")
+    return f"array_compact(array({', '.join(entries)}))"
+
+
+def grade_hits(name: str) -> Column:
+    """One hit per base grade of the named column, found by its longest keyword: array of structs, longest keyword first."""
     # A fold, so that the searches run once and only the kept hits are looked at again.
-    return F.aggregate(F.array_compact(F.array(*found)), F.array().cast(HITS), lambda kept, h: F.when(
-        F.exists(kept, lambda k: k["base"] == h["base"]), kept).otherwise(F.concat(kept, F.array(h))))
+    return F.expr(f"""aggregate(
+        get(transform(array(lower(trim(coalesce({name}, '')))), low -> {_hits_sql()}), 0),
+        cast(array() AS {HITS}),
+        (kept, h) -> CASE WHEN exists(kept, k -> k.base = h.base) THEN kept ELSE concat(kept, array(h)) END)""")
 
 
 def weight_sum(hits: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partwise.functions.text import WORD, contains_any, first_contained, first_match, remove_all
+from partwise.functions.text import WORD, bind, contains_any, first_contained, first_match, remove_all
 from partwise.rules import manufacturing as MF
 from partwise.rules import medical as MD
 
@@ -102,13 +102,17 @@ def plain_maker(maker: Column, suffixes: list[str] = MF.MAKER_SUFFIXES) -> Colum
 
 def category_levels(text: Column, categories, level3) -> Column:
     """struct(level1, level2, level3) of the first category with a keyword in the text, case ignored."""
-    low = F.lower(text)
-    out = F.struct(F.lit(MF.UNCLASSIFIED).alias("level1"), F.lit(MF.UNCLASSIFIED).alias("level2"), F.lit(None).cast("string").alias("level3"))
-    for family, one, two, words in reversed(categories):
-        third = first_contained(low, level3[family]) if family in level3 else F.lit(None).cast("string")
-        hit = F.struct(F.lit(one).alias("level1"), F.lit(two).alias("level2"), third.alias("level3"))
-        out = F.when(contains_any(low, [w.lower() for w in words]), hit).otherwise(out)
-    return out
+    def pick(low: Column) -> Column:
+        none = F.lit(None).cast("string")
+        out = F.when(F.lit(False), F.struct(none.alias("level1"), none.alias("level2"), none.alias("level3")))
+        for family, one, two, words in categories:
+            third = first_contained(low, level3[family]) if family in level3 else none
+            hit = F.struct(F.lit(one).alias("level1"), F.lit(two).alias("level2"), third.alias("level3"))
+            out = out.when(contains_any(low, [w.lower() for w in words]), hit)
+        unknown = F.lit(MF.UNCLASSIFIED)
+        return out.otherwise(F.struct(unknown.alias("level1"), unknown.alias("level2"), none.alias("level3")))
+
+    return bind(F.lower(text), pick)
 
 
 # Medical

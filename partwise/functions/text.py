@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,8 +35,14 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once per row, however often ``fn`` mentions it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def contains_any(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words])
+    """One pass over the text for all words."""
+    return c.rlike("|".join(re.escape(w) for w in words))
 
 
 def first_contained(c: Column, rules: list[tuple[list[str], object]], default=None) -> Column:

@@ -37,13 +37,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
-def _rule_ids(c: Column, which: int) -> Column:
-    """Ids of the pair rules whose item word (1) or category word (2) the text contains."""
+def _rule_ids(column: str, which: int) -> Column:
+    """Ids of the pair rules whose item word (1) or category word (2) the named column contains."""
     by_word: dict[str, list[int]] = {}
     for i, rule in enumerate(PAIR_RULES):
         by_word.setdefault(rule[which], []).append(i)
-    none = F.array().cast("array<int>")
-    return F.concat(*[F.when(F.contains(c, F.lit(w)), F.array(*[F.lit(i) for i in ids])).otherwise(none) for w, ids in by_word.items()])
+    parts = [f"CASE WHEN contains({column}, '{w}') THEN array({', '.join(map(str, ids))}) ELSE cast(array() AS array<int>) END" for w, ids in by_word.items()]
+    return F.expr(f"concat({', '.join(parts)})")
 
 
 def _rule_scores() -> Column:
@@ -52,8 +52,8 @@ def _rule_scores() -> Column:
     for kind, w, r in PAIR_RULES:
         plain = R.FAMILY_SCORE if kind == "family" else R.SYNONYM_EXACT if (w, r) in R.EXACT_SYNONYMS else R.SYNONYM_SCORE
         exact = R.FAMILY_EXACT if kind == "family" else plain
-        out.append(F.struct(F.lit(plain).alias("plain"), F.lit(exact).alias("exact"), F.lit(w).alias("word"), F.lit(r).alias("target")))
-    return F.array(*out)
+        out.append(f"struct({plain}D AS plain, {exact}D AS exact, '{w}' AS word, '{r}' AS target)")
+    return F.expr(f"array({', '.join(out)})")
 
 
 def name_similarity(item: Column, cat: Column, item_runs: Column, cat_runs: Column, item_rules: Column, cat_rules: Column) -> Column:
@@ -101,20 +101,19 @@ def _profiles(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct item texts with what every comparison needs, computed once."""
     have = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in items.columns else F.lit("").alias(c) for c in ITEM_TEXTS]
     keyed = items.select("item_id", *have).withColumn("pk", profile_key([F.col(c) for c in ITEM_TEXTS]))
-    one = keyed.groupBy("pk").agg(*[F.any_value(c).alias(c) for c in ITEM_TEXTS])
-    low = F.lower(F.trim("name"))
+    one = keyed.groupBy("pk").agg(*[F.any_value(c).alias(c) for c in ITEM_TEXTS]).withColumn("low", F.lower(F.trim("name")))
     feats = spec_features(F.col("spec"), F.col("dn"), F.col("pn"), F.col("material"))
     with_input = {k: F.filter(F.concat(feats[k], F.array(F.lower(F.col(k)))), lambda v: v != "") for k in ("dn", "pn", "material")}
     return keyed.select("item_id", "pk"), one.select(
-        "pk", "name", "spec", "unit", low.alias("low"), runs(low, RUNS).alias("runs"), runs(F.concat_ws(" ", "name", "spec"), RUNS2).alias("words"),
-        _rule_ids(low, 1).alias("rules"), *[v.alias(f"in_{k}") for k, v in with_input.items()], *[feats[k].alias(f"x_{k}") for k in feats])
+        "pk", "name", "spec", "unit", "low", runs(F.col("low"), RUNS).alias("runs"), runs(F.concat_ws(" ", "name", "spec"), RUNS2).alias("words"),
+        _rule_ids("low", 1).alias("rules"), *[v.alias(f"in_{k}") for k, v in with_input.items()], *[feats[k].alias(f"x_{k}") for k in feats])
 
 
 def _categories(categories: DataFrame) -> DataFrame:
-    low = F.lower(F.trim("category"))
     text = F.concat_ws(" ", "category", F.coalesce("description", F.lit("")))
-    return categories.select("category", "level", low.alias("c_low"), runs(low, RUNS).alias("c_runs"), runs(text, RUNS2).alias("c_words"),
-                             _rule_ids(low, 2).alias("c_rules"))
+    named = categories.withColumn("c_low", F.lower(F.trim("category")))
+    return named.select("category", "level", "c_low", runs(F.col("c_low"), RUNS).alias("c_runs"), runs(text, RUNS2).alias("c_words"),
+                        _rule_ids("c_low", 2).alias("c_rules"))
 
 
 def _pool(cats: DataFrame) -> DataFrame:
@@ -205,7 +204,7 @@ def attributes(df: DataFrame) -> DataFrame:
 
 def material_classify(items: DataFrame, categories: DataFrame, top: int = 5) -> DataFrame:
     """rule_classify on the name without its grades, then the grade bonus and family points, capped at 100 and ranked again."""
-    hits = items.withColumn("hits", G.grade_hits(F.col("name")))
+    hits = items.withColumn("hits", G.grade_hits("name"))
     named = hits.withColumn("concept", G.core_concept(F.col("name"), F.col("hits")))
     clean = named.withColumn("name", F.when(F.coalesce("concept", F.lit("")) != "", F.col("concept")).otherwise(F.col("name"))).drop("hits", "concept")
     base = rule_classify(clean, categories, top).join(hits.select("item_id", "hits"), "item_id")

@@ -116,13 +116,13 @@ GRADE_SQL = "hits AS (" + " UNION ALL ".join(
 
 @query("e05_grade_hits", f"WITH {ITEMS}, {GRADE_SQL} SELECT code, detected, base, weight, category, grade, round(confidence, 4) AS confidence FROM bases")
 def e05(spark, d):
-    hits = items(spark, d).select("code", F.explode(G.grade_hits(F.col("name"))).alias("h"))
+    hits = items(spark, d).select("code", F.explode(G.grade_hits("name")).alias("h"))
     return hits.select("code", "h.detected", "h.base", "h.weight", "h.category", "h.grade", F.round("h.confidence", 4).alias("confidence"))
 
 
 @query("e06_core_concept")
 def e06(spark, d):
-    hits = items(spark, d).select("code", "name", G.grade_hits(F.col("name")).alias("hits"))
+    hits = items(spark, d).select("code", "name", G.grade_hits("name").alias("hits"))
     return hits.select("code", "name", G.core_concept(F.col("name"), F.col("hits")).alias("concept"))
 
 
@@ -136,7 +136,7 @@ SELECT i.code, round(CASE WHEN b.code IS NULL THEN 0 ELSE least(0.3, s
  + CASE WHEN ca AND {sql_any("i.category", GR.CATEGORY_BONUS[1][1])} THEN 0.08 ELSE 0 END) END::DOUBLE, 4) AS bonus
 FROM items i LEFT JOIN b USING (code)""")
 def e07(spark, d):
-    hits = items(spark, d).select("code", "category", G.grade_hits(F.col("name")).alias("hits"))
+    hits = items(spark, d).select("code", "category", G.grade_hits("name").alias("hits"))
     return hits.select("code", F.round(G.bonus(F.col("hits"), F.col("category")), 4).alias("bonus"))
 
 
