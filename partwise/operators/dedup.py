@@ -87,13 +87,19 @@ class Duplicates:
         scaled = self.vectors.withColumn("w", F.col("w") * scale[F.col("field")])
         tail = F.expr("""sqrt(sum(w * w) OVER (PARTITION BY pk ORDER BY idf DESC, field, term
                          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
-        posts = scaled.withColumn("tail", tail).join(self.profiles.select(*side), "pk")
+        # Other fields add at most their weights, and no tail exceeds the whole vector: frequent terms fall here.
+        rest = sum(w for k, w in R.WEIGHTS.items() if k not in VECTORISERS)
+        whole = sum(R.WEIGHTS[f] for f in VECTORISERS) ** 0.5
+        useful = scaled.withColumn("tail", tail).filter(F.col("tail") >= (threshold - rest - EPS) / whole)
+        posts = useful.join(self.profiles.select(*side), "pk")
         a, b = posts.alias("a"), posts.alias("b")
         filled = lambda c: (F.col(f"a.{c}") != "") & (F.col(f"b.{c}") != "")
         equal = lambda c: equal_filled(F.col(f"a.{c}"), F.col(f"b.{c}"))
-        most = (F.when(filled("maker"), R.WEIGHTS["maker"]).otherwise(0.0) + equal("type") * R.WEIGHTS["type"]
-                + equal("unit") * R.WEIGHTS["unit"] + attribute_similarity(F.col("a.attrs"), F.col("b.attrs")) * R.WEIGHTS["attributes"])
-        can_reach = F.col("a.tail") * F.col("b.tail") >= F.lit(threshold - EPS) - most
+        plain = (F.when(filled("maker"), R.WEIGHTS["maker"]).otherwise(0.0) + equal("type") * R.WEIGHTS["type"]
+                 + equal("unit") * R.WEIGHTS["unit"])
+        product, least = F.col("a.tail") * F.col("b.tail"), F.lit(threshold - EPS) - plain
+        shared = attribute_similarity(F.col("a.attrs"), F.col("b.attrs")) * R.WEIGHTS["attributes"]
+        can_reach = (product >= least - R.WEIGHTS["attributes"]) & (product >= least - shared)
         found = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.term") == F.col("b.term"))
                        & (F.col("a.node") < F.col("b.node")) & can_reach).select(
             F.col("a.pk").alias("a_pk"), F.col("b.pk").alias("b_pk")).distinct()
