@@ -7,7 +7,6 @@ from partwise.functions import tfidf as V
 from partwise.operators import classify as C
 from partwise.operators import matching as J
 from partwise.operators import reports as A
-from partwise.operators import training as T
 from partwise.plans import tfidf_sql as S
 from partwise.plans.items import ITEMS, MED_ITEMS, NOUN, items, med_items
 from partwise.plans.registry import query
@@ -390,6 +389,3 @@ def a10(spark, d):
     truth = i.select("item_id", F.col("category").alias("expected"), F.expr("CASE WHEN size % 3 = 0 THEN 'easy' WHEN size % 3 = 1 THEN 'medium' ELSE 'hard' END").alias("difficulty"))
     both = C.compare(C.rule_classify(i, c), C.material_classify(i, c)).join(truth, "item_id")
     return A.evaluation(both.withColumns({"original_correct": F.col("original_category") == F.col("expected"), "enhanced_correct": F.col("enhanced_category") == F.col("expected")}))
-
-
-del T

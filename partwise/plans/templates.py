@@ -11,7 +11,6 @@ from partwise.plans.items import ITEMS, items
 from partwise.plans.mapping_profile import source_rows
 from partwise.plans.registry import query
 from partwise.plans.text_features import q
-from partwise.rules import templates as R
 from partwise.session import table
 
 COMBOS = [(["manufacturer", "specification"], 0.6), (["category", "manufacturer", "material_name"], 0.9)]
@@ -139,6 +138,3 @@ def c29(spark, d):
 def c29_list(spark, d):
     t = table(spark, d, "customer").select(F.col("c_custkey").alias("template_id"), F.col("c_mktsegment").alias("industry_type"), F.col("c_acctbal").alias("last_updated"))
     return C.by_industry(t, "MACHINERY")
-
-
-del R

@@ -19,7 +19,7 @@ def write_file(df: DataFrame, path: str, fmt="csv", sep=",", mode="overwrite", n
     path = path.replace("{timestamp}", (now or datetime.now()).strftime("%Y%m%d_%H%M%S"))
     if fmt == "csv":
         first = df.columns[0]
-        out = df.withColumnRenamed(first, "﻿" + first) if bom else df
+        out = df.withColumnRenamed(first, "\ufeff" + first) if bom else df
         out.write.mode(mode).csv(path, header=True, sep=sep, encoding="UTF-8")
     elif fmt == "json":
         df.write.mode(mode).json(path)
