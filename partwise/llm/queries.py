@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import url_rules
+from partwise.llm import fingerprints, url_rules
 from partwise.llm.common import table
 from partwise.plans.registry import Query
 
@@ -43,3 +43,8 @@ SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LE
 def op7(spark, sf_dir):
     rules = spark.sql("SELECT * FROM VALUES %s AS r(action, host, path)" % VALUES)
     return url_rules.judge(table(spark, sf_dir, "pages"), rules, "page_id")
+
+
+@query("op6_simhash_fingerprints")
+def op6(spark, sf_dir):
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
