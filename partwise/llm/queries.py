@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import fingerprints, url_rules
+from partwise.llm import fingerprints, packing, url_rules
 from partwise.llm.common import table
 from partwise.plans.registry import Query
 
@@ -48,3 +48,16 @@ def op7(spark, sf_dir):
 @query("op6_simhash_fingerprints")
 def op6(spark, sf_dir):
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op10_best_fit_packing")
+def op10(spark, sf_dir):
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
