@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import fingerprints, packing, url_rules
+from partwise.llm import fingerprints, packing, simhash_tiles, url_rules
 from partwise.llm.common import table
 from partwise.plans.registry import Query
 
@@ -61,3 +61,9 @@ def tokenizer_path() -> str:
 def op10(spark, sf_dir):
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op9_simhash_near_duplicates")
+def op9(spark, sf_dir):
+    found = simhash_tiles.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
