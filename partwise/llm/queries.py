@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import fingerprints, mixing, packing, simhash_tiles, url_rules
-from partwise.llm.common import table
+from partwise.llm import fingerprints, language, mixing, packing, simhash_tiles, url_rules
+from partwise.llm.common import bucket_of, table
 from partwise.plans.registry import Query
 
 REGISTRY: dict[str, Query] = {}
@@ -96,3 +96,12 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 def op8(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, CAP, SCHEDULES)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = bucket_of("doc_id", 5) == 0
+    filters = language.learn(docs.filter(~held_out))
+    found = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), language.identify(filters, docs).alias("l"))
+    return found.select("doc_id", "held_out", "l.*")
