@@ -33,15 +33,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sampled_rows(rows: DataFrame, id_col: str, bound: int, by: str | None = None) -> DataFrame:
-    """About ``bound`` rows (of each value of ``by``), chosen by a hash of the id; all rows where there are fewer.
-
-    Counting combines before its shuffle and the choice is row-local, so a hot value costs nothing.
-    """
-    rows = rows.withColumn("_by", F.col(by).cast("string") if by else F.lit(""))
-    share = rows.groupBy("_by").agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count("*")).alias("_share"))
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(share, F.col("_by").eqNullSafe(share["_by"])).filter(draw < F.col("_share")).drop("_by", "_share")
+def sampled_rows(rows: DataFrame, id_col: str, bound: int) -> DataFrame:
+    """About ``bound`` rows, chosen by a hash of the id; all rows where there are fewer. The choice is row-local."""
+    share = min(1.0, bound / max(1, rows.count()))
+    return rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 20)) < share * (1 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

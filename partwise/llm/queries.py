@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import fingerprints, language, mixing, packing, simhash_tiles, url_rules
-from partwise.llm.common import bucket_of, table
+from partwise.llm import fingerprints, language, mixing, packing, quality, simhash_tiles, toxicity, url_rules
+from partwise.llm.common import bucket_of, table, written
 from partwise.plans.registry import Query
 
 REGISTRY: dict[str, Query] = {}
@@ -105,3 +105,20 @@ def op2(spark, sf_dir):
     filters = language.learn(docs.filter(~held_out))
     found = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), language.identify(filters, docs).alias("l"))
     return found.select("doc_id", "held_out", "l.*")
+
+
+@query("op3_toxicity_machine")
+def op3(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    machine = toxicity.learn(docs, labels.filter(bucket_of("doc_id", 5) != 0))
+    scored = docs.select("doc_id", F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), toxicity.toxicity(machine, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op4_quality_ridge")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    described = written(docs.select("doc_id", quality.statistics_column().alias("stats")), "statistics")
+    model = quality.learn(described, table(spark, sf_dir, "labels").filter(bucket_of("doc_id", 4) != 2))
+    scored = described.select("doc_id", F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), quality.quality(model, described).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
