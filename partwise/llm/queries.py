@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import fingerprints, language, mixing, packing, quality, simhash_tiles, toxicity, url_rules
+from partwise.llm import fingerprints, language, mixing, packing, pivots, quality, simhash_tiles, toxicity, url_rules
 from partwise.llm.common import bucket_of, table, written
 from partwise.plans.registry import Query
 
@@ -122,3 +122,8 @@ def op4(spark, sf_dir):
     model = quality.learn(described, table(spark, sf_dir, "labels").filter(bucket_of("doc_id", 4) != 2))
     scored = described.select("doc_id", F.coalesce(bucket_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), quality.quality(model, described).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op1_pivot_near_duplicates")
+def op1(spark, sf_dir):
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
