@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import fingerprints, language, mixing, packing, pivots, quality, simhash_tiles, toxicity, url_rules
+from partwise.llm import fingerprints, language, mixing, packing, pivots, quality, rollups, simhash_tiles, toxicity, url_rules
 from partwise.llm.common import bucket_of, table, written
 from partwise.plans.registry import Query
+from partwise.session import scratch_path
 
 REGISTRY: dict[str, Query] = {}
 
@@ -127,3 +128,33 @@ def op4(spark, sf_dir):
 @query("op1_pivot_near_duplicates")
 def op1(spark, sf_dir):
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH changed AS (
+  SELECT source, lang, coalesce(text, '') AS text,
+         CASE WHEN strpos(text, chr(10)) > 0 THEN left(text, length(text) - length(split_part(text, chr(10), -1)) - 1) ELSE coalesce(text, '') END AS final
+  FROM documents),
+kept AS (SELECT source, lang, final FROM changed WHERE length(final) >= 200)
+SELECT source, lang, tokenizer, count(*) AS docs, sum(n)::BIGINT AS tokens FROM (
+  SELECT source, lang, 'words-v1' AS tokenizer, len(regexp_extract_all(final, '[^\\x20\\x09-\\x0D]+')) AS n FROM kept
+  UNION ALL
+  SELECT source, lang, 'pieces-v2', len(regexp_extract_all(final, '[\\p{L}\\p{M}]+|\\p{N}+|[^\\p{L}\\p{M}\\p{N}\\x20\\x09-\\x0D]')) FROM kept)
+GROUP BY ALL
+"""
+
+
+@query("op5_token_rollups", OP5_SQL)
+def op5(spark, sf_dir):
+    """Three batches over the whole table: all documents arrive, those of several lines lose the last one, short ones go; one comes twice."""
+    docs = table(spark, sf_dir, "documents").select("source", "lang", F.col("text").cast("string").alias("text"))
+    cut = F.when(F.instr("text", "\n") > 0, F.expr("left(text, length(text) - length(substring_index(text, '\n', -1)) - 1)")).otherwise(F.coalesce("text", F.lit("")))
+    none = F.lit(None).cast(rollups.STATE)
+    old, new = rollups.state(F.col("source"), F.col("lang"), F.col("text")), rollups.state(F.col("source"), F.col("lang"), cut)
+    several = docs.filter(F.instr("text", "\n") > 0)
+    batches = {1: docs.select(none.alias("before"), old.alias("after")), 2: several.select(old.alias("before"), new.alias("after")),
+               3: docs.filter(F.length(cut) < 200).select(new.alias("before"), none.alias("after"))}
+    store = rollups.Rollup(spark, scratch_path(spark, "rollup"))
+    for batch in (1, 2, 2, 3):
+        store.commit(batch, rollups.deltas(batches[batch], {"words-v1": rollups.words, "pieces-v2": rollups.pieces}))
+    return store.totals()
