@@ -121,3 +121,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     groups = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     of_print = nodes.join(groups, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
+
+
+def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
+    """The rows of ``documents`` whose id is the smallest of its component, one row per id; all columns stay.
+
+    Of repeated rows with one id any one stays. Rows without an id are kept only where no other
+    row of their component has one.
+    """
+    found = near_duplicates(documents, id_col, text_col, radius, words)
+    heads = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    return documents.join(heads, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
