@@ -39,10 +39,11 @@ def targets(sizes: Sequence[int], weights: Sequence[float], share: float, cap: f
 
 def segments(schedule: Schedule) -> list[tuple[float, float, float, float, float]]:
     """(begin, length, weight at begin, slope, share of the whole area before it) of each piece of a schedule."""
-    pieces = [(t0, t1 - t0, w0, w1) for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]) if t1 > t0]
+    knots = [(float(t), float(w)) for t, w in schedule]
+    pieces = [(t0, t1 - t0, w0, w1) for (t0, w0), (t1, w1) in zip(knots, knots[1:]) if t1 > t0]
     areas = [d * (w0 + w1) / 2 for _, d, w0, w1 in pieces]
     whole = sum(areas)
-    return [(t, d, w0 / whole, (w1 - w0) / d / whole, sum(areas[:i]) / whole) for i, (t, d, w0, w1) in enumerate(pieces)]
+    return [(t, d, w0 / whole, (w1 - w0) / d / whole, sum(areas[:i], 0.0) / whole) for i, (t, d, w0, w1) in enumerate(pieces)]
 
 
 def source_plan(spark: SparkSession, sizes: list[tuple[str | None, int]], weights: Sequence[float], share: float, cap: float,
@@ -56,7 +57,7 @@ def source_plan(spark: SparkSession, sizes: list[tuple[str | None, int]], weight
     rows = []
     for i, ((source, n), t) in enumerate(zip(ordered, wanted)):
         passes = math.floor(t / n) if n else 0
-        rows.append((source, n, t, passes, t - passes * n, segments(schedules[i % len(schedules)])))
+        rows.append((source, n, float(t), passes, float(t - passes * n), segments(schedules[i % len(schedules)])))
     return spark.createDataFrame(rows, "_s string, source_size long, target double, passes int, rest double, "
                                        "segments array<struct<t:double,d:double,w:double,slope:double,before:double>>")
 

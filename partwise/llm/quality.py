@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,7 +122,7 @@ def learn(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", stats
             for f in np.unique(fold):
                 at = fold == f
                 total[f] += np.hstack([z[at].T @ z[at], (z[at].T @ y[at])[:, None]])
-        yield pd.DataFrame({"part": [int(np.abs(total).sum() * 1e6) % 16], "s": [total.tobytes()]})
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 16], "s": [total.tobytes()]})
 
     def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(folds * k * (k + 1))
