@@ -94,7 +94,6 @@ def unit_similarity(unit: Column, cat: Column) -> Column:
 
 
 ITEM_TEXTS = ["name", "spec", "unit", "dn", "pn", "material"]
-FILL = 32
 
 
 def _profiles(items: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,19 +115,18 @@ def _categories(categories: DataFrame) -> DataFrame:
                         _rule_ids("c_low", 2).alias("c_rules"))
 
 
-def _pool(cats: DataFrame) -> DataFrame:
-    """One row: the sampled and general categories, and the first FILL others by level and name."""
+def _pool(cats: DataFrame, top: int) -> DataFrame:
+    """The sampled and general categories, and the first ``top`` others by level and name."""
     fixed = F.col("category").isin([*R.GENERAL, *R.SAMPLES])
-    listed = cats.filter(fixed).select("category").unionByName(cats.filter(~fixed).orderBy("level", "category").limit(FILL).select("category"))
-    return listed.agg(F.collect_list("category").alias("pool"))
+    return cats.filter(fixed).unionByName(cats.filter(~fixed).orderBy("level", "category").limit(top))
 
 
 def _candidates(prof: DataFrame, cats: DataFrame) -> DataFrame:
     """(pk, category) pairs outside the pool that can be among an item's best five.
 
     They share a word or a rule with the item, equal it, or one contains the other: all equi
-    joins. Any other category scores the same for an item, and of those only the first by level
-    and name can be listed, which is what the pool holds.
+    joins. All other categories score the same for an item, so of those only as many as are
+    asked for can be listed, the first by level and name, which is what the pool holds.
     """
     def by(left: str, right: str) -> DataFrame:
         return prof.select("pk", F.explode(left).alias("k")).join(cats.select("category", F.explode(right).alias("k")), "k").select("pk", "category")
@@ -143,22 +141,19 @@ def _candidates(prof: DataFrame, cats: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts).distinct()
 
 
-def _pairs(prof: DataFrame, cats: DataFrame) -> DataFrame:
-    """Item profiles beside the categories worth scoring."""
-    listed = prof.crossJoin(F.broadcast(_pool(cats)))  # one row, at most FILL and the fixed names
-    near = listed.select(*prof.columns, F.explode("pool").alias("category"))
-    if cats.limit(FILL + 1).count() > FILL:
-        prof = cut_lineage(prof)
-        pool = prof.select("pk").crossJoin(F.broadcast(_pool(cats))).select("pk", F.explode("pool").alias("category"))
-        every = _candidates(prof, cats).unionByName(pool).distinct()
-        near = every.join(prof, "pk").select(*prof.columns, "category")
-    return near.join(cats, "category")
+def _pairs(prof: DataFrame, cats: DataFrame, top: int) -> DataFrame:
+    """Item profiles beside the categories worth scoring: the pool, row-locally, and what is found for the item alone."""
+    prof, pool = cut_lineage(prof), _pool(cats, top)
+    row = pool.agg(F.collect_list(F.struct(*cats.columns)).alias("pool"))
+    listed = prof.crossJoin(F.broadcast(row)).select(*prof.columns, F.explode("pool").alias("c")).select(*prof.columns, "c.*")  # one row of at most ``top`` and the fixed names
+    found = _candidates(prof, cats).join(F.broadcast(pool.select("category")), "category", "left_anti")
+    return listed.unionByName(found.join(prof, "pk").join(cats, "category").select(*listed.columns))
 
 
-def _scored(items: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _scored(items: DataFrame, categories: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     rows, prof = _profiles(items)
     cats = _categories(categories)
-    both = _pairs(prof, cats)
+    both = _pairs(prof, cats, top)
     samples = _sample_scores({k: F.col(f"in_{k}") for k in ("dn", "pn", "material")})
     best = {c: F.greatest(*s) if len(s) > 1 else s[0] for c, s in samples.items()}
     scored = both.withColumns({
@@ -174,7 +169,7 @@ def _scored(items: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataFra
 def rule_classify(items: DataFrame, categories: DataFrame, top: int = 5) -> DataFrame:
     """Best categories per item. ``items``: item_id, name, spec, unit and optional dn, pn, material;
     ``categories``: category, level, description."""
-    rows, scored = _scored(items, categories)
+    rows, scored = _scored(items, categories, top)
     kept = scored.filter(F.col("similarity") > R.KEEP_ABOVE).withColumn("confidence", F.round(F.col("similarity") * 100, 1))
     c = F.col("confidence")
     key = (F.when(F.col("category").isin(R.SPECIFIC) & (c > R.SPECIFIC_FROM), c + R.SPECIFIC_GAIN)
@@ -243,10 +238,10 @@ def item_text(spec_first: bool = False) -> Column:
 
 def keyword_hits(items: DataFrame, rules: DataFrame, text: Column | None = None) -> DataFrame:
     """(text, rule columns...) for every rule keyword inside a distinct item text; ``rules`` has key and more."""
-    texts = items.select((item_text() if text is None else text).alias("text")).distinct()
+    texts = items.select((item_text() if text is None else text).alias("text")).distinct().select(F.md5("text").alias("text_id"), "text")
     low = rules.withColumn("low_key", F.lower("key"))
-    found = containment(texts.select(F.col("text").alias("text_id"), "text"), low.select(F.col("low_key").alias("key")))
-    return found.select(F.col("text_id").alias("text"), F.col("key").alias("low_key")).join(low, "low_key").drop("low_key")
+    found = containment(texts, low.select(F.col("low_key").alias("key"))).join(texts, "text_id")
+    return found.select("text", F.col("key").alias("low_key")).join(low, "low_key").drop("low_key")
 
 
 def _back(items: DataFrame, per_text: DataFrame, text: Column | None = None) -> DataFrame:
@@ -422,14 +417,19 @@ def lexicon_scores(items: DataFrame, lex: DataFrame) -> DataFrame:
     return _back(items, per).select("item_id", "category", F.least(F.col("score"), F.lit(1.0)).alias("confidence"))
 
 
-def character_fallback(items: DataFrame, categories: DataFrame, level1: int = 5) -> DataFrame:
-    """Shared distinct characters (two or more) with the first level-1 names, as a share of the longer text; best three."""
-    first = categories.filter("level = 1").orderBy("category").limit(level1).agg(F.collect_list("category").alias("pool"))
-    chars = lambda c: F.array_distinct(F.split(F.lower(c), ""))
-    texts = items.select(item_text().alias("text")).distinct().crossJoin(F.broadcast(first))  # five names at most
-    pairs = texts.select("text", chars(F.col("text")).alias("chars"), F.explode("pool").alias("category"))
-    shared = F.size(F.array_intersect("chars", chars(F.col("category"))))
-    scored = pairs.withColumn("shared", shared).filter(F.col("shared") >= R.FALLBACK_SHARED).withColumns({
+def character_fallback(items: DataFrame, categories: DataFrame) -> DataFrame:
+    """Shared distinct characters (two or more) with every level-1 name, as a share of the longer text; best three.
+
+    Texts and names meet on pairs of characters they share, so a name with fewer than two in common is never formed.
+    """
+    chars = lambda c: F.array_sort(F.array_distinct(F.split(F.lower(c), "")))
+    twos = F.flatten(F.transform("chars", lambda a: F.transform(F.filter("chars", lambda b: b > a), lambda b: F.concat(a, b))))
+    texts = items.select(item_text().alias("text")).distinct().withColumn("chars", chars(F.col("text")))
+    names = categories.filter("level = 1").select("category").distinct().withColumn("chars", chars(F.col("category")))
+    left, right = texts.select(F.md5("text").alias("t"), F.explode(twos).alias("k")), names.select("category", F.explode(twos).alias("k"))
+    met = left.join(right, "k").select("t", "category").distinct()
+    pairs = met.join(texts.withColumn("t", F.md5("text")), "t").join(names.select("category", F.col("chars").alias("c_chars")), "category")
+    scored = pairs.withColumn("shared", F.size(F.array_intersect("chars", "c_chars"))).filter(F.col("shared") >= R.FALLBACK_SHARED).withColumns({
         "confidence": F.round(F.col("shared") / F.greatest(F.length("text"), F.length("category")), 9), "place": F.lit(0)})
     return _back(items, _top(scored.select("text", "category", "confidence", "place"), R.FALLBACK_TOP, "text").drop("place"))
 

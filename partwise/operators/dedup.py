@@ -229,63 +229,55 @@ def member_rows(dup: Duplicates, groups: DataFrame) -> DataFrame:
     return dup.rows.join(groups.select("pk", "master"), "pk").select("master", "code", "source")
 
 
-MANY_LENGTHS = 64
+PIECE = 3
 
 
-def _substrings(c: str, k: int) -> Column:
+def _pieces(c: Column) -> Column:
+    """Distinct substrings of one to three characters."""
     none = F.array().cast("array<string>")
-    cut = F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(F.col(c), i, F.lit(k)))
-    return F.when(F.length(c) >= k, cut).otherwise(none)
+    cut = lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(c, i, F.lit(k)))).otherwise(none)
+    return F.array_distinct(F.concat(*[cut(k) for k in range(1, PIECE + 1)]))
 
 
 def containment(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(text_id, key) wherever text contains key, as an equi join.
+    """(text_id, key) wherever text contains key, as an equi join on the key's rarest piece.
 
-    ``texts`` is (text_id, text), ``keys`` is (key). Names have few different lengths: a text then
-    gives its distinct substrings of those lengths and whole keys are joined. With more lengths
-    than ``MANY_LENGTHS`` the join is on the key's rarest piece instead, then checked.
+    ``texts`` is (text_id, text) with one row per id, ``keys`` is (key). A text gives its pieces of
+    up to three characters beside its id alone; pieces that no key has are dropped at once, a
+    key is looked up under the one that fewest texts have, and what is found is checked against
+    the text.
     """
     wanted = keys.filter("key <> ''").select("key").distinct()
-    lengths = [r[0] for r in wanted.select(F.length("key")).distinct().limit(MANY_LENGTHS + 1).collect()]
-    if len(lengths) > MANY_LENGTHS:
-        return _containment_by_piece(texts, wanted)
-    if not lengths:
-        return texts.select("text_id").limit(0).join(wanted.limit(0), F.lit(True))
-    pieces = F.array_distinct(F.concat(*[_substrings("text", k) for k in sorted(lengths)]))
-    return texts.select("text_id", F.explode(pieces).alias("key")).join(wanted, "key").select("text_id", "key")
-
-
-def _containment_by_piece(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    posts = cut_lineage(texts.select("text_id", "text", F.explode(F.array_distinct(F.concat(*[_substrings("text", k) for k in (1, 2, 3)]))).alias("piece")))
-    width = F.least(F.length("key"), F.lit(3))
+    width = F.least(F.length("key"), F.lit(PIECE))
     of_key = F.transform(F.sequence(F.lit(1), F.length("key") - width + 1), lambda i: F.substring(F.col("key"), i, width))
     parts = wanted.select("key", F.explode(F.array_distinct(of_key)).alias("piece"))
-    found = posts.join(parts.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("df"))
-    anchor = parts.join(found, "piece", "left").groupBy("key").agg(
-        F.min_by("piece", F.struct(F.coalesce("df", F.lit(0)), F.col("piece"))).alias("piece"))
-    return posts.join(anchor, "piece").filter(F.contains("text", F.col("key"))).select("text_id", "key").distinct()
+    posts = texts.select("text_id", F.explode(_pieces(F.col("text"))).alias("piece")).join(parts.select("piece").distinct(), "piece", "left_semi")
+    counts = posts.groupBy("piece").agg(F.count("*").alias("df"))
+    anchor = parts.join(counts, "piece").groupBy("key").agg(F.min_by("piece", F.struct("df", "piece")).alias("piece"), F.count("*").alias("known"))
+    # A key with a piece that no text has is in none.
+    whole = parts.groupBy("key").agg(F.count("*").alias("known"))
+    found = posts.join(anchor.join(whole, ["key", "known"]).select("key", "piece"), "piece").select("text_id", "key")
+    return found.join(texts, "text_id").filter(F.contains("text", F.col("key"))).select("text_id", "key")
 
 
-def enrich_groups(decided: DataFrame, master_rows: DataFrame, catalog: DataFrame, rows_seen: int = 10) -> DataFrame:
+def enrich_groups(decided: DataFrame, master_rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """Look each group's master up in the catalog: its name or spec inside a catalog name or spec.
 
-    ``master_rows`` is (master, name, spec), ``catalog`` is (id, name, spec, category). The
-    first ``rows_seen`` hits by id count; one distinct category among them raises the score
-    and proposes merging into it. Blank text looks nothing up.
+    ``master_rows`` is (master, name, spec), ``catalog`` is (id, name, spec, category). One
+    distinct category over all hits raises the score and proposes merging into it. Blank text
+    looks nothing up. The catalog is reduced to distinct (text, category) first, so neither
+    copies of a text nor a master's number of hits are ever listed.
     """
-    hits = None
+    cats = None
     for c in ("name", "spec"):
         keys = master_rows.filter(F.col(c) != "").select(F.col(c).alias("key"), "master")
-        distinct = catalog.groupBy(F.col(c).alias("text")).agg(F.min("id").alias("text_id"))
-        got = containment(distinct.select("text_id", "text"), keys.select("key")).join(distinct, "text_id").join(keys, "key")
-        # One catalog text stands for many rows; the first ten of each are all that can count.
-        place = F.expr(f"row_number() OVER (PARTITION BY {c} ORDER BY id)")
-        few = catalog.withColumn("at", place).filter(F.col("at") <= rows_seen).select(F.col(c).alias("text"), "id", "category")
-        part = got.select("master", "text").join(few, "text").select("master", "id", "category")
-        hits = part if hits is None else hits.unionByName(part)
-    rank = F.expr("row_number() OVER (PARTITION BY master ORDER BY id)")
-    first = hits.distinct().withColumn("r", rank).filter(F.col("r") <= rows_seen)
-    cats = first.groupBy("master").agg(F.array_sort(F.collect_set("category")).alias("existing_categories"))
+        of_text = catalog.filter(F.col(c) != "").select(F.md5(c).alias("text_id"), F.col(c).alias("text"), "category")
+        known = of_text.select("text_id", "category").distinct()
+        got = containment(of_text.groupBy("text_id").agg(F.any_value("text").alias("text")), keys.select("key"))
+        per_key = got.join(known, "text_id").select("key", "category").distinct()
+        part = per_key.join(keys, "key").select("master", "category")
+        cats = part if cats is None else cats.unionByName(part)
+    cats = cats.groupBy("master").agg(F.array_sort(F.collect_set("category")).alias("existing_categories"))
     one = F.size("existing_categories") == 1
     out = decided.join(cats, "master", "left")
     return out.withColumns({

@@ -152,11 +152,12 @@ def integrated(classified: DataFrame, assessed: DataFrame, key: str) -> DataFram
         F.col("integrated") >= R.HIGH_CONFIDENCE, "high_confidence").when(F.col("integrated") >= R.MEDIUM_CONFIDENCE, "medium_confidence").otherwise("low_confidence"))
 
 
-def filtered_report(df: DataFrame, asof: Column, order: str, category: str | None = None, maker: str | None = None, limit: int = 1000) -> DataFrame:
+def filtered_report(df: DataFrame, asof: Column, order: str, category: str | None = None, maker: str | None = None, limit: int | None = None) -> DataFrame:
+    """The report over the rows of a category or maker: all of them, or the first ``limit`` by ``order``."""
     for name, value in (("category", category), ("manufacturer", maker)):
         if value is not None:
             df = df.filter(F.col(name) == value)
-    return report(assess(df.orderBy(order).limit(limit), asof))
+    return report(assess(df if limit is None else df.orderBy(order).limit(limit), asof))
 
 
 def stage_counts(df: DataFrame, classified: DataFrame, assessed: DataFrame, members: DataFrame, key: str, at: float = 0.6) -> DataFrame:

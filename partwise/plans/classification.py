@@ -64,7 +64,7 @@ UNIT_CASE = "CASE WHEN unit = '' THEN 0.5 ELSE CASE category " + " ".join(
     f"WHEN {q(c)} THEN " + (f"CASE WHEN unit IN ({', '.join(q(u) for u in us)}) THEN 1.0 ELSE 0.3 END" if us else "0.3") for c, us in C.sample_units().items()) + " ELSE 0.5 END END"
 
 
-def scored(src: str) -> str:
+def scored(src: str, top: int = 5) -> str:
     """CTEs from ``src`` (item_id, name, spec, unit) to ranked categories in ``ranked``."""
     feats = ", ".join(f"{sql_all('lower(spec)', [(p, 1) for p in X.SPEC_FEATURES[k]], '')} AS f_{k}" for k in ("dn", "pn", "material"))
     return f"""prof AS (SELECT DISTINCT name, spec, unit, lower(trim(name)) AS n, {runs('name', C.RUNS)} AS nr, {runs("name || ' ' || spec", C.RUNS2)} AS nw, {feats} FROM {src}),
@@ -75,7 +75,7 @@ parts4 AS (SELECT *, (CASE WHEN n = c THEN 1 WHEN contains(c, n) OR contains(n,
 tot AS (SELECT *, round(least(1.0, (0.8 * name_score + 0.1 * spec_score + 0.05 * unit_score + 0.05 * keyword_score) * CASE WHEN name_score > 0.9 THEN 1.2 ELSE 1 END), 9) AS sim FROM parts4),
 conf AS (SELECT *, round(sim * 100, 1) AS confidence FROM tot WHERE sim > 0.02),
 ranked0 AS (SELECT *, row_number() OVER (PARTITION BY name, spec, unit ORDER BY CASE WHEN category IN ({', '.join(q(x) for x in R.SPECIFIC)}) AND confidence > 50 THEN confidence + 20
-  WHEN category IN ({', '.join(q(x) for x in R.GENERAL)}) THEN confidence - 10 ELSE confidence END DESC, level, category) AS rank FROM conf QUALIFY rank <= 5),
+  WHEN category IN ({', '.join(q(x) for x in R.GENERAL)}) THEN confidence - 10 ELSE confidence END DESC, level, category) AS rank FROM conf QUALIFY rank <= {top}),
 ranked AS (SELECT i.item_id, r.* FROM {src} i JOIN ranked0 r USING (name, spec, unit))"""
 
 
@@ -98,6 +98,19 @@ def c05(spark, d):
     return C.rule_classify(it(spark, d), cats(spark, d)).select("item_id", "category", "confidence", "rank")
 
 
+WIDE_CATEGORIES = """SELECT category, min(level) AS level, '' AS description FROM (SELECT category, 2 AS level FROM {items} UNION ALL
+ SELECT noun || ' ' || brand, 3 FROM {nouns} UNION ALL SELECT type || ' ' || noun, 4 FROM {nouns} UNION ALL SELECT noun, 3 FROM {nouns}) GROUP BY category"""
+NOUNS = f"SELECT {NOUN} AS noun, p_brand AS brand, p_type AS type FROM "
+WIDE_BASE = f"{ITEMS}, nouns AS ({NOUNS} part), cats AS ({WIDE_CATEGORIES.format(items='items', nouns='nouns')})"
+
+
+@query("c05_rule_classifier_wide", f"WITH {WIDE_BASE}, {SRC}, {scored('src', 40)} SELECT item_id, category, confidence, CAST(rank AS INTEGER) AS rank FROM ranked")
+def c05_wide(spark, d):
+    """The rule classifier over some hundred categories, forty for each item."""
+    wide = spark.sql(WIDE_CATEGORIES.format(items="{items}", nouns="{nouns}"), items=items(spark, d), nouns=spark.sql(NOUNS + "{part}", part=table(spark, d, "part")))
+    return C.rule_classify(it(spark, d), wide, top=40).select("item_id", "category", "confidence", "rank")
+
+
 def joined_features(k):
     return f"array_to_string({sql_all('lower(spec)', [(p, 1) for p in X.SPEC_FEATURES[k]], '')}, ', ')"
 
@@ -369,7 +382,7 @@ CHARS = "list_distinct(string_split(lower({}), ''))"
 LEVEL1 = "SELECT DISTINCT CASE p_type WHEN 'PROMO' THEN '阀门' WHEN 'SMALL' THEN '化工材料钢材' WHEN 'LARGE' THEN '螺栓疏水' ELSE p_type END AS category, 1 AS level FROM {part}"
 
 
-@query("c35_character_fallback", f"""WITH {ITEMS}, {TEXTS}, l1 AS (SELECT category FROM ({LEVEL1.format(part='part')}) ORDER BY category LIMIT 5),
+@query("c35_character_fallback", f"""WITH {ITEMS}, {TEXTS}, l1 AS (SELECT category FROM ({LEVEL1.format(part='part')})),
 x AS (SELECT item_id, category, len(list_intersect({CHARS.format('text')}, {CHARS.format('category')})) AS k, greatest(length(text), length(category)) AS g FROM texts CROSS JOIN l1)
 SELECT item_id, category, round(k * 1.0::DOUBLE / g, 6) AS confidence, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(k * 1.0::DOUBLE / g, 9) DESC, category) AS INTEGER) AS rank FROM x WHERE k >= 2 QUALIFY rank <= 3""")
 def c35(spark, d):

@@ -120,8 +120,7 @@ def j15(spark, d):
 
 
 ENRICH = GROUPS + """, keyn AS (SELECT master, q.name FROM sco JOIN parts q ON q.code = master),
-hit AS (SELECT master, p_partkey, CASE WHEN p_name LIKE '%ring' THEN 'rings' ELSE p_type END AS category FROM keyn JOIN part ON contains(replace(p_name, ' ', ''), name)
-  QUALIFY row_number() OVER (PARTITION BY master ORDER BY p_partkey) <= 10),
+hit AS (SELECT master, CASE WHEN p_name LIKE '%ring' THEN 'rings' ELSE p_type END AS category FROM keyn JOIN part ON contains(replace(p_name, ' ', ''), name)),
 cat AS (SELECT master, string_agg(DISTINCT category, '|' ORDER BY category) AS cats, count(DISTINCT category) AS k FROM hit GROUP BY 1),
 enr AS (SELECT master, rows, CASE WHEN k = 1 THEN least(similarity + 0.1, 1.0) ELSE similarity END AS similarity, CASE WHEN k = 1 THEN 'merge_with_existing' ELSE """ + DECIDE + """ END AS action, cats, k
   FROM sco LEFT JOIN cat USING (master))"""

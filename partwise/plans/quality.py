@@ -139,7 +139,7 @@ def q10(spark, d):
     return Q.integrated(classified(spark, d), assessed(spark, d), "code")
 
 
-@query("q11_filtered_report", report_sql("SELECT * FROM scored WHERE category = '法兰' ORDER BY code LIMIT 1000", REPORT_HEAD))
+@query("q11_filtered_report", report_sql("SELECT * FROM scored WHERE category = '法兰'", REPORT_HEAD))
 def q11(spark, d):
     return shown(Q.filtered_report(records(spark, d), F.expr(f"timestamp_ntz'{ASOF}'"), "code", category="法兰"))
 
