@@ -87,8 +87,16 @@ def _occurrences(body, word: str):
     return (F.length(body) - F.length(F.replace(body, F.lit(word), F.lit("")))) / F.lit(len(word))
 
 
+#: Rows that the saturation of the industry scores is meant for.
+DENSITY_ROWS = 100
+
+
 def industry_scores(df: DataFrame) -> DataFrame:
-    """Score of every industry: weighted share of indicator occurrences, each kind saturating at one per indicator."""
+    """Score of every industry: weighted share of indicator occurrences, each kind saturating at one per indicator.
+
+    Occurrences are counted over all rows and beyond ``DENSITY_ROWS`` scaled down to that many,
+    so that a score says how dense an industry's indicators are, however many rows there are.
+    """
     body = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), text(c)) for c in df.columns])
     sums = []
     for name, kinds in I.INDICATORS.items():
@@ -97,7 +105,7 @@ def industry_scores(df: DataFrame) -> DataFrame:
                 hits = [F.regexp_count(F.col("body"), F.lit("(?i)" + p)) for p in kinds[kind]]
             else:
                 hits = [_occurrences(F.col("body"), w) for w in kinds[kind]]
-            total = F.sum(sum(hits[1:], hits[0]))
+            total = F.sum(sum(hits[1:], hits[0])) * F.least(F.lit(1.0), F.lit(float(DENSITY_ROWS)) / F.count("*"))
             sums.append(F.least(total / len(kinds[kind]), F.lit(1.0)).alias(f"{name}_{kind}"))
     flat = df.select(body.alias("body")).agg(*sums)
     rows = F.array(*[

@@ -179,7 +179,7 @@ def _industry_sql() -> str:
                 hits = [f"len(regexp_extract_all(body, '(?i){p}'))" for p in kinds[kind]]
             else:
                 hits = [f"(length(body) - length(replace(body, '{x}', ''))) / {len(x)}" for x in kinds[kind]]
-            terms.append(f"least(sum({' + '.join(hits)}) / {len(kinds[kind])}, 1.0) * {w}")
+            terms.append(f"least(sum({' + '.join(hits)}) * least(1.0, 100.0::DOUBLE / count(*)) / {len(kinds[kind])}, 1.0) * {w}")
         parts.append(f"SELECT {i} AS rank, '{name}' AS industry, round(CAST({' + '.join(terms)} AS DOUBLE), 6) AS score FROM b")
     return f"WITH {ITEMS}, b AS (SELECT {body} AS body FROM items) " + " UNION ALL ".join(parts)
 

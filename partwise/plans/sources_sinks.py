@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,12 +71,28 @@ def s06(spark, d):
     return R.read_query(spark, text, {"status": "P", "since": "1998-01-01"})
 
 
+def embedded_database() -> tuple[str, dict]:
+    """A new in-memory database of the JVM, as a stand-in for a remote one."""
+    return f"jdbc:derby:memory:pw{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
 @query("s07_ranged_read", """
-SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY 1""")
+SELECT c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1""")
 def s07(spark, d):
-    """The ranged read's file form: splits sized by maxPartitionBytes; the JDBC form is ``read_partitioned``."""
-    li = table(spark, d, "lineitem")
-    return li.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+    """A database table read in eight ranges of its key at once."""
+    url, driver = embedded_database()
+    n = K.write_jdbc(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), url, "CUSTOMER", "replace", driver)
+    got = R.read_partitioned(spark, {"url": url, **driver}, "CUSTOMER", "c_custkey", 0, n, 8)
+    return got.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("s05_jdbc_conditions", """
+SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 AND o_orderkey IS NOT NULL""")
+def s05_jdbc(spark, d):
+    """The database form of the table read; the condition is evaluated by the database."""
+    url, driver = embedded_database()
+    K.write_jdbc(table(spark, d, "orders").select("o_orderkey", "o_custkey"), url, "ORDERS", "replace", driver)
+    return R.read_table(spark, "ORDERS", {"o_custkey": 7}, {"url": url, **driver})
 
 
 @query("s08_document_find", """
@@ -95,13 +114,21 @@ def s09(spark, d):
 
 
 @query("s10_tolerant_csv", """
-SELECT CAST(c_custkey AS VARCHAR) AS code, c_name AS name, c_mktsegment AS segment FROM customer""")
+SELECT CAST(c_custkey AS VARCHAR) AS code, c_name || CASE WHEN c_custkey % 97 = 1 THEN '法兰' ELSE '' END AS name, c_mktsegment AS segment FROM customer""")
 def s10(spark, d):
+    """A folder of files in two encodings, in which few lines are not ASCII."""
+    @F.arrow_udf("binary")
+    def gbk(values):
+        return pa.array([v.encode("gbk") for v in values.to_pylist()], pa.binary())
+
     path = scratch_path(spark, "tolerant")
     c = table(spark, d, "customer").select(
-        F.col("c_custkey").cast("string").alias(" code "), F.col("c_name").alias(" name"), F.col("c_mktsegment").alias("segment "))
-    c.write.csv(path, header=True, sep="|")
-    return R.read_csv_tolerant(spark, path)
+        F.pmod("c_custkey", F.lit(4)).alias("p"), F.concat_ws("|", "c_custkey", F.concat("c_name", F.when(F.pmod("c_custkey", F.lit(97)) == 1, "法兰").otherwise("")), "c_mktsegment").alias("line"))
+    head = c.select("p").distinct().select("p", F.lit(" code | name|segment ").alias("line"), F.lit(0).alias("at"))
+    lines = head.unionByName(c.withColumn("at", F.lit(1))).repartition(4, "p").sortWithinPartitions("p", "at")
+    # The text writer takes a string's bytes as they are.
+    lines.select("p", F.when(F.col("p") == 1, gbk("line").cast("string")).otherwise(F.col("line")).alias("line")).write.partitionBy("p").text(path)
+    return R.read_csv_tolerant(spark, path + "/*")
 
 
 @query("s11_preamble_skip", "SELECT s_suppkey, s_name FROM supplier")
@@ -127,12 +154,12 @@ def k01(spark, d):
 
 @query("k02_table_sink", "SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1")
 def k02(spark, d):
-    """File form of replace followed by append; the database form is ``write_jdbc``."""
-    path = scratch_path(spark, "table")
-    s = table(spark, d, "supplier")
-    s.filter("s_acctbal < 0").write.mode("overwrite").parquet(path)
-    s.filter("NOT s_acctbal < 0").write.mode("append").parquet(path)
-    return spark.read.parquet(path).groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    """Replace followed by append in a database table."""
+    url, driver = embedded_database()
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    K.write_jdbc(s.filter("s_acctbal < 0"), url, "SUPPLIER", "replace", driver)
+    K.write_jdbc(s.filter("NOT s_acctbal < 0"), url, "SUPPLIER", "append", driver)
+    return R.read_table(spark, "SUPPLIER", jdbc={"url": url, **driver}).groupBy("s_nationkey").agg(F.count("*").alias("n"))
 
 
 @query("k03_keyed_upsert", """

@@ -20,6 +20,20 @@ def test_tolerant_csv_in_gbk(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("物料编码").collect()] == [("1", "球阀", "DN25"), ("2", "法兰", "")]
 
 
+def test_tolerant_csv_in_mixed_encodings(spark, tmp_path):
+    """Plain text for more than 64 KiB, then Chinese: each file by all of its bytes."""
+    plain = "".join(f"{i},item {i},x\n" for i in range(6000))
+    for name, encoding, sep in (("a", "utf-8", ","), ("b", "gbk", ","), ("c", "utf-8-sig", ";")):
+        text = "code,name,spec\n" + plain + f"{name},不锈钢球阀,DN25\n"
+        (tmp_path / f"{name}.csv").write_bytes(text.replace(",", sep).encode(encoding))
+    df = R.read_csv_tolerant(spark, str(tmp_path))
+    assert df.count() == 18_003
+    assert {(r.code, r.name) for r in df.filter("code IN ('a', 'b', 'c')").collect()} == {(c, "不锈钢球阀") for c in "abc"}
+    (tmp_path / "d.csv").write_bytes(b"code,name,spec\n1,\xff\xff\xff,x\n")
+    with pytest.raises(ValueError):
+        R.read_csv_tolerant(spark, str(tmp_path))
+
+
 def test_multi_line_json_array(spark, tmp_path):
     path = tmp_path / "in.json"
     path.write_text('[{"a": 1},\n {"a": 2}]')
