@@ -6,7 +6,7 @@ copies are weighed once however many there are; document frequencies still count
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,12 +23,18 @@ class Vectoriser:
     max_features: int | None = None
 
 
-# The vectorisers of the matchers.
+# The vectorisers of the matchers, and the numbers of most frequent terms they may be cut to.
 BASELINE = Vectoriser(WORD2, 1)
-FIELD_MATCH = Vectoriser(WORD, 2, 1000)
-DEDUP_NAME = Vectoriser(WORD, 3, 1000)
-DEDUP_SPEC = Vectoriser(WORD, 2, 800)
-SIMILAR = Vectoriser(WORD2, 2, 1000)
+FIELD_MATCH = Vectoriser(WORD, 2)
+DEDUP_NAME = Vectoriser(WORD, 3)
+DEDUP_SPEC = Vectoriser(WORD, 2)
+SIMILAR = Vectoriser(WORD2, 2)
+CAPPED = {
+    "field_match": replace(FIELD_MATCH, max_features=1000),
+    "dedup_name": replace(DEDUP_NAME, max_features=1000),
+    "dedup_spec": replace(DEDUP_SPEC, max_features=800),
+    "similar": replace(SIMILAR, max_features=1000),
+}
 
 
 def profiles(df: DataFrame, texts: dict[str, Column], exact: list[str] | None = None) -> DataFrame:
@@ -66,7 +72,6 @@ def vocabulary(counts: DataFrame, rows: DataFrame, vectorisers: dict[str, Vector
     if limits:
         limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
         frequent = F.expr("row_number() OVER (PARTITION BY field ORDER BY cf DESC, term)")
-        # The rank limit is pushed below the shuffle, so no task ever sorts a whole vocabulary.
         cap = max(limits.values())
         ranked = stats.withColumn("by_cf", frequent).filter(F.col("by_cf") <= cap)
         stats = ranked.filter(F.col("by_cf") <= F.coalesce(limit[F.col("field")], F.lit(cap)))
@@ -75,13 +80,16 @@ def vocabulary(counts: DataFrame, rows: DataFrame, vectorisers: dict[str, Vector
     return stats.crossJoin(F.broadcast(total)).select("field", "term", "df", idf.alias("idf"))
 
 
-def vectors(counts: DataFrame, vocab: DataFrame, vectorisers: dict[str, Vectoriser]) -> DataFrame:
-    """(pk, field, term, idf, w): normalised weights of the terms the vocabulary knows."""
-    bounded = all(v.max_features for v in vectorisers.values())
-    known = F.broadcast(vocab) if bounded else vocab  # at most max_features rows per field
-    raw = counts.join(known, ["field", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = F.expr("sqrt(sum(raw * raw) OVER (PARTITION BY pk, field))")
-    return raw.select("pk", "field", "term", "idf", (F.col("raw") / norm).alias("w"))
+def vectors(counts: DataFrame, vocab: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(pk, field, term, idf, w): weights of the terms the vocabulary knows, normalised over all of them.
+
+    With ``wanted`` (field, term) only those terms are returned. Norms are sums per profile, combined before the shuffle.
+    """
+    raw = counts.join(vocab, ["field", "term"]).withColumn("raw", F.col("tf") * F.col("idf"))
+    norms = raw.groupBy("pk", "field").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    kept = raw if wanted is None else counts.join(wanted, ["field", "term"], "left_semi").join(vocab, ["field", "term"]).withColumn(
+        "raw", F.col("tf") * F.col("idf"))
+    return kept.join(norms, ["pk", "field"]).select("pk", "field", "term", "idf", (F.col("raw") / F.col("norm")).alias("w"))
 
 
 def packed(vecs: DataFrame, fields: list[str]) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql.types import DoubleType
 
 from partwise.functions import tfidf as V
 from partwise.functions.text import maker_fingerprint
+from partwise.operators.matching import salted
 from partwise.rules import dedup as R
-from partwise.session import cut_lineage
+from partwise.session import cut_lineage, stored
 
 EPS = 1e-9
 
@@ -72,9 +73,9 @@ class Duplicates:
         prof = keyed.groupBy("pk").agg(
             *[F.any_value(c).alias(c) for c in fields], F.count("*").alias("n"), F.min("code").alias("node"))
         self.profiles = cut_lineage(prof.withColumn("attrs", F.from_json("attrs", "map<string,string>")))
-        counts = cut_lineage(V.term_counts(self.profiles, VECTORISERS))
+        counts = stored(V.term_counts(self.profiles, VECTORISERS), "terms")
         vocab = V.vocabulary(counts, df, VECTORISERS)
-        self.vectors = cut_lineage(V.vectors(counts, vocab, VECTORISERS))
+        self.vectors = stored(V.vectors(counts, vocab), "vectors")
 
     def pairs(self, threshold: float = R.EDGE) -> DataFrame:
         """Profile pairs at or above the threshold with each part of the score: (a, b, n_a, n_b, ..., similarity).
@@ -92,7 +93,8 @@ class Duplicates:
         whole = sum(R.WEIGHTS[f] for f in VECTORISERS) ** 0.5
         useful = scaled.withColumn("tail", tail).filter(F.col("tail") >= (threshold - rest - EPS) / whole)
         posts = useful.join(self.profiles.select(*side), "pk")
-        a, b = posts.alias("a"), posts.alias("b")
+        left, right = salted(posts, posts)
+        a, b = left.alias("a"), right.alias("b")
         filled = lambda c: (F.col(f"a.{c}") != "") & (F.col(f"b.{c}") != "")
         equal = lambda c: equal_filled(F.col(f"a.{c}"), F.col(f"b.{c}"))
         plain = (F.when(filled("maker"), R.WEIGHTS["maker"]).otherwise(0.0) + equal("type") * R.WEIGHTS["type"]
@@ -100,7 +102,7 @@ class Duplicates:
         product, least = F.col("a.tail") * F.col("b.tail"), F.lit(threshold - EPS) - plain
         shared = attribute_similarity(F.col("a.attrs"), F.col("b.attrs")) * R.WEIGHTS["attributes"]
         can_reach = (product >= least - R.WEIGHTS["attributes"]) & (product >= least - shared)
-        found = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.term") == F.col("b.term"))
+        found = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.salt") == F.col("b.salt"))
                        & (F.col("a.node") < F.col("b.node")) & can_reach).select(
             F.col("a.pk").alias("a_pk"), F.col("b.pk").alias("b_pk")).distinct()
         return self.score(found).filter(F.col("similarity") >= threshold)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions import tfidf as V
-from partwise.session import cut_lineage
+from partwise.session import stored
 
 EPS = 1e-9
 # Weights of a fuzzy field and of the joined description.
@@ -89,14 +89,26 @@ def _mask(exact: list[str], mask: tuple[bool, ...]) -> Column:
     return keep
 
 
+#: Postings of one term that one task joins; a longer list is dealt over several.
+LIST_ROWS = 20_000
+
+
+def salted(new_posts: DataFrame, master_posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``salt``: a master posting gets one by its hash, a new one all of its term's, so no hot term is one task."""
+    parts = master_posts.groupBy("field", "term").agg(F.ceil(F.count("*") / LIST_ROWS).alias("_parts"))
+    masters = master_posts.join(parts, ["field", "term"]).withColumn("salt", F.pmod(F.xxhash64("pk"), F.col("_parts"))).drop("_parts")
+    news = new_posts.join(parts, ["field", "term"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return news, masters
+
+
 def _pairs(new_posts: DataFrame, master_posts: DataFrame, exact: list[str], can_reach: Column) -> DataFrame:
     """Profile pairs sharing a (field, term) that ``can_reach``; one equi join per filled-field combination."""
+    new_posts, master_posts = salted(new_posts, master_posts)
     out = None
     for mask in product([False, True], repeat=len(exact)):
         used = [e for e, on in zip(exact, mask) if on]
         left = new_posts.filter(_mask(exact, mask)).alias("n")
-        on = [F.col("n.field") == F.col("m.field"), F.col("n.term") == F.col("m.term")]
-        on += [F.col(f"n.{e}") == F.col(f"m.{e}") for e in used]
+        on = [F.col(f"n.{c}") == F.col(f"m.{c}") for c in ["field", "term", "salt", *used]]
         joined = left.join(master_posts.alias("m"), on).filter(can_reach)
         found = joined.select(F.col("n.pk").alias("n_pk"), F.col("m.pk").alias("m_pk"))
         out = found if out is None else out.unionByName(found)
@@ -115,11 +127,12 @@ class Matcher:
         m_prof = V.profiles(self.m_rows, texts, self.exact)
         vec = cfg.vectorisers()
         # Texts are read and split once; every later step starts from these written counts.
-        m_counts = cut_lineage(V.term_counts(m_prof, vec))
-        n_counts = cut_lineage(V.term_counts(n_prof, vec))
-        self.vocab = cut_lineage(V.vocabulary(m_counts, self.m_rows, vec))
-        self.n_vec = V.vectors(n_counts, self.vocab, vec)
-        self.m_vec = V.vectors(m_counts, self.vocab, vec)
+        m_counts = stored(V.term_counts(m_prof, vec), "terms")
+        n_counts = stored(V.term_counts(n_prof, vec), "terms")
+        self.vocab = stored(V.vocabulary(m_counts, self.m_rows, vec), "vocabulary")
+        self.n_vec = stored(V.vectors(n_counts, self.vocab), "vectors")
+        # A product has only terms of both sides, so of the master only the new items' terms are kept; its norms count all.
+        self.m_vec = stored(V.vectors(m_counts, self.vocab, self.n_vec.select("field", "term").distinct()), "vectors")
         self.n_exact = n_prof.select("pk", *self.exact)
         self.m_exact = m_prof.select("pk", *self.exact)
 

@@ -34,7 +34,7 @@ def doc_counts(spark, d, vectorisers):
     return rows, counts
 
 
-CONFIGS = {"baseline": V.BASELINE, "field_match": V.FIELD_MATCH, "dedup_name": V.DEDUP_NAME, "dedup_spec": V.DEDUP_SPEC, "similar": V.SIMILAR}
+CONFIGS = {"baseline": V.BASELINE, **V.CAPPED}
 
 
 @query("e22_vocabularies", "WITH " + ", ".join(
@@ -50,12 +50,12 @@ def e22_vocab(spark, d):
 
 
 @query("e22_tfidf_weights", "WITH " + ", ".join([
-    S.grams("m_tf", MASTER, V.FIELD_MATCH), S.vocabulary("voc", "m_tf", ROWS, V.FIELD_MATCH), S.weights("m_w", "m_tf", "voc")])
+    S.grams("m_tf", MASTER, V.CAPPED["field_match"]), S.vocabulary("voc", "m_tf", ROWS, V.CAPPED["field_match"]), S.weights("m_w", "m_tf", "voc")])
     + " SELECT id AS doc_id, term, round(w, 6) AS weight FROM m_w")
 def e22(spark, d):
-    vec = {"text": V.FIELD_MATCH}
+    vec = {"text": V.CAPPED["field_match"]}
     rows, counts = doc_counts(spark, d, vec)
-    w = V.vectors(counts, V.vocabulary(counts, rows, vec), vec)
+    w = V.vectors(counts, V.vocabulary(counts, rows, vec))
     members = rows.select("doc_id", V.profile_key([F.col("text")]).alias("pk"))
     return members.join(w, "pk").select("doc_id", "term", F.round("w", 6).alias("weight"))
 
@@ -100,6 +100,17 @@ def j04(spark, d):
     return found.select("new_id", "master_id", "rank", F.round("similarity", 6).alias("similarity"), F.col("details")["f0_similarity"].alias("text_similarity"))
 
 
+CAPPED = J.MatchConfig("item_id", "doc_id", [("text", "text")], vectoriser=V.CAPPED["field_match"])
+
+
+@query("j04_threshold_topn_capped", f"""
+WITH {S.cosine(NEW, MASTER, ROWS, V.CAPPED["field_match"])} SELECT new_id, master_id, CAST({TOP} AS INTEGER) AS rank, round(s, 6) AS similarity FROM cos WHERE s >= 0.3
+QUALIFY rank <= 5""")
+def j04_capped(spark, d):
+    """The match over the most frequent terms only, as an explicit choice."""
+    return J.match(passages(spark, d), documents(spark, d), CAPPED, 0.3, 5).select("new_id", "master_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query("j05_baseline_top3", f"""
 WITH {S.cosine(NEW, MASTER, ROWS, V.BASELINE)}, a AS (SELECT item_id AS new_id, doc_id AS master_id, coalesce(s, 0.0) AS s FROM benchmark CROSS JOIN documents
  LEFT JOIN cos ON cos.new_id = item_id AND cos.master_id = doc_id)
