@@ -12,10 +12,14 @@ from partwise.rules import extraction as X
 
 WORD = r"[\p{L}\p{N}_]+"
 WORD2 = r"[\p{L}\p{N}_]{2,}"
+HAN = r"\x{4e00}-\x{9fff}"
+#: Chinese has no spaces: every two neighbouring characters of a run, and the other words of two characters or more, in text order.
+#: The tokens overlap, so they are captured (group 1) by a look-ahead.
+SEGMENTS = rf"(?=([{HAN}]{{2}}|(?<![\p{{L}}\p{{N}}_&&[^{HAN}]])[\p{{L}}\p{{N}}_&&[^{HAN}]]{{2,}}))"
 
 
-def tokens(text: Column, pattern: str = WORD) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+def tokens(text: Column, pattern: str = WORD, group: int = 0) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(group))
 
 
 def ngrams(words: Column, most: int) -> list[Column]:

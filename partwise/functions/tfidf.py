@@ -11,16 +11,17 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwise.functions.text import WORD, WORD2, ngrams, tokens
+from partwise.functions.text import SEGMENTS, WORD, WORD2, ngrams, tokens
 
 
 @dataclass(frozen=True)
 class Vectoriser:
-    """Token pattern, longest n-gram, and how many of the most frequent terms are kept (None: all)."""
+    """Token pattern, longest n-gram, how many of the most frequent terms are kept (None: all), and the pattern's group that is the token."""
 
     pattern: str = WORD
     longest: int = 1
     max_features: int | None = None
+    group: int = 0
 
 
 # The vectorisers of the matchers, and the numbers of most frequent terms they may be cut to.
@@ -29,6 +30,7 @@ FIELD_MATCH = Vectoriser(WORD, 2)
 DEDUP_NAME = Vectoriser(WORD, 3)
 DEDUP_SPEC = Vectoriser(WORD, 2)
 SIMILAR = Vectoriser(WORD2, 2)
+SEGMENTED = Vectoriser(SEGMENTS, 2, group=1)
 CAPPED = {
     "field_match": replace(FIELD_MATCH, max_features=1000),
     "dedup_name": replace(DEDUP_NAME, max_features=1000),
@@ -55,7 +57,7 @@ def profile_key(fields: list[Column]) -> Column:
 def term_counts(prof: DataFrame, vectorisers: dict[str, Vectoriser]) -> DataFrame:
     """(pk, n, field, term, tf). Grouping by pk first makes this free of a further shuffle."""
     per_field = F.array(*[
-        F.struct(F.lit(f).alias("field"), F.lit(v.longest).alias("longest"), tokens(F.col(f), v.pattern).alias("words"))
+        F.struct(F.lit(f).alias("field"), F.lit(v.longest).alias("longest"), tokens(F.col(f), v.pattern, v.group).alias("words"))
         for f, v in vectorisers.items()])
     words = prof.select("pk", "n", F.explode(per_field).alias("x")).select("pk", "n", "x.*")
     runs = ngrams(F.col("words"), max(v.longest for v in vectorisers.values()))

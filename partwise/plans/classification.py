@@ -9,6 +9,7 @@ from partwise.operators import matching as J
 from partwise.operators import reports as A
 from partwise.plans import tfidf_sql as S
 from partwise.plans.items import ITEMS, MED_ITEMS, NOUN, items, med_items
+from partwise.plans.linkage import MAPPING
 from partwise.plans.registry import query
 from partwise.plans.text_features import CLASS_SQL, DEVICE_SQL, q, sql_all, sql_any, sql_first
 from partwise.rules import classification as R
@@ -328,23 +329,28 @@ def c21(spark, d):
     return m.unionByName(i).select("item_id", "l.level1", "l.level2", "l.level3")
 
 
-# Similar documents stand for similar items; a document's source is its category.
-SIM = S.cosine("SELECT item_id AS id, text FROM benchmark", "SELECT doc_id AS id, text FROM documents", "SELECT count(*) FROM documents", V.SIMILAR)
-STD = "CASE source WHEN 'src1' THEN 'src0' WHEN 'src2' THEN 'src0' ELSE source END"
-NEAR = f"""{SIM}, near AS (SELECT new_id AS item_id, s, {STD} AS category, row_number() OVER (PARTITION BY new_id ORDER BY s DESC, master_id) AS rank FROM cos JOIN documents ON doc_id = master_id WHERE s >= 0.3 QUALIFY rank <= 10),
-done AS (SELECT item_id, 'src3' AS category, 0.9::DOUBLE AS confidence FROM benchmark), votes AS (SELECT item_id, category, count(*) AS n, round(least(avg(s) * count(*) * 0.3, 0.85), 6)::DOUBLE AS confidence FROM near WHERE category <> 'src3' GROUP BY 1, 2)"""
+# Similar items of the same table vote with their standard category, beside the rule classifier's answers.
+SAME = "SELECT code AS id, name || ' ' || spec AS text FROM items"
+NEAR = f"""{BASE}, {SRC}, {scored('src')}, std AS (SELECT code, coalesce(standard_category, type) AS category FROM items LEFT JOIN ({MAPPING.format(t='part')}) ON original_category = type),
+{S.cosine(SAME, SAME, 'SELECT count(*) FROM items', V.SEGMENTED)},
+near AS (SELECT new_id AS item_id, s, category, row_number() OVER (PARTITION BY new_id ORDER BY s DESC, master_id) AS rank FROM cos JOIN std ON code = master_id WHERE s >= 0.3 QUALIFY rank <= 10),
+done AS (SELECT item_id, category, confidence / 100 AS confidence FROM ranked),
+votes AS (SELECT item_id, category, count(*) AS n, round(least(avg(s) * count(*) * 0.3, 0.85), 6)::DOUBLE AS confidence FROM near ANTI JOIN done USING (item_id, category) WHERE category <> '' GROUP BY 1, 2)"""
 
 
 def near(spark, d):
-    docs = table(spark, d, "documents")
-    cfg = J.MatchConfig("item_id", "doc_id", [("text", "text")], describe=False, vectoriser=V.SIMILAR)
-    found = J.find_similar(table(spark, d, "benchmark"), docs.select("doc_id", "text"), cfg)
-    std = docs.select(F.col("doc_id").alias("master_id"), F.expr(STD).alias("standard_category"))
+    """The ten most similar rows of each item, text segmented, with the standard category of their type."""
+    i = items(spark, d)
+    rows = i.select("code", F.concat_ws(" ", "name", "spec").alias("text"))
+    cfg = J.MatchConfig("item_id", "code", [("text", "text")], describe=False, vectoriser=V.SEGMENTED)
+    found = J.find_similar(rows.withColumnRenamed("code", "item_id"), rows, cfg)
+    mapping = spark.sql(MAPPING.format(t="{p}"), p=table(spark, d, "part")).withColumn("confidence", F.col("confidence").cast("double"))
+    std = J.lookup_category(i.select(F.col("code").alias("master_id"), "type"), mapping, "type").select("master_id", "standard_category")
     return found.join(std, "master_id").select(F.col("new_id").alias("item_id"), "rank", "similarity", "standard_category")
 
 
 def votes(spark, d):
-    done = table(spark, d, "benchmark").select("item_id", F.lit("src3").alias("category"), F.lit(0.9).alias("confidence"))
+    done = C.rule_classify(it(spark, d), cats(spark, d)).select("item_id", "category", (F.col("confidence") / 100).alias("confidence"))
     return done, C.similar_votes(near(spark, d), done).withColumn("confidence", F.round("confidence", 6))
 
 
@@ -354,9 +360,9 @@ def c30(spark, d):
 
 
 @query("c31_hybrid_answer", f"""WITH {NEAR}, b AS (SELECT item_id, category, confidence, 'classifier' AS source, 0 AS o FROM done UNION ALL SELECT item_id, category, confidence, 'similar_items', 1 FROM votes)
-SELECT item_id, category, confidence, source, CAST(row_number() OVER (PARTITION BY item_id ORDER BY o, confidence DESC, category) AS INTEGER) AS rank FROM b""")
+SELECT item_id, category, round(confidence, 6) AS confidence, source, CAST(row_number() OVER (PARTITION BY item_id ORDER BY o, confidence DESC, category) AS INTEGER) AS rank FROM b""")
 def c31(spark, d):
-    return C.hybrid(*votes(spark, d))
+    return C.hybrid(*votes(spark, d)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("c32_reclassification_report")

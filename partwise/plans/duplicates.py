@@ -5,10 +5,13 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from partwise.functions import tfidf as V
+from partwise.operators import classify as C
 from partwise.operators import dedup as J
 from partwise.operators import reports as A
 from partwise.plans import tfidf_sql as S
+from partwise.plans.classification import CASCADE, results
 from partwise.plans.registry import query
+from partwise.rules.classification import FAILED
 from partwise.session import table
 
 PARTS = """SELECT p_partkey AS code, replace(p_name, ' ', '') AS name, p_type || ' ' || p_brand || ' ' || p_name AS spec, p_brand AS manufacturer,
@@ -51,7 +54,7 @@ class Run:
     def __init__(self, spark, d):
         df = spark.sql(PARTS.format(t="{p}"), p=table(spark, d, "part")).withColumn(
             "attributes", F.create_map(F.lit("brand"), F.col("manufacturer"), F.lit("type"), F.col("type")))
-        self.df = df
+        self.df, self.spark, self.d = df, spark, d
         self.dup = J.Duplicates(df)
         self.pairs = J.cut_lineage(self.dup.pairs())
         self.groups = J.cut_lineage(self.dup.groups(self.pairs))
@@ -67,8 +70,8 @@ class Run:
         return J.enrich_groups(self.decided, keys, self.catalog)
 
     def recommended(self):
-        first = self.df.select(F.col("code").alias("master"), F.col("type").alias("category"))
-        return J.recommend_actions(self.enriched(), first)
+        answers = C.priority_cascade(*results(self.spark, self.d)).filter(F.col("category") != FAILED)
+        return J.recommend_actions(self.enriched(), answers.select(F.col("item_id").alias("master"), "category"))
 
 
 @lru_cache(maxsize=2)
@@ -131,9 +134,10 @@ def j16(spark, d):
     return run(spark, d).enriched().select("master", six("similarity"), "action", F.array_join("existing_categories", "|").alias("categories"))
 
 
-RECOMMEND = ENRICH + """, rec AS (SELECT master, rows, similarity, CASE WHEN similarity >= 0.85 THEN 'auto_merge' WHEN similarity >= 0.75 THEN 'manual_review' ELSE 'separate' END AS action,
+RECOMMEND = ENRICH + f""", rec AS (SELECT master, rows, similarity, CASE WHEN similarity >= 0.85 THEN 'auto_merge' WHEN similarity >= 0.75 THEN 'manual_review' ELSE 'separate' END AS action,
  CASE WHEN similarity >= 0.85 THEN 'high' WHEN similarity >= 0.75 THEN 'medium' ELSE 'low' END AS priority,
- CASE WHEN k = 1 THEN 'merge_to_existing' WHEN k > 1 THEN 'resolve_conflicts' ELSE 'new_classification' END AS integration_type, CASE WHEN k = 1 THEN cats END AS suggested_category FROM enr)"""
+ CASE WHEN k = 1 THEN 'merge_to_existing' WHEN k > 1 THEN 'resolve_conflicts' WHEN answer IS NOT NULL THEN 'new_classification' ELSE 'manual_classification' END AS integration_type,
+ CASE WHEN k = 1 THEN cats WHEN k IS NULL THEN answer END AS suggested_category FROM enr LEFT JOIN (WITH {CASCADE} SELECT item_id, category AS answer FROM cas WHERE category <> '{FAILED}') ON item_id = master)"""
 
 
 @query("j17_actions", f"{R}{RECOMMEND} SELECT master, action, priority, integration_type, suggested_category FROM rec")

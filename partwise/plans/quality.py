@@ -2,7 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from partwise.operators import classify as C
 from partwise.operators import quality as Q
+from partwise.plans.classification import CASCADE, results
 from partwise.plans.duplicates import GROUPS, run
 from partwise.plans.items import ITEMS, items
 from partwise.plans.registry import query
@@ -129,14 +131,19 @@ def q09(spark, d):
 
 
 def classified(spark, d):
-    return items(spark, d).select("code", F.col("category"), (F.pmod("size", F.lit(11)) / 10).alias("confidence"))
+    """The classifiers' answer for each item: the first that is confident enough."""
+    return C.priority_cascade(*results(spark, d)).withColumnRenamed("item_id", "code")
 
 
-@query("q10_integrated_score", f"""WITH {SCORED}, j AS (SELECT s.code, s.category, overall_score, quality_grade, (size % 11) / 10.0::DOUBLE AS confidence FROM scored s JOIN items USING (code)),
-x AS (SELECT *, round(confidence * 0.6::DOUBLE + overall_score / 100 * 0.4::DOUBLE, 4) AS integrated FROM j)
-SELECT code, category, confidence, overall_score, quality_grade, integrated, CASE WHEN integrated >= 0.8 THEN 'high_confidence' WHEN integrated >= 0.6 THEN 'medium_confidence' ELSE 'low_confidence' END AS band FROM x""")
+CLASSIFIED = f"cl AS (SELECT * FROM (WITH {CASCADE} SELECT item_id, category AS answer, confidence FROM cas))"
+
+
+@query("q10_integrated_score", f"""WITH {SCORED}, {CLASSIFIED}, x AS (SELECT code, answer AS category, confidence, overall_score, quality_grade,
+ round(confidence * 0.6::DOUBLE + overall_score / 100 * 0.4::DOUBLE, 4) AS integrated FROM scored JOIN cl ON item_id = code)
+SELECT code, category, round(confidence, 6)::DOUBLE AS confidence, overall_score, quality_grade, integrated,
+ CASE WHEN integrated >= 0.8 THEN 'high_confidence' WHEN integrated >= 0.6 THEN 'medium_confidence' ELSE 'low_confidence' END AS band FROM x""")
 def q10(spark, d):
-    return Q.integrated(classified(spark, d), assessed(spark, d), "code")
+    return Q.integrated(classified(spark, d), assessed(spark, d), "code").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("q11_filtered_report", report_sql("SELECT * FROM scored WHERE category = '法兰'", REPORT_HEAD))
@@ -144,7 +151,7 @@ def q11(spark, d):
     return shown(Q.filtered_report(records(spark, d), F.expr(f"timestamp_ntz'{ASOF}'"), "code", category="法兰"))
 
 
-@query("q12_batch_stages", f"""WITH RECURSIVE {GROUPS}, cl AS (SELECT p_partkey, (p_size % 11) / 10.0 AS c FROM part)
-SELECT count(*) AS total, count(*) FILTER (WHERE c >= 0.6) AS classified, count(*) AS assessed, (SELECT count(*) FROM rowm) AS in_duplicate_group FROM cl""")
+@query("q12_batch_stages", f"""WITH RECURSIVE {GROUPS}, {CLASSIFIED}
+SELECT count(*) AS total, count(*) FILTER (WHERE confidence >= 0.6) AS classified, count(*) AS assessed, (SELECT count(*) FROM rowm) AS in_duplicate_group FROM cl""")
 def q12(spark, d):
     return Q.stage_counts(items(spark, d), classified(spark, d), assessed(spark, d), run(spark, d).members, "code")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from partwise.functions.text import SEGMENTS
 from partwise.functions.tfidf import Vectoriser
 
 
 def grams(name: str, source: str, v: Vectoriser) -> str:
     """``source`` selects (id, text); the result is <name>(id, term, tf)."""
-    pattern = v.pattern.replace("'", "''")
+    words = f"regexp_extract_all(lower(text), '{v.pattern}')"
+    if v.pattern == SEGMENTS:
+        found = "regexp_extract_all(lower(text), '[一-鿿]{2,}|[\\p{Latin}\\p{Greek}\\p{Cyrillic}\\p{N}_]{2,}')"
+        words = f"flatten([CASE WHEN regexp_matches(r, '^[一-鿿]') THEN [r[i:i+1] FOR i IN range(1, length(r))] ELSE [r] END FOR r IN {found}])"
     parts = [f"SELECT id, unnest(w) AS term FROM {name}_w"]
     for k in range(2, v.longest + 1):
         run = " || ' ' || ".join("w[i]" if j == 0 else f"w[i + {j}]" for j in range(k))
         parts.append(f"SELECT id, unnest([{run} FOR i IN range(1, len(w) - {k - 2})]) FROM {name}_w WHERE len(w) >= {k}")
-    return (f"{name}_w AS (SELECT id, regexp_extract_all(lower(text), '{pattern}') AS w FROM ({source})), "
+    return (f"{name}_w AS (SELECT id, {words} AS w FROM ({source})), "
             f"{name} AS (SELECT id, term, count(*) AS tf FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2)")
 
 
