@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from partwise.rules import training as T
 
 
-def share(count: Column, total: Column, category: Column) -> Column:
+def share(count: Column, total: Column, category: Column, favoured: list[str] | None = None) -> Column:
     """Rows of a category that go to the database: 1 to 30%, its part of the target size, half for favoured ones."""
     base = F.greatest(F.lit(1), F.least(F.floor(count * T.SAMPLE_SHARE), F.floor(F.lit(T.SAMPLE_TARGET) * count / total)))
-    return F.when(category.isin(T.FAVOURED), F.greatest(base, F.least(count, F.floor(count * T.FAVOURED_SHARE)))).otherwise(base)
+    return F.when(category.isin(T.FAVOURED if favoured is None else favoured), F.greatest(base, F.least(count, F.floor(count * T.FAVOURED_SHARE)))).otherwise(base)
 
 
 def stratified_split(df: DataFrame, ident: str, category: str, seed: int = 42, favoured: list[str] | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def stratified_split(df: DataFrame, ident: str, category: str, seed: int = 42, f
     upto = F.expr(f"sum(n) OVER (PARTITION BY {category} ORDER BY _b)")
     total = df.agg(F.count("*").alias("_all"))
     sized = buckets.withColumns({"_upto": upto, "_count": F.expr(f"sum(n) OVER (PARTITION BY {category})")}).crossJoin(F.broadcast(total))
-    want = sized.withColumn("_want", share(F.col("_count"), F.col("_all"), F.col(category)))
+    want = sized.withColumn("_want", share(F.col("_count"), F.col("_all"), F.col(category), favoured))
     plan = want.select(category, "_b", (F.col("_upto") - F.col("n")).alias("_before"), "_upto", "_want")
     joined = rows.join(plan, [category, "_b"])
     whole = joined.filter(F.col("_upto") <= F.col("_want")).withColumn("part", F.lit("database"))

@@ -6,6 +6,7 @@ import random
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,10 +130,14 @@ def cross_validate(features: DataFrame, weights: dict[str, float], ident: str, f
     return out
 
 
-def adopt(current: dict[str, float], best: dict[str, float], baseline: float, optimised: float) -> dict:
-    """New weights only for a gain above the limit."""
-    gain = optimised - baseline
-    return {"adopted": gain > T.ADOPT_GAIN, "improvement": gain, "weights": best if gain > T.ADOPT_GAIN else current}
+def adopt(ranked: DataFrame, current: int = 0) -> DataFrame:
+    """One row (improvement, adopted, weights) of a weight search: its best weights where they gain more than the limit, else the current candidate's."""
+    best = F.max_by("weights", F.struct("accuracy", -F.col("candidate")))
+    mine = F.col("candidate") == current
+    gain = ranked.agg(F.max("accuracy").alias("best"), F.max(F.when(mine, F.col("accuracy"))).alias("base"), best.alias("_best"), F.any_value(
+        F.when(mine, F.col("weights")), ignoreNulls=True).alias("_current")).withColumn("improvement", F.col("best") - F.col("base"))
+    adopted = F.col("improvement") > T.ADOPT_GAIN
+    return gain.select("improvement", adopted.alias("adopted"), F.when(adopted, F.col("_best")).otherwise(F.col("_current")).alias("weights"))
 
 
 # Similarity weights from feedback
@@ -156,9 +161,11 @@ def feedback_weights(log: DataFrame, order: list[str], weights: dict[str, float]
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, a, b = None, 1.0, 0.0
         for frame in frames:
-            for p, move in zip(frame["part"], frame["move"]):
-                part, scale = int(p), 1.0 / (1.0 + int(move) * total)
-                a, b = a * scale, (b + int(move)) * scale
+            if len(frame):
+                part, move = int(frame["part"].iloc[0]), frame["move"].to_numpy(dtype=float)
+                # What is left of a step after all later ones: products of the scales from its own on.
+                left = np.cumprod(1.0 / (1.0 + move[::-1] * total))[::-1]
+                a, b = a * left[0], b * left[0] + float(move @ left)
         if part is not None:
             yield pd.DataFrame({"part": [part], "a": [a], "b": [b]})
 

@@ -121,9 +121,7 @@ WITH {FEATURES}, acc AS (""" + " UNION ALL ".join(
 SELECT round(best - base, 6)::DOUBLE AS improvement, best - base > 0.02 AS adopted FROM b""")
 def w05(spark, d):
     ranked = T.search_weights(T.quality_features(history(spark, d)), CANDIDATES)
-    best, base = ranked.first(), ranked.filter("candidate = 0").first()
-    got = T.adopt(CANDIDATES[0], best["weights"], base["accuracy"], best["accuracy"])
-    return spark.createDataFrame([(round(got["improvement"], 6), got["adopted"])], "improvement double, adopted boolean")
+    return T.adopt(ranked).select(F.round("improvement", 6).alias("improvement"), "adopted")
 
 
 STEP = {k: R.FEEDBACK_STEP * (2 if k == "name" else 1) for k in DR.WEIGHTS}

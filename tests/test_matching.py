@@ -4,6 +4,10 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from partwise.functions import tfidf as V
+from partwise.functions.text import SEGMENTS, tokens
 from partwise.operators import matching as J
 
 MASTER = [(i, f"steel {a} valve {b}", f"dn{10 * (i % 5)} pn16 {b}", "acme" if i % 3 else "zeta")
@@ -77,3 +81,24 @@ def test_match_lists_keep_unmatched_items(spark):
     new, master, cfg = frames(spark)
     lists = {r.id: len(r.matches) for r in J.match_lists(J.match(new, master, cfg), new, "id").collect()}
     assert lists[103] == 0 and lists[100] > 0
+
+
+def test_segmented_text_finds_longer_chinese_names(spark):
+    """Names that share characters but no whole run are similar once split into pairs of characters."""
+    rows = spark.createDataFrame([(1, "不锈钢球阀"), (2, "304不锈钢球阀 DN25"), (3, "碳钢法兰 PN16"), (4, "阀")], "id long, text string")
+    cfg = J.MatchConfig("new", "id", [("text", "text")], describe=False, vectoriser=V.SEGMENTED)
+    found = {(r.new_id, r.master_id): r.similarity for r in J.match(rows.withColumnRenamed("id", "new"), rows, cfg, 0.05, 5).collect()}
+    assert 0 < found[1, 2] < 1 and abs(found[1, 1] - 1) < 1e-9
+    assert (1, 3) not in found and not any(4 in k for k in found)
+    words = rows.select("id", tokens(F.col("text"), SEGMENTS, 1).alias("w")).collect()
+    assert {r.id: r.w for r in words} == {1: ["不锈", "锈钢", "钢球", "球阀"], 2: ["304", "不锈", "锈钢", "钢球", "球阀", "dn25"], 3: ["碳钢", "钢法", "法兰", "pn16"], 4: []}
+
+
+def test_hot_terms_are_dealt_over_tasks(spark, monkeypatch):
+    """Lists of one row per task give the same matches as whole lists."""
+    rows = spark.createDataFrame([(i, f"valve steel {'ball' if i % 2 else 'gate'} {i % 7}") for i in range(60)], "id long, text string")
+    cfg = J.MatchConfig("new", "id", [("text", "text")], describe=False)
+    new = rows.filter("id < 9").withColumnRenamed("id", "new")
+    want = sorted(map(tuple, J.match(new, rows, cfg, 0.3, 60).collect()))
+    monkeypatch.setattr(J, "LIST_ROWS", 3)
+    assert sorted(map(tuple, J.match(new, rows, cfg, 0.3, 60).collect())) == want
