@@ -35,13 +35,15 @@ CATEGORIES = [(c, 2, "") for c in ["疏水阀", "法兰", "紧固件", "管道
     (f"category {chr(97 + i % 26)}{i}", 1 + i % 3, f"kit {i}") for i in range(60)]
 
 
-def test_candidates_equal_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("top", [5, 60])
+def test_candidates_equal_all_pairs(spark, monkeypatch, top):
+    """The pool and the found candidates give what scoring every category gives, also for long lists."""
     items = spark.createDataFrame(ITEMS, "item_id int, name string, spec string, unit string")
     cats = spark.createDataFrame(CATEGORIES, "category string, level int, description string")
-    rows = lambda: sorted((r.item_id, r["rank"], r.category, r.confidence) for r in C.rule_classify(items, cats).collect())
-    assert len(CATEGORIES) > C.FILL
+    rows = lambda: sorted((r.item_id, r["rank"], r.category, r.confidence) for r in C.rule_classify(items, cats, top).collect())
     narrowed = rows()
-    monkeypatch.setattr(C, "FILL", 1000)
+    assert max(r[1] for r in narrowed) == top
+    monkeypatch.setattr(C, "_pool", lambda cats, top: cats)
     assert narrowed == rows()
 
 
