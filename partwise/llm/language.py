@@ -33,9 +33,10 @@ def grams(text: str) -> np.ndarray:
     b = np.frombuffer(f" {letters} ".encode(), np.uint8).astype(np.uint64)
     found = []
     for n in SIZES:
-        g = np.full(max(0, len(b) - n + 1), n, np.uint64)
+        windows = max(0, len(b) - n + 1)  # a text of one letter has none of the longer n-grams
+        g = np.full(windows, n, np.uint64)
         for i in range(n):
-            g = g << np.uint64(8) | b[i:len(b) - n + 1 + i]
+            g = g << np.uint64(8) | b[i:windows + i]
         found.append(g)
     return np.concatenate(found)
 

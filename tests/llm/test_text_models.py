@@ -54,6 +54,20 @@ def test_language_awkward(spark):
     assert df.select(language.identify(nothing, df).alias("l")).filter("l.lang_pred = 'und' AND l.score = 0").count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("text", ["A.", "7 b", "x", "é", "ab", "a b", "Is.", "中"])
+def test_grams_of_short_texts(text):
+    b = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} ".encode()
+    want = [int.from_bytes(bytes([n]) + b[i:i + n], "big") for n in language.SIZES for i in range(len(b) - n + 1)]
+    assert language.grams(text).tolist() == want and want
+
+
+def test_language_of_short_texts(spark):
+    df = spark.createDataFrame([(1, "A.", "en"), (2, "7 b", "en"), (3, "ab", "de"), (4, "a b", "de"), (5, "...", "de"), (6, "A.", "en")], "doc_id long, text string, lang string")
+    f = language.learn(df)
+    got = {r.doc_id: r.l for r in df.select("doc_id", language.identify(f, df).alias("l")).collect()}
+    assert len(got) == 6 and {i for i, r in got.items() if r.lang_pred == language.UNKNOWN} == {5} and got[1] == got[6] and got[1].lang_pred == "en"
+
+
 def test_toxicity_held_out(spark):
     y, score, predicted = held(spark, "op3_toxicity_machine", "toxic")
     assert auc(y, score) > 0.8 and predicted[y == 0].mean() < 0.02 and predicted[y == 1].mean() > 0.6
