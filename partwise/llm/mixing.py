@@ -118,15 +118,33 @@ def position(offset: Column) -> Column:
     return F.least(s["t"] + F.when(root > 0, F.least(2 * x / root, s["d"])).otherwise(F.lit(0.0)), F.lit(1.0))
 
 
-def in_training_order(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_training_order(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """The columns of ``documents`` and ``_position``, each row as often as it is taken, range-sorted by position.
 
-    Rows that share an id are told apart by their text and then by number, so repeated rows stay exact.
+    Rows that share an id are told apart by their text and then by number, so repeated rows stay
+    exact. Columns of ``mixed`` named in ``carry`` and the ``_rank`` among the rows of an id come along if wanted.
     """
     mine = Window.partitionBy(id_col).orderBy("_hash")
     left = documents.withColumn("_hash", F.xxhash64(text_of(text_col))).withColumn("_no", F.row_number().over(mine))
-    copies = mixed.select(F.col(id_col).alias("_id"), "text_hash", F.transform("offsets", position).alias("_positions"))
+    copies = mixed.select(F.col(id_col).alias("_id"), "text_hash", F.transform("offsets", position).alias("_positions"), *[F.col(c).alias(f"_{c}") for c in carry])
     copies = copies.withColumn("_rank", F.row_number().over(Window.partitionBy("_id").orderBy("text_hash"))).filter(F.size("_positions") > 0)
     joined = left.join(copies, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_no") == F.col("_rank")))
-    rows = joined.select(*documents.columns, F.explode("_positions").alias("_position"))
+    extra = ["_rank", *[f"_{c}" for c in carry]] if carry else []
+    rows = joined.select(*documents.columns, *extra, F.explode("_positions").alias("_position"))
     return rows.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col)
+
+
+def taken_in_order(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, size, source_size, target and taken of each row of ``mixed``, counted in the documents in training order.
+
+    The rows are range-sorted by the position of their first copy, those never taken last. The
+    training order is written once as a table of all copies, without the texts, which are not asked for here.
+    """
+    columns = ["size", "source_size", "target"]
+    mixed = written(mixed, "mix")
+    ordered = written(in_training_order(documents.select(id_col, text_col), mixed, id_col, text_col, columns).drop(text_col), "ordered")
+    found = ordered.groupBy(id_col, "_rank").agg(*[F.first(f"_{c}").alias(c) for c in columns], F.sum("_size").alias("taken"), F.min("_position").alias("_first"))
+    never = mixed.filter("copies = 0").select(id_col, *columns, "taken", F.lit(None).cast("double").alias("_first"))
+    rows = found.select(id_col, *columns, "taken", "_first").unionByName(never)
+    by = [F.col("_first").asc_nulls_last(), F.col(id_col)]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_first")

@@ -95,8 +95,9 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 
 @query("op8_curriculum_mixing", OP8_SQL)
 def op8(spark, sf_dir):
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, SHARE, CAP, SCHEDULES)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    """What is taken of each document, in the order of its first copy."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.taken_in_order(docs, mixing.mix(docs, WEIGHTS, SHARE, CAP, SCHEDULES))
 
 
 @query("op2_language_id")

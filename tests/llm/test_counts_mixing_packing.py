@@ -126,6 +126,24 @@ def test_mix_of_awkward_rows(spark):
     assert none.collect() == [] and mixing.in_training_order(empty(spark), none).collect() == []
 
 
+def test_mixing_query_follows_the_curriculum(spark, monkeypatch):
+    """The rows of op8 stand in the order of their first copies, and another schedule gives another order."""
+    docs = documents(spark)
+
+    def got():
+        return [r.doc_id for r in queries.REGISTRY["op8_curriculum_mixing"].run(spark, SF).collect() if r.taken]
+
+    def want():
+        mixed = mixing.mix(docs, queries.WEIGHTS, queries.SHARE, queries.CAP, queries.SCHEDULES)
+        return [i for i in dict.fromkeys(r.doc_id for r in mixing.in_training_order(docs, mixed).collect()) if i in words]
+
+    words = {r.doc_id for r in docs.collect() if (r.text or "").split()}
+    first = got()
+    assert first == want()
+    monkeypatch.setattr(queries, "SCHEDULES", (((0.0, 0.1), (1.0, 2.0)), ((0.0, 2.0), (1.0, 0.1))))
+    assert got() == want() != first
+
+
 # Packing
 
 def bins_of(rows):
