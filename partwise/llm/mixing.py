@@ -1,8 +1,9 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Each source has a target number of words: its weight's share of the whole, at most ``cap`` times
-what it has. It is met by whole passes over the source and a last partial pass in hash order,
-closed by the one document that comes nearest to what is then missing. Within a source the
+what it has. It is met by whole passes over the source and a last partial pass in hash order, which
+takes every document that still fits and is closed by the one that comes nearest to what is then
+missing. Within a source the
 taken copies form a sequence. A source's weight may change over training time; the integral of
 that schedule is its cumulative demand, and inverting it gives each copy its position in
 training, by which the mix is range-sorted.
@@ -11,8 +12,9 @@ training, by which the mix is range-sorted.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +64,47 @@ def source_plan(spark: SparkSession, sizes: list[tuple[str | None, int]], weight
                                        "segments array<struct<t:double,d:double,w:double,slope:double,before:double>>")
 
 
+def _closing(left: DataFrame, refill: bool) -> DataFrame:
+    """(_s, _end, _at): the documents that follow the prefix of a source's partial pass, known by where they end, and where each begins in that pass.
+
+    ``left`` has source, size, source_size, _end, _filled and missing (words) of the documents
+    behind the prefix. In their order every document is taken that still fits (only with
+    ``refill``), and then the one that comes nearest to what is missing, if it comes nearer than
+    none. Of equal sizes the first come first, so of size s no more than missing / s + 1 are
+    looked at. As a document longer than ``missing`` ended the prefix, this is a number that the
+    longest document bounds, however long the source is.
+    """
+    near = left.filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("missing"))).select(
+        F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_null"), "size", "_end", "_filled", "missing",
+        F.floor(F.col("_end") / F.ceil(F.col("source_size") / 4096)).alias("_part"))
+    # Ranks among equal sizes, in parts of the sequence, so that one frequent size is dealt over many tasks.
+    enough = (F.floor(F.col("missing") / F.col("size")) if refill else F.lit(0)) + 1
+    group = ["_source", "_null", "size", "_part"]
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy("_end"))).filter(F.col("_rank") <= enough)
+    ahead = Window.partitionBy("_source", "_null", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranked.groupBy(*group).agg(F.count("*").alias("_n")).select(*group, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    few = ranked.join(before, group).filter(F.col("_before") + F.col("_rank") <= enough)
+
+    def choose(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["_end"].to_pylist(), table["size"].to_pylist()))
+        missing, at, taken, others = table["missing"][0].as_py(), table["_filled"][0].as_py(), [], []
+        for end, size in rows:
+            if refill and size <= missing:
+                taken.append((end, at))
+                missing, at = missing - size, at + size
+            else:
+                others.append((end, size))
+        if best := min(((abs(missing - size), end) for end, size in others if abs(missing - size) < missing), default=None):
+            taken.append((best[1], at))
+        null = table["_null"][0].as_py()
+        return pa.table({"_s": pa.array([None if null else table["_source"][0].as_py()] * len(taken), pa.string()),
+                         "_end": pa.array([t[0] for t in taken], pa.int64()), "_at": pa.array([t[1] for t in taken], pa.int64())})
+
+    return few.select("_source", "_null", "size", "_end", "_filled", "missing").groupBy("_source", "_null").applyInArrow(choose, "_s string, _end long, _at long")
+
+
 def mix(documents: DataFrame, weights: Sequence[float], share: float, cap: float, schedules: Sequence[Schedule] = (((0, 1), (1, 1)),),
-        id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+        id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", refill: bool = True) -> DataFrame:
     """One row per row of ``documents``: id, source, size, source_size, target, copies, taken, offsets, segments and ``text_hash``.
 
     Size counts words between ASCII white space (null text: 0). ``taken`` is copies times size,
@@ -71,7 +112,8 @@ def mix(documents: DataFrame, weights: Sequence[float], share: float, cap: float
     in hash buckets within a source, so that a source with a third of all rows is dealt over
     many tasks; only one row per source reaches the driver. Null sources are a source of their
     own, repeated rows are separate rows, wordless documents are taken in their passes with 0
-    words, an empty table gives an empty result, other columns are ignored.
+    words, an empty table gives an empty result, other columns are ignored. Without ``refill``
+    the partial pass ends at the first document that does not fit, and one document closes it.
     """
     spark = documents.sparkSession
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
@@ -93,17 +135,12 @@ def mix(documents: DataFrame, weights: Sequence[float], share: float, cap: float
     filled = placed.groupBy(F.col("source").alias("_s")).agg(F.coalesce(F.max(F.when(fits, F.col("_end"))), F.lit(0)).alias("_filled"))
     filled = F.broadcast(filled)  # one row per source
     placed = placed.join(filled, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    missing = F.col("rest") - F.col("_filled")
-    off = F.abs(missing - F.col("size"))
     # A document with words is known within its source by where it ends.
-    last = placed.filter(~fits & (F.col("size") > 0) & (off < missing)).groupBy(F.col("source").alias("_s")).agg(
-        F.min(F.struct(off.alias("off"), F.col("_end").alias("end"))).alias("_last"))
-    last = F.broadcast(last.select("_s", "_last.end"))  # one row per source
-    placed = placed.join(last, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    filler = F.coalesce((F.col("end") == F.col("_end")) & (F.col("size") > 0), F.lit(False))
+    more = written(_closing(placed.filter(~fits).withColumn("missing", F.col("rest") - F.col("_filled")), refill), "closing").withColumnRenamed("_end", "end")
+    placed = placed.join(more, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_end") == F.col("end")) & (F.col("size") > 0), "left").drop("_s")
     whole = F.transform(F.sequence(F.lit(1), F.col("passes")), lambda p: (p - 1) * F.col("source_size") + F.col("_end") - F.col("size"))
     partial = F.when(fits, F.array(F.col("passes") * F.col("source_size") + F.col("_end") - F.col("size"))).when(
-        filler, F.array(F.col("passes") * F.col("source_size") + F.col("_filled"))).otherwise(F.array().cast("array<long>"))
+        F.col("_at").isNotNull(), F.array(F.col("passes") * F.col("source_size") + F.col("_at"))).otherwise(F.array().cast("array<long>"))
     offsets = F.concat(F.when(F.col("passes") > 0, whole).otherwise(F.array().cast("array<long>")), partial)
     return placed.withColumn("offsets", offsets).withColumn("copies", F.size("offsets")).select(
         id_col, "source", "text_hash", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "offsets", "segments")

@@ -95,9 +95,9 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
 
 @query("op8_curriculum_mixing", OP8_SQL)
 def op8(spark, sf_dir):
-    """What is taken of each document, in the order of its first copy."""
+    """What is taken of each document, in the order of its first copy; the SQL fixes that one document closes a source's prefix."""
     docs = table(spark, sf_dir, "documents")
-    return mixing.taken_in_order(docs, mixing.mix(docs, WEIGHTS, SHARE, CAP, SCHEDULES))
+    return mixing.taken_in_order(docs, mixing.mix(docs, WEIGHTS, SHARE, CAP, SCHEDULES, refill=False))
 
 
 @query("op2_language_id")

@@ -134,7 +134,7 @@ def test_mixing_query_follows_the_curriculum(spark, monkeypatch):
         return [r.doc_id for r in queries.REGISTRY["op8_curriculum_mixing"].run(spark, SF).collect() if r.taken]
 
     def want():
-        mixed = mixing.mix(docs, queries.WEIGHTS, queries.SHARE, queries.CAP, queries.SCHEDULES)
+        mixed = mixing.mix(docs, queries.WEIGHTS, queries.SHARE, queries.CAP, queries.SCHEDULES, refill=False)
         return [i for i in dict.fromkeys(r.doc_id for r in mixing.in_training_order(docs, mixed).collect()) if i in words]
 
     words = {r.doc_id for r in docs.collect() if (r.text or "").split()}
@@ -144,6 +144,32 @@ def test_mixing_query_follows_the_curriculum(spark, monkeypatch):
     assert got() == want() != first
 
 
+def test_partial_pass_fills_up(spark):
+    """Against taking, document by document, what still fits: one very long document at the cut keeps none of the others out."""
+    rng = np.random.default_rng(5)
+    sizes = {s: [int(x) for x in rng.integers(100, 600, 300)] + [60_000] for s in "abcde"} | {None: [3, 5, 5, 9, 9, 9, 0, 0]}
+    rows = [(f"{s}{i}", s, "w " * n) for s, v in sizes.items() for i, n in enumerate(v)]
+    docs = spark.createDataFrame(rows, "doc_id string, source string, text string")
+    got = mixing.mix(docs, (3, 1, 2), 1.4, 2.0).collect()
+    for s in sizes:
+        mine = sorted((r for r in got if r.source == s), key=lambda r: (hashlib.md5(r.doc_id.encode()).hexdigest(), r.doc_id))
+        passes, missing = divmod(mine[0].target, mine[0].source_size)
+        copies, cut = {r.doc_id: int(passes) for r in mine}, False
+        for r in mine:
+            if r.size <= missing and (r.size or not cut):
+                copies[r.doc_id] += 1
+                missing -= r.size
+            else:
+                cut = cut or r.size > missing
+        rest = [r for r in mine if copies[r.doc_id] == passes and r.size and abs(missing - r.size) < missing]
+        if rest:
+            copies[min(rest, key=lambda r: abs(missing - r.size)).doc_id] += 1
+        assert {r.doc_id: r.copies for r in mine} == copies
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 300
+        places = sorted((o, r.size) for r in mine for o in r.offsets if r.size)
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0
+
+
 # Packing
 
 def bins_of(rows):
