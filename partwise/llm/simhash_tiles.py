@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwise.llm.common import written
+from partwise.llm.common import text_of, written
 from partwise.operators.dedup import components
 
 QUARTERS, QUARTER_BITS = 4, 16
@@ -107,6 +107,12 @@ def links(fingerprints: DataFrame, radius: int, block: int = 2048) -> DataFrame:
     return paired.mapInArrow(compare, "a long, b long")
 
 
+def _labelled(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes`` (one row per ``fp``) and ``label``, the same for the fingerprints of one component."""
+    label = components(links(nodes.select("fp"), radius)).select(F.col("v").alias("fp"), "label")
+    return nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
     """(id, fp, component_id), one row per row of ``documents``: fingerprints that differ in at most ``radius`` bits are linked.
 
@@ -115,20 +121,24 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     not become a component's id; an empty table gives an empty result; other columns are ignored.
     """
     prints = written(documents.select(F.col(id_col), fingerprint_column(text_col, words).alias("fp")), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    label = components(links(nodes.select("fp"), radius)).select(F.col("v").alias("fp"), "label")
-    nodes = nodes.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    nodes = _labelled(prints.groupBy("fp").agg(F.min(id_col).alias("least")), radius)
     groups = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     of_print = nodes.join(groups, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
-    """The rows of ``documents`` whose id is the smallest of its component, one row per id; all columns stay.
+    """One row of ``documents`` for each component: that with the smallest id; all columns stay.
 
-    Of repeated rows with one id any one stays. Rows without an id are kept only where no other
-    row of their component has one.
+    Among different texts with that id the one with the smallest hash stays, of repeated rows any
+    one. Rows without an id stay only where no other row of their component has one; rows that
+    share an id, or have none, but belong to different components are kept each.
     """
-    found = near_duplicates(documents, id_col, text_col, radius, words)
-    heads = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return documents.join(heads, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col])
+    text_hash = F.xxhash64(text_of(text_col))
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), text_hash.alias("hash"))
+    prints = written(documents.select(rank.alias("head"), fingerprint_column(text_col, words).alias("fp")), "fingerprints")
+    nodes = _labelled(written(prints.groupBy("fp").agg(F.min("head").alias("head")), "heads"), radius)
+    # A text has one fingerprint, so id and text hash belong to one component.
+    heads = nodes.groupBy("label").agg(F.min("head").alias("head")).select(F.col("head.id").alias("_id"), F.col("head.hash").alias("_head"))
+    rows = documents.withColumn("_hash", text_hash).join(heads, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_head")), "left_semi")
+    return rows.dropDuplicates([id_col, "_hash"]).drop("_hash")

@@ -83,3 +83,13 @@ def test_links_keep_every_component(spark, block):
         return label
 
     assert classes(edges) == classes([(a, b) for a in fps for b in fps if bin(a ^ b).count("1") <= 2])
+
+
+def test_one_row_of_every_component(spark):
+    """Rows without an id and rows that share one are told apart by their component."""
+    texts = [f"{a} is a text of its own about {b} and {c}" for a, b, c in zip("abcdef", "ghijkl", "mnopqr")]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (3, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (9, texts[4]), (1, texts[5]), (2, None),
+            (None, "")]
+    got = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (3, texts[2]), (7, texts[3]), (7, texts[4]), (1, texts[5]), (2, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
