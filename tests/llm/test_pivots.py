@@ -63,3 +63,15 @@ def test_embeddings_recall(spark):
 
 def test_no_rows(spark):
     assert P.near_duplicates(documents(spark, "embeddings").limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("number", [89, 566, 4096])
+def test_recall_does_not_fall_with_more_pivots(spark, number):
+    """Pairs at cosine 0.90 exactly, in 64 dimensions: nearly all meet in a list."""
+    rng = np.random.default_rng(number)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, o = unit(rng.normal(size=(1000, 64))), rng.normal(size=(1000, 64))
+    b = 0.9 * a + (1 - 0.81) ** 0.5 * unit(o - (o * a).sum(axis=1, keepdims=True) * a)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "node long, vector array<double>")
+    lists = {r.node: set(r.lists) for r in P.inverted_lists(nodes, {64: unit(rng.normal(size=(number, 64)))}, 7, 2).collect()}
+    assert np.mean([bool(lists[i] & lists[1000 + i]) for i in range(1000)]) >= 0.99
