@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import fingerprints, language, mixing, packing, pivots, quality, rollups, simhash_tiles, toxicity, url_rules
+from partwise.llm import fingerprints, language, merkle, mixing, packing, pivots, quality, rollups, simhash_tiles, toxicity, url_rules
 from partwise.llm.common import bucket_of, table, written
 from partwise.plans.registry import Query
 from partwise.session import scratch_path
@@ -159,3 +159,59 @@ def op5(spark, sf_dir):
     for batch in (1, 2, 2, 3):
         store.commit(batch, rollups.deltas(batches[batch], {"words-v1": rollups.words, "pieces-v2": rollups.pieces}))
     return store.totals()
+
+
+#: crc32 of a string's bytes in SQL: a table of 256 from its polynomial, then one look-up per byte.
+CRC_SQL = """
+crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the unsigned crc32 of ``text``; reads ``tab`` of the table above."""
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """A tree over ``leaves`` (part, pos, h, n) as ``<name>``, and each node's siblings as ``<name>_sib``."""
+    run = "PARTITION BY lvl, part, pos // 3 ORDER BY pos ROWS BETWEEN"
+    return f"""
+{name} AS (SELECT 0 AS lvl, part, pos, h, n FROM {leaves} UNION ALL
+  SELECT lvl + 1, part, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY lvl, part, pos // 3, n),
+{name}_sib AS (SELECT lvl, part, pos, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name} WHERE n > 1)"""
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+d AS (SELECT row_number() OVER () AS rid, doc_id, source AS part, {_leaf_sql("text")} AS leaf,
+  CASE WHEN ({crc32_sql("doc_id::VARCHAR")}) % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} END AS altered FROM documents, crc),
+p AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY part) AS n FROM d),
+{_tree_sql("t", "p")},
+s AS (SELECT 0 AS part, part AS of_part, h, row_number() OVER (ORDER BY part NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+{_tree_sql("u", "s")},
+f AS (SELECT rid, part, 0 AS lvl, pos, coalesce(altered, leaf) AS h, '' AS proof FROM p UNION ALL
+  SELECT rid, f.part, f.lvl + 1, pos // 3, sha256(l || h || r), proof || l || r FROM f JOIN t_sib b USING (pos) WHERE b.lvl = f.lvl AND b.part IS NOT DISTINCT FROM f.part),
+g AS (SELECT rid, 0 AS lvl, s.pos, f.h, proof FROM (SELECT *, max(lvl) OVER (PARTITION BY rid) AS top FROM f) f JOIN s ON f.part IS NOT DISTINCT FROM s.of_part WHERE lvl = top UNION ALL
+  SELECT rid, g.lvl + 1, pos // 3, sha256(l || h || r), proof || l || r FROM g JOIN u_sib b USING (pos) WHERE b.lvl = g.lvl),
+e AS (SELECT rid, max_by(h, lvl) AS folded_root, sha256(max_by(proof, lvl)) AS proof_sha256 FROM g GROUP BY rid)
+SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT h FROM u WHERE n = 1) AS verified
+FROM p JOIN s ON p.part IS NOT DISTINCT FROM s.of_part JOIN e USING (rid)
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark, sf_dir):
+    """Every document against the manifest of the untouched table; where the id's crc32 is even, its line ends were taken out on the way."""
+    docs = table(spark, sf_dir, "documents")
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    altered = F.when(bucket_of("doc_id", 2) == 0, merkle.leaf(*values, F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    found = merkle.manifest(docs, "source", "doc_id", merkle.leaf(*values, F.col("text")), altered)
+    folded = merkle.folded(F.coalesce("altered", "leaf"), F.col("path"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
