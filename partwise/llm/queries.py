@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import fingerprints, language, merkle, mixing, packing, pivots, quality, rollups, simhash_tiles, toxicity, url_rules
+from partwise.llm import fingerprints, language, merkle, mixing, packing, pivots, quality, rollups, simhash_tiles, toxicity, url_rules, warc
 from partwise.llm.common import bucket_of, table, written
 from partwise.plans.registry import Query
 from partwise.session import scratch_path
@@ -215,3 +215,19 @@ def op11(spark, sf_dir):
     folded = merkle.folded(F.coalesce("altered", "leaf"), F.col("path"))
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+             row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS k,
+             first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS least FROM pages)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('%s', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - i %% 4 * 5)) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN least END AS refers_to
+FROM p
+""" % warc.BASE32
+
+
+@query("op12_warc_round_trip", OP12_SQL)
+def op12(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html", least_bytes=0)
