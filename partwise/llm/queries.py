@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from partwise.llm import fingerprints, language, merkle, mixing, packing, pivots, quality, rollups, simhash_tiles, toxicity, url_rules, warc
+from partwise.llm import fingerprints, language, merkle, mixing, packing, pivots, quality, rollups, simhash_tiles, spelling, toxicity, url_rules, warc
 from partwise.llm.common import bucket_of, table, written
 from partwise.plans.registry import Query
 from partwise.session import scratch_path
@@ -231,3 +231,27 @@ FROM p
 @query("op12_warc_round_trip", OP12_SQL)
 def op12(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html", least_bytes=0)
+
+
+OP13_SQL = f"""
+WITH {CRC_SQL},
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS k, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, k, {crc32_sql("key")} AS h FROM c, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM h GROUP BY 1),
+v AS (SELECT * FROM w WHERE length(word) >= 7 AND n >= 2),
+x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+s AS (SELECT DISTINCT v.word AS less, v.n AS less_n, x.word AS more, x.n AS more_n FROM x JOIN v ON x.cut = v.word),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION ALL SELECT less, less_n, more, more_n FROM s UNION ALL SELECT more, more_n, less, less_n FROM s),
+b AS (SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM p),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * v.n THEN near END AS form, CASE WHEN near_n >= 10 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN (SELECT * FROM b WHERE k = 1) b USING (word)),
+g AS (SELECT word, word AS place, 0 AS step FROM f UNION ALL SELECT g.word, f.form, step + 1 FROM g JOIN f ON g.place = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, max_by(place, step) AS root, n, n_near, form_n FROM f JOIN g ON f.word = g.word GROUP BY f.word, form, n, n_near, form_n
+""".replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark, sf_dir):
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
