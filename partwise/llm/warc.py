@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,10 +75,30 @@ def _heads(records: DataFrame, date: str) -> Column:
 
 
 class Archive:
-    """A content-addressed archive in a folder that all executors share."""
+    """A content-addressed archive in a folder that all executors share.
+
+    ``payloads`` and the heads of the responses are bucketed by digest alike, so they are joined
+    without shuffling a payload again; other heads (revisits and small payloads) can have any
+    number of rows per digest and lie apart.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.names = spark, folder, {}
+
+    def _bucketed(self, rows: DataFrame, name: str) -> None:
+        # As many buckets as shuffle partitions: a task of the aggregation by digest writes its own buckets only.
+        self.names[name] = f"archive_{name}_{uuid.uuid4().hex}"
+        rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{name}").bucketBy(
+            int(self.spark.conf.get("spark.sql.shuffle.partitions")), "sha256").saveAsTable(self.names[name])
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(self.names[name]) if name in self.names else self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        """Forget the tables' names; their files stay and can be opened by their folder."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = {}
 
     @staticmethod
     def store(pages: DataFrame, folder: str, id_col: str, url_col: str, payload_col: str, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> "Archive":
@@ -88,47 +109,49 @@ class Archive:
         after those with one; of repeated rows with the smallest id any one is the response. Long
         payloads are kept whole; an empty table gives an empty archive; other columns are ignored.
         """
-        payload = F.coalesce(F.col(payload_col).cast("string").cast("binary") if dict(pages.dtypes)[payload_col] != "binary" else F.col(payload_col), F.lit("").cast("binary"))
-        rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-        rows = rows.withColumns({"no": F.monotonically_increasing_id(), "sha256": F.sha2("payload", 256), "hex": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
+        payload = F.col(payload_col) if dict(pages.dtypes)[payload_col] == "binary" else F.col(payload_col).cast("string").cast("binary")
+        payload = F.coalesce(payload, F.lit("").cast("binary"))
+        rows = pages.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), F.monotonically_increasing_id().alias("no"),
+                            F.sha2(payload, 256).alias("sha256"), F.sha1(payload).alias("hex"), F.octet_length(payload).cast("long").alias("bytes"))
         rows = written(rows.withColumns({"sha1": base32("hex"), "record_id": F.regexp_replace(
             F.md5(F.concat(F.col("no").cast("string"), F.lit(":"), F.col("sha256"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "urn:uuid:$1-$2-$3-$4-$5")}).drop("hex"), "records")
         first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "no", "record_id"))
         # Equal SHA-256 of unequal payloads would show in their lengths or SHA-1; then nothing is stored.
-        same = F.coalesce(F.assert_true((F.min("sha1") == F.max("sha1")) & (F.min("bytes") == F.max("bytes")), "one SHA-256 of different payloads").cast("boolean"), F.lit(True))
-        groups = written(rows.groupBy("sha256").agg(first.alias("first"), F.count("*").alias("n"), same.alias("same")), "digests").drop("same")
-        heads = joined(rows.drop("payload"), groups.select("sha256", F.col("first.no").alias("first_no"), F.col("first.record_id").alias("first_id"), "n"), "sha256")
+        same = F.assert_true((F.min("sha1") == F.max("sha1")) & (F.min("bytes") == F.max("bytes")), "one SHA-256 of different payloads")
+        groups = rows.groupBy("sha256").agg(first.alias("first"), F.count("*").alias("n"), F.coalesce(same.cast("boolean"), F.lit(True)).alias("same"))
+        groups = written(groups, "digests").select("sha256", F.col("first.no").alias("first_no"), F.col("first.record_id").alias("first_id"), "n")
+        heads = joined(rows, groups, "sha256")
         heads = heads.withColumn("record_type", F.when((F.col("no") == F.col("first_no")) | (F.col("bytes") < least_bytes), "response").otherwise("revisit"))
-        heads.select("no", "sha256", "record_type", F.when(F.col("bytes") < least_bytes, F.col("bytes")).alias("small"), _heads(heads, date).alias("head")).write.parquet(f"{folder}/heads")
-        stored = rows.select("no", "sha256", "payload", "bytes").join(groups.select(F.col("first.no").alias("no")), "no")
-        stored.select("sha256", "bytes", "payload").write.parquet(f"{folder}/payloads")
-        return Archive(pages.sparkSession, folder)
-
-    def heads(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/heads")
+        heads = written(heads.select("no", "sha256", "record_type", (F.col("bytes") < least_bytes).alias("small"), _heads(heads, date).alias("head"),
+                                     F.when(F.col("record_type") == "response", F.col("bytes")).otherwise(0).alias("bytes")), "all_heads")
+        heads = heads.withColumn("size", F.octet_length("head") + F.col("bytes")).drop("bytes")
+        archive = Archive(pages.sparkSession, folder)
+        archive._bucketed(heads.filter("record_type = 'response' AND NOT small").repartition("sha256"), "heads")
+        heads.filter("record_type = 'revisit' OR small").write.parquet(f"{folder}/other_heads")
+        payloads = pages.select(F.sha2(payload, 256).alias("sha256"), payload.alias("payload")).groupBy("sha256").agg(F.first("payload").alias("payload"))
+        archive._bucketed(payloads, "payloads")
+        return archive
 
     def payloads(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/payloads")
+        """(sha256, payload), one row per distinct payload, each checked against its digest."""
+        bad = F.raise_error(F.concat(F.lit("payload does not match its digest "), "sha256"))
+        return self.table("payloads").select("sha256", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(bad).alias("payload"))
 
     def records(self) -> DataFrame:
-        """(no, record): the original bytes of every record, up to the blank lines that end it; each payload is checked against its digest."""
-        bad = F.raise_error(F.concat(F.lit("payload does not match its digest "), "sha256"))
-        checked = self.payloads().select("sha256", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(bad).alias("payload"))
-        heads = self.heads().select("no", "sha256", "record_type", "small", "head")
-        large = heads.filter("record_type = 'response' AND small IS NULL").join(checked, "sha256")
-        # Small payloads may have any number of responses; the hot ones are small and few.
-        small = heads.filter("small IS NOT NULL")
+        """(no, record): the original bytes of every record, up to the blank lines that end it."""
+        other = self.table("other_heads")
+        whole = self.table("heads").join(self.payloads(), "sha256").select("no", F.concat(F.col("head").cast("binary"), "payload").alias("record"))
+        small = other.filter("small")
         if not small.isEmpty():
-            counted = small.groupBy("sha256").agg(F.count("*").alias("n")).join(checked, "sha256")
-            large = large.unionByName(joined(small, written(counted, "small"), "sha256").select(large.columns))
-        whole = large.select("no", F.concat(F.col("head").cast("binary"), "payload").alias("record"))
-        return whole.unionByName(heads.filter("record_type = 'revisit'").select("no", F.col("head").cast("binary").alias("record")))
+            # Any number of records has the same small payload; the hot ones are small and few.
+            counted = small.groupBy("sha256").agg(F.count("*").alias("n")).join(self.payloads(), "sha256")
+            whole = whole.unionByName(joined(small, written(counted, "small"), "sha256").select("no", F.concat(F.col("head").cast("binary"), "payload").alias("record")))
+        return whole.unionByName(other.filter("NOT small").select("no", F.col("head").cast("binary").alias("record")))
 
     def export(self, folder: str) -> None:
         """All records as gzipped WARC files of about 64 MB of records each."""
-        r = self.payloads().agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
-        heads = self.heads().count()
-        mean = 600 + r[0] / max(1, heads)
+        sizes = self.table("heads").select("size").unionByName(self.table("other_heads").select("size"))
+        mean = sizes.agg(F.avg("size")).first()[0] or 1
         self.records().select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option(
             "maxRecordsPerFile", max(1, int(FILE_BYTES / mean))).text(folder)
 
@@ -209,5 +232,6 @@ def round_trip(pages: DataFrame, id_col: str, url_col: str, payload_col: str, le
     archive = Archive.store(pages, scratch_path(spark, "archive"), id_col, url_col, payload_col, least_bytes)
     files = scratch_path(spark, "warc")
     archive.export(files)
+    archive.close()
     kind = dict(pages.dtypes)[id_col]
     return resolved(read(spark, files)).select(F.col("record_key").cast(kind).alias(id_col), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -61,8 +61,8 @@ def test_records_payloads_and_files(spark, tmp_path):
 def test_damaged_payloads_and_files_raise(spark, tmp_path):
     df = spark.createDataFrame(PAGES[:2], SCHEMA)
     archive = W.Archive.store(df, str(tmp_path / "a"), "page_id", "url", "html")
-    damaged = archive.payloads().withColumn("payload", F.lit("cop1").cast("binary"))
-    archive.payloads = lambda: damaged
+    archive.close()
+    spark.createDataFrame([(r.sha256, bytearray(b"cop1")) for r in archive.payloads().collect()], "sha256 string, payload binary").write.mode("overwrite").parquet(archive.folder + "/payloads")
     with pytest.raises(Exception, match="does not match its digest"):
         archive.records().collect()
     with pytest.raises(ValueError, match="ends before"):
