@@ -20,6 +20,8 @@ from partwise.llm.common import ascii_lower, text_of, written
 
 #: Prefixes longer than this name their node by a digest.
 LONG = 64
+#: A node tells its next so many code points, so that states that cannot go on are not kept.
+AHEAD = 2
 
 
 def _node(reverse: Column, prefix: Column) -> Column:
@@ -48,11 +50,13 @@ def vocabulary(documents: DataFrame, id_col: str, text_col: str, letters: str, m
     return words.filter(F.length("word") >= least_length).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_count)
 
 
-def _paths(words: DataFrame) -> DataFrame:
-    """(word, n, reverse, start, text, path): of each word and direction its kept nodes, struct(l, node, nexts, ends), in order.
+def _trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The paths of all words and the distributed edge table of both tries.
 
-    ``l`` is the length of the node's prefix, ``nexts`` the code points that follow it and ``ends``
-    the count of the word that ends there.
+    Paths are (word, reverse, start, text, path), one row per word and direction: the kept nodes
+    struct(l, node, ends) in order, with the length of the prefix and the count of the word that
+    ends there. Edges are (node, first, label, ahead, ends), one row per kept node with a kept
+    node above it; ``ahead`` lists the next two code points below it.
     """
     both = words.withColumn("reverse", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("len", F.length("word"))
     half = F.floor(F.col("len") / 2).cast("int")
@@ -60,76 +64,66 @@ def _paths(words: DataFrame) -> DataFrame:
     both = both.select("word", "n", "reverse", "len", F.when(F.col("reverse"), F.reverse("word")).otherwise(F.col("word")).alias("text"),
                        F.when(F.col("reverse"), F.col("len") - half).otherwise(half).alias("start"),
                        F.when(F.col("reverse"), half).otherwise(F.floor((F.col("len") - 1) / 2).cast("int")).alias("least"))
-    rows = both.withColumn("l", F.explode(F.sequence("least", "len"))).select(
-        "word", "n", "reverse", "start", "text", "l", _node(F.col("reverse"), F.substring("text", F.lit(1), F.col("l"))).alias("node"), F.substring("text", F.col("l") + 1, F.lit(1)).alias("next"))
-    nodes = rows.groupBy("node").agg(F.array_join(F.sort_array(F.collect_set("next")), "").alias("nexts"), F.max(F.col("l") == F.col("start")).alias("entered"),
-                                     F.max(F.when(F.col("next") == "", F.col("n"))).alias("ends"))
-    kept = nodes.filter(F.col("entered") | F.col("ends").isNotNull() | (F.length("nexts") > 1)).drop("entered")
-    on_path = rows.drop("next").join(kept, "node").groupBy("reverse", "word").agg(
-        F.first("n").alias("n"), F.first("start").alias("start"), F.first("text").alias("text"), F.sort_array(F.collect_list(F.struct("l", "node", "nexts", "ends"))).alias("path"))
-    return on_path
-
-
-def _edges(paths: DataFrame) -> DataFrame:
-    """The distributed edge table: (node, first, label, nexts, ends), one row per kept node that has a kept node above it."""
+    rows = both.withColumn("l", F.explode(F.sequence("least", "len"))).withColumn("node", _node(F.col("reverse"), F.substring("text", F.lit(1), F.col("l"))))
+    nodes = rows.select("node", F.substring("text", F.col("l") + 1, F.lit(AHEAD)).alias("next"), (F.col("l") == F.col("start")).alias("entered"), F.when(F.col("l") == F.col("len"), F.col("n")).alias("ends"))
+    nodes = nodes.groupBy("node").agg(F.collect_set("next").alias("ahead"), F.max("entered").alias("entered"), F.max("ends").alias("ends"))
+    parts = F.size(F.array_distinct(F.transform("ahead", lambda x: F.substring(x, 1, 1)))) > 1
+    kept = written(nodes.filter(F.col("entered") | F.col("ends").isNotNull() | parts).select("node", F.concat(F.lit(","), F.array_join("ahead", ","), F.lit(",")).alias("ahead"), "ends"), "trie_nodes")
+    paths = rows.select("word", "reverse", "start", "text", "l", "node").join(kept.select("node", "ends"), "node").groupBy("reverse", "word").agg(
+        F.first("start").alias("start"), F.first("text").alias("text"), F.sort_array(F.collect_list(F.struct("l", "node", "ends"))).alias("path"))
+    paths = written(paths, "trie_paths")
     steps = F.transform(F.slice("path", F.lit(2), F.size("path")), lambda below, i: F.struct(
-        F.get("path", i).node.alias("node"), below.node.alias("child"), F.substring(F.col("text"), F.get("path", i).l + 1, below.l - F.get("path", i).l).alias("label"),
-        below.nexts.alias("nexts"), below.ends.alias("ends")))
-    rows = paths.select(F.explode(steps).alias("e")).select("e.*")
+        F.get("path", i).node.alias("node"), below.node.alias("child"), F.substring(F.col("text"), F.get("path", i).l + 1, below.l - F.get("path", i).l).alias("label")))
     # Every word below a node tells of the same edge.
-    edges = rows.groupBy("child").agg(F.first("node").alias("node"), F.first("label").alias("label"), F.first("nexts").alias("nexts"), F.first("ends").alias("ends"))
-    return edges.select("node", F.substring("label", F.lit(1), F.lit(1)).alias("first"), "label", "nexts", "ends")
+    edges = paths.select(F.explode(steps).alias("e")).select("e.*").groupBy("child").agg(F.first("node").alias("node"), F.first("label").alias("label"))
+    edges = edges.join(kept.withColumnRenamed("node", "child"), "child").select("node", F.substring("label", F.lit(1), F.lit(1)).alias("first"), "label", "ahead", "ends")
+    return paths, written(edges, "trie_edges")
 
 
-STATE = ("word", "n", "reverse", "half", "rest", "made", "nexts", "ends")
+def _alive() -> Column:
+    """At the end of the word and of another one, or with its next code points below the node."""
+    return F.when(F.col("rest") == "", F.col("ends").isNotNull()).otherwise(F.instr("ahead", F.concat(F.lit(","), F.substring("rest", F.lit(1), F.lit(AHEAD)), F.lit(","))) > 0)
 
 
 def _edited(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """States behind one edit. ``rest`` is what is left of the word, ``made`` the text on the way to the node."""
+    """(word, reverse, rest, made, ends): states behind one edit. ``rest`` is what is left of the word, ``made`` the text on the way to the node."""
     own = paths.withColumn("at", F.explode(F.filter("path", lambda p: p.l >= F.col("start"))))
-    half = F.when(F.col("reverse"), F.length("word") - F.col("start")).otherwise(F.col("start"))
-    own = own.select("word", "n", "reverse", half.alias("half"), F.col("at.node").alias("node"), F.col("at.ends").alias("node_ends"),
+    own = own.select("word", "reverse", F.col("at.node").alias("node"), F.col("at.ends").alias("node_ends"),
                      _after(F.col("text"), F.col("at.l")).alias("rest"), F.substring("text", F.lit(1), F.col("at.l")).alias("made"))
     own = own.withColumn("next", F.substring("rest", F.lit(1), F.lit(1)))
     # The last code point is one too many.
-    dropped = own.filter((F.length("rest") == 1) & F.col("node_ends").isNotNull()).select(
-        "word", "n", "reverse", "half", F.lit("").alias("rest"), "made", F.lit("").alias("nexts"), F.col("node_ends").alias("ends"))
-    met = own.join(edges, "node").filter(F.col("first") != F.col("next"))
+    dropped = own.filter((F.length("rest") == 1) & F.col("node_ends").isNotNull()).select("word", "reverse", F.lit("").alias("rest"), "made", F.col("node_ends").alias("ends"))
+    met = own.drop("node_ends").join(edges, "node").filter(F.col("first") != F.col("next"))
     label, rest, size = F.col("label"), F.col("rest"), F.length("label")
     tail = _after(label, 1)
     replaced = F.when((rest != "") & (F.substring(rest, F.lit(2), size - 1) == tail), _after(rest, size))
     inserted = F.when(F.substring(rest, F.lit(1), size - 1) == tail, _after(rest, size - 1))
     deleted = F.when(F.substring(rest, F.lit(2), size) == label, _after(rest, size + 1))
     met = met.withColumn("left", F.explode(F.array_compact(F.array(replaced, inserted, deleted))))
-    return dropped.unionByName(met.select("word", "n", "reverse", "half", F.col("left").alias("rest"), F.concat("made", "label").alias("made"), "nexts", "ends").filter(_alive()))
-
-
-def _alive() -> Column:
-    """At the end of the word and of another one, or with an edge for the next code point."""
-    return F.when(F.col("rest") == "", F.col("ends").isNotNull()).otherwise(F.instr("nexts", F.substring("rest", F.lit(1), F.lit(1))) > 0)
+    met = met.select("word", "reverse", F.col("left").alias("rest"), F.concat("made", "label").alias("made"), "ends", "ahead").filter(_alive()).drop("ahead")
+    return dropped.unionByName(met)
 
 
 def _followed(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States one level down, along the edge whose label comes next."""
-    going = states.filter("rest <> ''").drop("nexts", "ends").withColumns(
-        {"node": _node(F.col("reverse"), F.col("made")), "first": F.substring("rest", F.lit(1), F.lit(1))})
+    going = states.drop("ends").withColumns({"node": _node(F.col("reverse"), F.col("made")), "first": F.substring("rest", F.lit(1), F.lit(1))})
     met = going.join(edges, ["node", "first"]).filter(F.startswith("rest", "label"))
-    return met.select("word", "n", "reverse", "half", _after(F.col("rest"), F.length("label")).alias("rest"), F.concat("made", "label").alias("made"), "nexts", "ends").filter(_alive())
+    return met.select("word", "reverse", _after(F.col("rest"), F.length("label")).alias("rest"), F.concat("made", "label").alias("made"), "ends", "ahead").filter(_alive()).drop("ahead")
 
 
 def neighbours(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n): all ordered pairs of ``words`` (word, n; distinct words) that differ by exactly one inserted, deleted or replaced code point."""
-    paths = written(_paths(words), "trie_paths")
-    edges = written(_edges(paths), "trie_edges")
+    """(word, near, near_n): all ordered pairs of ``words`` (word, n; distinct words) that differ by exactly one inserted, deleted or replaced code point."""
+    paths, edges = _trie(words)
     states = written(_edited(paths, edges), "trie_states")
     found = states
     while not (going := states.filter("rest <> ''")).isEmpty():
         states = written(_followed(going, edges), "trie_states")
         found = found.unionByName(states)
-    near = found.filter("rest = ''").select("word", "n", "reverse", "half", F.when(F.col("reverse"), F.reverse("made")).otherwise(F.col("made")).alias("near"), F.col("ends").alias("near_n"))
+    near = found.filter("rest = ''").select("word", "reverse", F.when(F.col("reverse"), F.reverse("made")).otherwise(F.col("made")).alias("near"), F.col("ends").alias("near_n"))
     # A pair that agrees on both halves (one code point inserted in the middle) is met in both tries.
-    first = F.substring("word", F.lit(1), F.col("half")) == F.substring("near", F.lit(1), F.col("half"))
-    return near.filter(~F.col("reverse") | ~first).select("word", "n", "near", "near_n")
+    half = F.floor(F.length("word") / 2).cast("int")
+    first = F.substring("word", F.lit(1), half) == F.substring("near", F.lit(1), half)
+    return near.filter(~F.col("reverse") | ~first).select("word", "near", "near_n")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
