@@ -25,6 +25,8 @@ from partwise.llm.common import sampled_rows, written
 TOKEN = re.compile(r"\w+")
 STEMS = (4, 5)
 BUCKETS = 1 << 18
+#: Cells that pairs of words are counted in before the promising ones are counted exactly.
+CELLS = 1 << 20
 
 
 def buckets_of(word: str) -> list[int]:
@@ -86,15 +88,67 @@ def _train(rows: list[np.ndarray], y: np.ndarray, start: np.ndarray, passes: int
     return theta
 
 
+def _pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of a text's words, the smaller first, and their cells."""
+    i, j = np.triu_indices(len(words), 1)
+    a, b = words[i].astype(np.uint64), words[j].astype(np.uint64)
+    return words[i], words[j], ((a * np.uint64(0x9E3779B1) ^ b * np.uint64(0x85EBCA6B)) >> np.uint64(7)).astype(np.int64) % CELLS
+
+
+def _telling_words(features: DataFrame, frequent: np.ndarray, n: float, ones: float, least_gain: float) -> np.ndarray:
+    """Buckets of words that say something beside another word: among the texts with the one, the label depends on the other.
+
+    Pairs are counted in hashed cells first, so that only those are counted exactly whose cell
+    depends on the label. What a task holds is bounded by the cells, and the driver gets at most
+    one number per cell and per bucket.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, CELLS), np.int64)
+        for batch in batches:
+            for y, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words.values.to_numpy()
+                cell, k = np.unique(_pairs(words[frequent[words]])[2], return_counts=True)
+                counts[y, cell] += k
+        met = np.nonzero(counts.sum(axis=0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[:, met].sum(axis=0)), pa.array(counts[1, met])], names=["cell", "df", "a"])
+
+    def gain(n, ones, df, a):
+        return F.try_divide(n * F.pow(a * n - df * ones, 2), df * (n - df) * ones * (n - ones))
+
+    df, a = F.col("df"), F.col("a")
+    rows = features.select("y", "words")
+    counted = rows.coalesce(8).mapInArrow(cells, "cell long, df long, a long").groupBy("cell").agg(F.sum("df").alias("df"), F.sum("a").alias("a"))
+    promising = np.zeros(CELLS, bool)
+    promising[counted.filter((df >= 5) & (df < n) & (gain(n, ones, df, a) >= least_gain)).select("cell").toPandas()["cell"].to_numpy(np.int64)] = True
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for y, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words.values.to_numpy()
+                left, right, cell = _pairs(words[frequent[words]])
+                keep = promising[cell]
+                yield pa.RecordBatch.from_arrays([pa.array(left[keep]), pa.array(right[keep]), pa.array(np.full(keep.sum(), y, np.int32))], names=["u", "v", "y"])
+
+    exact = rows.mapInArrow(pairs, "u int, v int, y int").groupBy("u", "v").agg(F.count("*").alias("df"), F.sum("y").alias("a")).filter(df >= 5)
+    one = rows.select("y", F.explode("words").alias("u")).groupBy("u").agg(F.count("*").alias("n_u"), F.sum("y").alias("ones_u"))
+    exact = exact.join(one, "u").join(one.select(F.col("u").alias("v"), F.col("n_u").alias("n_v"), F.col("ones_u").alias("ones_v")), "v")
+    beside = lambda m, k: F.coalesce(gain(F.col(m).cast("double"), F.col(k), df, a), F.lit(0.0)) >= least_gain
+    telling = exact.filter(beside("n_u", "ones_u") | beside("n_v", "ones_v")).select(F.explode(F.array("u", "v")).alias("t")).distinct()
+    return telling.toPandas()["t"].to_numpy(np.int64)
+
+
 def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000,
           rank: int = 4, rounds: int = 4, passes: int = 8, shards: int = 4, rate: float = 0.25, penalty: float = 3e-4, least_gain: float = 10.0,
-          seed: int = 11) -> Machine:
+          least_pair_gain: float = 30.0, seed: int = 11) -> Machine:
     """A machine from the labelled documents.
 
     At most about ``max_rows`` labelled rows are used, chosen by a hash of the id (null labels,
-    ids and texts are skipped; a document without a label is not used). Only buckets whose
-    occurrence depends on the label (chi-square of at least ``least_gain``, in three texts or
-    more) get parameters. Without labelled rows the machine gives every text one half.
+    ids and texts are skipped; a document without a label is not used; repeated rows count each;
+    long texts are read whole). Buckets get parameters if they occur in three texts or more and
+    their occurrence depends on the label, alone (chi-square of at least ``least_gain``) or
+    beside another word (``least_pair_gain``, of words in one text of 200 or more): a pair of
+    neutral words can be what is toxic. Without labelled rows the machine gives every text one half.
     """
     labelled = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).dropna()
     labelled = sampled_rows(labelled, "i", max_rows)
@@ -103,9 +157,11 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sorted({b for w in set(TOKEN.findall(t.as_py().lower())) for b in buckets_of(w)}) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["i", "y", "terms"])
+            words = [sorted({buckets_of(w)[0] for w in set(TOKEN.findall(t.as_py().lower()))}) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))],
+                                             names=["i", "y", "terms", "words"])
 
-    features = written(rows.select(F.col("i").cast("string"), "text", "y").mapInArrow(terms, "i string, y int, terms array<int>"), "terms")
+    features = written(rows.select(F.col("i").cast("string"), "text", "y").mapInArrow(terms, "i string, y int, terms array<int>, words array<int>"), "terms")
     whole = features.agg(F.count("*").alias("n"), F.sum("y").alias("ones")).first()
     n, ones = float(whole.n), float(whole.ones or 0)
     slot = np.full(BUCKETS, -1, np.int32)
@@ -115,7 +171,11 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     gain = n * F.pow(a * n - df * ones, 2) / (df * (n - df) * ones * (n - ones))
     kept = features.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.sum("y").alias("a")).filter(
         (df >= 3) & (df < n) & (gain >= least_gain)).select("t").toPandas()["t"]
-    slot[np.sort(kept.to_numpy(dtype=np.int64))] = np.arange(len(kept), dtype=np.int32)
+    of_words = features.select(F.explode("words").alias("t")).groupBy("t").agg(F.count("*").alias("df")).filter((df >= max(5.0, n / 200)) & (df < n)).select("t").toPandas()["t"]
+    frequent = np.zeros(BUCKETS, bool)
+    frequent[of_words.to_numpy(np.int64)] = True
+    kept = np.union1d(kept.to_numpy(np.int64), _telling_words(features, frequent, n, ones, least_pair_gain))
+    slot[kept] = np.arange(len(kept), dtype=np.int32)
     theta = np.random.default_rng(seed).normal(0, 0.01, (len(kept) + 1, rank + 1))
     theta[:, 0] = 0
     theta[-1] = 0

@@ -87,6 +87,41 @@ def test_toxicity_learns_a_pair(spark):
     assert score("w1 insult group") > 0.5 > max(score("w1 insult chair"), score("w1 calm group"), score("w1 calm chair"))
 
 
+def test_toxicity_learns_pairs_of_neutral_words(spark):
+    """No word says anything on its own; two of the four pairs are toxic."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(2000):
+        a, b = rng.integers(2), rng.integers(2)
+        filler = " ".join(f"w{rng.integers(40)}" for _ in range(8))
+        rows.append((i, f"{filler} {('rotten', 'lovely')[a]} {('chair', 'group')[b]}", int(a == b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    score = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic")).scorer()
+    assert min(score("lovely group"), score("rotten chair")) > 0.9 and max(score("lovely chair"), score("rotten group")) < 0.1
+
+
+def test_probability_and_step_against_sums():
+    """The margin is the double sum over pairs, and one step follows the derivative of the log loss."""
+    rng = np.random.default_rng(4)
+    theta, x, y = rng.normal(0, 0.3, (7, 4)), np.array([0, 2, 5]), 1.0
+    theta[-1, 1:] = 0
+
+    def loss(t):
+        v = t[x, 1:]
+        margin = t[-1, 0] + t[x, 0].sum() + sum(v[i] @ v[j] for i in range(3) for j in range(i))
+        assert np.isclose(toxicity._probability(t[-1, 0], t[:, 0], t[:, 1:], x), 1 / (1 + np.exp(-margin)))
+        return np.log1p(np.exp(-margin)) if y else np.log1p(np.exp(margin))
+
+    moved = toxicity._train([x], np.array([y]), theta, 1, 1e-3, 0.0, 0) - theta
+    for i, k in [(0, 0), (2, 1), (5, 3), (6, 0), (1, 1)]:
+        up, down = theta.copy(), theta.copy()
+        up[i, k] += 1e-6
+        down[i, k] -= 1e-6
+        slope = (loss(up) - loss(down)) / 2e-6
+        # An adaptive step divides by the root of the start value and the square of the slope.
+        assert np.isclose(moved[i, k], -1e-3 * slope / np.sqrt(1e-2 + slope * slope), atol=1e-8)
+
+
 def test_toxicity_awkward(spark):
     df = awkward(spark)
     labels = spark.createDataFrame([(4, 1), (5, 0), (6, None), (None, 1), (99, 1)], "doc_id long, toxic int")
