@@ -18,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that are written with other signs than digits: halves, circled and Roman numbers.
+NUMBER_SIGNS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+NOT_LETTERS = re.compile(rf"[\W\d_{NUMBER_SIGNS}]+")
 UNKNOWN = "und"
 SIZES = (3, 5)
 #: Odd multipliers of the hash functions, one for each probe.

@@ -155,20 +155,24 @@ def position(offset: Column) -> Column:
     return F.least(s["t"] + F.when(root > 0, F.least(2 * x / root, s["d"])).otherwise(F.lit(0.0)), F.lit(1.0))
 
 
-def in_training_order(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """The columns of ``documents`` and ``_position``, each row as often as it is taken, range-sorted by position.
+def copies_in_order(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(row, position, rank) and the columns of ``mixed`` named in ``carry``: each row of ``documents`` as a struct, as often as it is taken, range-sorted by position.
 
     Rows that share an id are told apart by their text and then by number, so repeated rows stay
-    exact. Columns of ``mixed`` named in ``carry`` and the ``_rank`` among the rows of an id come along if wanted.
+    exact; ``rank`` is the number among the rows of an id. Columns of ``documents`` may have any name.
     """
-    mine = Window.partitionBy(id_col).orderBy("_hash")
-    left = documents.withColumn("_hash", F.xxhash64(text_of(text_col))).withColumn("_no", F.row_number().over(mine))
-    copies = mixed.select(F.col(id_col).alias("_id"), "text_hash", F.transform("offsets", position).alias("_positions"), *[F.col(c).alias(f"_{c}") for c in carry])
-    copies = copies.withColumn("_rank", F.row_number().over(Window.partitionBy("_id").orderBy("text_hash"))).filter(F.size("_positions") > 0)
-    joined = left.join(copies, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_no") == F.col("_rank")))
-    extra = ["_rank", *[f"_{c}" for c in carry]] if carry else []
-    rows = joined.select(*documents.columns, *extra, F.explode("_positions").alias("_position"))
-    return rows.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col)
+    left = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("hash"))
+    left = left.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("hash")))
+    copies = mixed.select(F.col(id_col).alias("of"), F.row_number().over(Window.partitionBy(id_col).orderBy("text_hash")).alias("no"),
+                          F.transform("offsets", position).alias("positions"), *carry).filter(F.size("positions") > 0)
+    joined = left.join(copies, F.col("id").eqNullSafe(F.col("of")) & (F.col("rank") == F.col("no")))
+    rows = joined.select("row", "id", "rank", *carry, F.explode("positions").alias("position"))
+    return rows.repartitionByRange("position", "id").sortWithinPartitions("position", "id")
+
+
+def in_training_order(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents``, each as often as it is taken, range-sorted by position; see ``copies_in_order``."""
+    return copies_in_order(documents, mixed, id_col, text_col).select("row.*")
 
 
 def taken_in_order(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,9 +183,10 @@ def taken_in_order(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id
     """
     columns = ["size", "source_size", "target"]
     mixed = written(mixed, "mix")
-    ordered = written(in_training_order(documents.select(id_col, text_col), mixed, id_col, text_col, columns).drop(text_col), "ordered")
-    found = ordered.groupBy(id_col, "_rank").agg(*[F.first(f"_{c}").alias(c) for c in columns], F.sum("_size").alias("taken"), F.min("_position").alias("_first"))
-    never = mixed.filter("copies = 0").select(id_col, *columns, "taken", F.lit(None).cast("double").alias("_first"))
-    rows = found.select(id_col, *columns, "taken", "_first").unionByName(never)
-    by = [F.col("_first").asc_nulls_last(), F.col(id_col)]
-    return rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_first")
+    ordered = copies_in_order(documents.select(id_col, text_col), mixed, id_col, text_col, columns)
+    ordered = written(ordered.select("id", "rank", "position", *columns), "ordered")
+    found = ordered.groupBy("id", "rank").agg(*[F.first(c).alias(c) for c in columns], F.sum("size").alias("taken"), F.min("position").alias("first"))
+    never = mixed.filter("copies = 0").select(F.col(id_col).alias("id"), *columns, "taken", F.lit(None).cast("double").alias("first"))
+    rows = found.select("id", *columns, "taken", "first").unionByName(never)
+    by = [F.col("first").asc_nulls_last(), F.col("id")]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).select(F.col("id").alias(id_col), *columns, "taken")

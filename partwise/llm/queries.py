@@ -74,30 +74,11 @@ def op9(spark, sf_dir):
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)))
 
-OP8_SQL = """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5(CAST(doc_id AS VARCHAR)) AS k FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM s),
-c AS (SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source) AS r FROM w),
-lv AS (SELECT max((1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce((SELECT sum(cap) FROM c b WHERE b.r < a.r), 0)) / (SELECT sum(weight) FROM c b WHERE b.r >= a.r)) AS level FROM c a),
-t AS (SELECT source, source_size, least(cap, weight * level) AS target FROM c, lv),
-p AS (SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS passes, target - floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) * source_size AS rest FROM t),
-e AS (SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.passes, p.rest,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS fin
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-f AS (SELECT *, coalesce(max(CASE WHEN fin <= rest THEN fin END) OVER (PARTITION BY source), 0) AS filled FROM e),
-g AS (SELECT *, CASE WHEN fin > rest AND size > 0 AND abs(rest - filled - size) < rest - filled THEN
-             row_number() OVER (PARTITION BY source, fin > rest AND size > 0 AND abs(rest - filled - size) < rest - filled ORDER BY abs(rest - filled - size), fin) END AS pick FROM f)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       ((passes + CASE WHEN fin <= rest OR coalesce(pick = 1, false) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM g
-"""
-
-
-@query("op8_curriculum_mixing", OP8_SQL)
+@query("op8_curriculum_mixing")
 def op8(spark, sf_dir):
-    """What is taken of each document, in the order of its first copy; the SQL fixes that one document closes a source's prefix."""
+    """What is taken of each document, in the order of its first copy."""
     docs = table(spark, sf_dir, "documents")
-    return mixing.taken_in_order(docs, mixing.mix(docs, WEIGHTS, SHARE, CAP, SCHEDULES, refill=False))
+    return mixing.taken_in_order(docs, mixing.mix(docs, WEIGHTS, SHARE, CAP, SCHEDULES))
 
 
 @query("op2_language_id")

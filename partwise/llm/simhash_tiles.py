@@ -128,7 +128,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
-    """One row of ``documents`` for each component: that with the smallest id; all columns stay.
+    """One row of ``documents`` for each component: that with the smallest id; all columns stay, whatever their names.
 
     Among different texts with that id the one with the smallest hash stays, of repeated rows any
     one. Rows without an id stay only where no other row of their component has one; rows that
@@ -140,5 +140,6 @@ def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = _labelled(written(prints.groupBy("fp").agg(F.min("head").alias("head")), "heads"), radius)
     # A text has one fingerprint, so id and text hash belong to one component.
     heads = nodes.groupBy("label").agg(F.min("head").alias("head")).select(F.col("head.id").alias("_id"), F.col("head.hash").alias("_head"))
-    rows = documents.withColumn("_hash", text_hash).join(heads, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_head")), "left_semi")
-    return rows.dropDuplicates([id_col, "_hash"]).drop("_hash")
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_hash.alias("hash"))
+    rows = rows.join(heads, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_head")), "left_semi")
+    return rows.dropDuplicates(["id", "hash"]).select("row.*")

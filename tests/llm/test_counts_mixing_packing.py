@@ -105,8 +105,8 @@ def test_positions_follow_the_schedule(spark):
     """The share of a source's words before a time is the integral of its schedule up to then."""
     schedule = ((0.0, 0.5), (0.4, 2.0), (1.0, 0.25))
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("w " * 5).alias("text"))
-    ordered = mixing.in_training_order(docs, mixing.mix(docs, (1,), 1.0, 2.0, [schedule]))
-    t = np.array([r._position for r in ordered.collect()])
+    ordered = mixing.copies_in_order(docs, mixing.mix(docs, (1,), 1.0, 2.0, [schedule]))
+    t = np.array([r.position for r in ordered.collect()])
     assert (np.diff(t) >= 0).all() and len(t) == 2000
     fine = np.linspace(0, 1, 100_001)
     w = np.interp(fine, *zip(*schedule))
@@ -134,7 +134,7 @@ def test_mixing_query_follows_the_curriculum(spark, monkeypatch):
         return [r.doc_id for r in queries.REGISTRY["op8_curriculum_mixing"].run(spark, SF).collect() if r.taken]
 
     def want():
-        mixed = mixing.mix(docs, queries.WEIGHTS, queries.SHARE, queries.CAP, queries.SCHEDULES, refill=False)
+        mixed = mixing.mix(docs, queries.WEIGHTS, queries.SHARE, queries.CAP, queries.SCHEDULES)
         return [i for i in dict.fromkeys(r.doc_id for r in mixing.in_training_order(docs, mixed).collect()) if i in words]
 
     words = {r.doc_id for r in docs.collect() if (r.text or "").split()}

@@ -54,3 +54,17 @@ def test_awkward_rows(spark):
     for _, stage in C.STAGES:
         none = C.written(stage(spark, none, SF), "none")
     assert none.count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns with the names that the stages use themselves pass unchanged."""
+    names = "_id _hash _no _rank _position _positions text_hash _language _toxicity row id hash rank found score position size of no head label fp".split()
+    docs = documents(spark).limit(60)
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, docs.doc_id * 100 + i)
+    columns = docs.columns
+    for name, stage in C.STAGES[:-1]:
+        docs = C.written(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+        assert all(r[c] == r.doc_id * 100 + i for r in docs.collect() for i, c in enumerate(names))
+    assert C.STAGES[-1][1](spark, docs, SF).count() >= docs.count() > 0

@@ -54,6 +54,31 @@ def test_language_awkward(spark):
     assert df.select(language.identify(nothing, df).alias("l")).filter("l.lang_pred = 'und' AND l.score = 0").count() == len(AWKWARD)
 
 
+def test_predictions_against_sets(spark):
+    """Every prediction of the small table from plain sets of n-grams; the filters have so many bits that false positives do not count."""
+    docs = documents(spark).select("doc_id", "text", "lang")
+    f = language.learn(docs, bits=24)
+    texts, sets = {}, {}
+    for r in docs.collect():
+        if r.lang is not None and r.text is not None:
+            texts.setdefault(r.lang, []).append(set(language.grams(r.text).tolist()))
+    share = {k: {g: n / len(v) for g, n in __import__("collections").Counter(g for t in v for g in t).items() if n >= 2} for k, v in texts.items()}
+    for k in share:
+        sets[k] = {g for g, s in share[k].items() if s >= 0.004 and s >= 0.1 * max(o.get(g, 0) for o in share.values())}
+    for r in docs.select("doc_id", "text", language.identify(f, docs).alias("l")).collect():
+        g = language.grams(r.text or "").tolist()
+        if not g:
+            assert r.l.lang_pred == "und"
+            continue
+        want = {k: sum(x in sets[k] for x in g) / len(g) for k in sorted(sets)}
+        assert r.l.lang_pred == max(want, key=want.get) and abs(r.l.score - max(want.values()) ** 2 / sum(v * v for v in want.values())) < 1e-3
+
+
+@pytest.mark.parametrize("text", ["½", "②", "²", "Ⅷ", "7 ¾", "_", "", "٣"])
+def test_numbers_are_no_letters(text):
+    assert not len(language.grams(text))
+
+
 @pytest.mark.parametrize("text", ["A.", "7 b", "x", "é", "ab", "a b", "Is.", "中"])
 def test_grams_of_short_texts(text):
     b = f" {' '.join(''.join(c if c.isalpha() else ' ' for c in text.lower()).split())} ".encode()
