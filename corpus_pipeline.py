@@ -15,36 +15,50 @@ from partwise.llm.common import bucket_of, table, written
 from partwise.llm.queries import CAP, SCHEDULES, SHARE, WEIGHTS, tokenizer_path
 from partwise.plans.registry import Query
 
-#: Below this score no language is clearly ahead of the others.
-LEAST_LANGUAGE_SCORE = 0.35
+#: No language is clearly ahead below so many times the score of an even text, which is one over the number of languages.
+LEAST_LANGUAGE_SCORE = 1.4
 MOST_TOXICITY = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter or a clear language go. The filters learn from the rows' own ``lang``."""
+    """Documents in a language; those without a letter (null and empty texts too) or a clear language go.
+
+    The filters learn from the rows' own ``lang`` where there is one. Whole texts count; repeated
+    rows have one fate; all columns stay, whatever their names; an empty table stays empty.
+    """
     filters = language.learn(docs.filter(bucket_of("doc_id", 5) != 0))
-    found = docs.withColumn("_language", language.identify(filters, docs))
-    return found.filter((F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    found = docs.select(F.struct("*").alias("row"), language.identify(filters, docs).alias("found"))
+    least = LEAST_LANGUAGE_SCORE / max(2, len(filters.languages))
+    return found.filter((F.col("found.lang_pred") != language.UNKNOWN) & (F.col("found.score") >= least)).select("row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine does not hold toxic. It learns from the labelled rows among them."""
+    """Documents that the machine does not hold toxic. It learns from the labelled rows among them.
+
+    Null and empty texts have the score of a text without known words; whole texts count;
+    repeated rows have one fate; all columns stay, whatever their names; an empty table stays empty.
+    """
     machine = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(bucket_of("doc_id", 5) != 0))
-    return docs.withColumn("_toxicity", toxicity.toxicity(machine, docs)).filter(F.col("_toxicity") < MOST_TOXICITY).select(*docs.columns)
+    return docs.select(F.struct("*").alias("row"), toxicity.toxicity(machine, docs).alias("score")).filter(F.col("score") < MOST_TOXICITY).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
+    """The document with the smallest id of each near-duplicate group; null and wordless texts are one group, ties go by the text's hash.
+
+    One of repeated rows stays; all columns stay, whatever their names; an empty table stays empty.
+    """
     return simhash_tiles.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in training order."""
-    return mixing.in_training_order(docs, mixing.mix(docs, WEIGHTS, SHARE, CAP, SCHEDULES)).select(*docs.columns)
+    """Each document as often as the mix takes it, in training order. Null texts have no words, a null source is a source;
+    repeated rows are documents of their own; all columns stay, whatever their names; an empty table stays empty."""
+    return mixing.in_training_order(docs, mixing.mix(docs, WEIGHTS, SHARE, CAP, SCHEDULES))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences. Null and empty texts are one token long, only texts of more than
+    a sequence are cut, repeated rows are packed each; other columns are ignored; an empty table gives no pieces."""
     packed = packing.pack_documents(docs, tokenizer_path(), with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
