@@ -99,7 +99,7 @@ def _edited(paths: DataFrame, edges: DataFrame) -> DataFrame:
     replaced = F.when((rest != "") & (F.substring(rest, F.lit(2), size - 1) == tail), _after(rest, size))
     inserted = F.when(F.substring(rest, F.lit(1), size - 1) == tail, _after(rest, size - 1))
     deleted = F.when(F.substring(rest, F.lit(2), size) == label, _after(rest, size + 1))
-    met = met.withColumn("left", F.explode(F.array_compact(F.array(replaced, inserted, deleted))))
+    met = met.withColumn("left", F.explode(F.array(replaced, inserted, deleted))).filter("left IS NOT NULL")
     met = met.select("word", "reverse", F.col("left").alias("rest"), F.concat("made", "label").alias("made"), "ends", "ahead").filter(_alive()).drop("ahead")
     return dropped.unionByName(met)
 
