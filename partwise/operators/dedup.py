@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from partwise.functions import tfidf as V
 from partwise.functions.text import maker_fingerprint
-from partwise.operators.matching import salted
+from partwise.operators.setjoin import block_pairs
 from partwise.rules import dedup as R
 from partwise.session import cut_lineage, stored
 
@@ -93,7 +93,7 @@ class Duplicates:
         whole = sum(R.WEIGHTS[f] for f in VECTORISERS) ** 0.5
         useful = scaled.withColumn("tail", tail).filter(F.col("tail") >= (threshold - rest - EPS) / whole)
         posts = useful.join(self.profiles.select(*side), "pk")
-        left, right = salted(posts, posts)
+        left, right = block_pairs(posts, posts, ["field", "term"], "pk", "pk")
         a, b = left.alias("a"), right.alias("b")
         filled = lambda c: (F.col(f"a.{c}") != "") & (F.col(f"b.{c}") != "")
         equal = lambda c: equal_filled(F.col(f"a.{c}"), F.col(f"b.{c}"))
@@ -102,7 +102,7 @@ class Duplicates:
         product, least = F.col("a.tail") * F.col("b.tail"), F.lit(threshold - EPS) - plain
         shared = attribute_similarity(F.col("a.attrs"), F.col("b.attrs")) * R.WEIGHTS["attributes"]
         can_reach = (product >= least - R.WEIGHTS["attributes"]) & (product >= least - shared)
-        found = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.salt") == F.col("b.salt"))
+        found = a.join(b, (F.col("a.field") == F.col("b.field")) & (F.col("a.term") == F.col("b.term")) & (F.col("a.left_block") == F.col("b.left_block")) & (F.col("a.right_block") == F.col("b.right_block"))
                        & (F.col("a.node") < F.col("b.node")) & can_reach).select(
             F.col("a.pk").alias("a_pk"), F.col("b.pk").alias("b_pk")).distinct()
         return self.score(found).filter(F.col("similarity") >= threshold)

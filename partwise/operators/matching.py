@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions import tfidf as V
+from partwise.functions.extract import spec_features
+from partwise.functions.text import maker_fingerprint
+from partwise.operators.setjoin import block_pairs, similar_sets, similar_strings
 from partwise.session import stored
 
 EPS = 1e-9
@@ -89,26 +92,15 @@ def _mask(exact: list[str], mask: tuple[bool, ...]) -> Column:
     return keep
 
 
-#: Postings of one term that one task joins; a longer list is dealt over several.
-LIST_ROWS = 20_000
-
-
-def salted(new_posts: DataFrame, master_posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``salt``: a master posting gets one by its hash, a new one all of its term's, so no hot term is one task."""
-    parts = master_posts.groupBy("field", "term").agg(F.ceil(F.count("*") / LIST_ROWS).alias("_parts"))
-    masters = master_posts.join(parts, ["field", "term"]).withColumn("salt", F.pmod(F.xxhash64("pk"), F.col("_parts"))).drop("_parts")
-    news = new_posts.join(parts, ["field", "term"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
-    return news, masters
-
-
 def _pairs(new_posts: DataFrame, master_posts: DataFrame, exact: list[str], can_reach: Column) -> DataFrame:
     """Profile pairs sharing a (field, term) that ``can_reach``; one equi join per filled-field combination."""
-    new_posts, master_posts = salted(new_posts, master_posts)
+    # A term's lists are cut on both sides, so no hot term is one task.
+    new_posts, master_posts = block_pairs(new_posts, master_posts, ["field", "term"], "pk", "pk")
     out = None
     for mask in product([False, True], repeat=len(exact)):
         used = [e for e, on in zip(exact, mask) if on]
         left = new_posts.filter(_mask(exact, mask)).alias("n")
-        on = [F.col(f"n.{c}") == F.col(f"m.{c}") for c in ["field", "term", "salt", *used]]
+        on = [F.col(f"n.{c}") == F.col(f"m.{c}") for c in ["field", "term", "left_block", "right_block", *used]]
         joined = left.join(master_posts.alias("m"), on).filter(can_reach)
         found = joined.select(F.col("n.pk").alias("n_pk"), F.col("m.pk").alias("m_pk"))
         out = found if out is None else out.unionByName(found)
@@ -302,22 +294,39 @@ def lookup_category(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame
         "confidence": F.coalesce("confidence", F.lit(1.0))})
 
 
+#: Similarities at which the best past names are looked for in turn; the last one takes any shared word.
+STEPS = (0.6, 0.3, 1e-6)
+
+
 def history_recommendation(items: DataFrame, history: DataFrame, top: int = 3) -> DataFrame:
-    """Categories of past names by word Jaccard times 0.8; names collapse to distinct texts before words are joined."""
+    """Categories of past names by word Jaccard times 0.8; names collapse to distinct texts before they are compared.
+
+    Names are first compared at a high similarity, where few share a rare word; only those short
+    of ``top`` past rows are compared again at a lower one, so common words are joined for the rest alone.
+    """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    new = items.select("name").distinct().select(F.col("name").alias("n_name"), words(F.col("name")).alias("n_words"))
-    old = history.groupBy("name", "category").agg(F.min("id").alias("id")).select(
-        F.col("name").alias("h_name"), "category", "id", words(F.col("name")).alias("h_words"))
-    n, h = new.withColumn("w", F.explode("n_words")), old.select("h_name", "h_words", F.explode("h_words").alias("w")).distinct()
-    shared = n.join(h, "w").groupBy("n_name", "h_name").agg(
-        F.count("*").alias("both"), F.any_value(F.size("n_words")).alias("a"), F.any_value(F.size("h_words")).alias("b"))
-    jaccard = F.col("both") / (F.col("a") + F.col("b") - F.col("both"))
-    scored = shared.withColumn("confidence", F.when(F.lower("n_name") == F.lower("h_name"), 1.0).otherwise(jaccard) * 0.8)
-    full = scored.join(old.select("h_name", "category", "id"), "h_name")
-    rank = F.expr("row_number() OVER (PARTITION BY n_name ORDER BY confidence DESC, id)")
+    sets = lambda df: df.select(F.col("name").alias("id"), words(F.col("name")).alias("tokens"))
+    old = stored(history.groupBy("name", "category").agg(F.min("id").alias("history_id")), "history")
+    past = stored(sets(old.select("name").distinct()), "history_words")
+    rows_of = old.groupBy(F.col("name").alias("right_id")).agg(F.count("*").alias("rows"))
+    left, found = stored(sets(items.select("name").distinct()), "item_words"), None
+    for step in STEPS:
+        pairs = stored(similar_sets(left, past, step), "name_pairs")
+        # The last look finds whatever there is; before, a name is done once it has enough past rows.
+        have = pairs.join(rows_of, "right_id").groupBy(F.col("left_id").alias("id")).agg(F.sum("rows").alias("rows"))
+        done = have.filter(F.col("rows") >= (top if step != STEPS[-1] else 1)).select("id")
+        part = pairs.join(done, pairs["left_id"] == done["id"], "left_semi")
+        found = part if found is None else found.unionByName(part)
+        left = stored(left.join(done, "id", "left_anti"), "item_words")
+        if left.isEmpty():
+            break
+    alike = F.lower("left_id") == F.lower("right_id")
+    scored = found.withColumn("confidence", F.when(alike, 1.0).otherwise(F.col("similarity")) * 0.8)
+    full = scored.join(old.withColumnRenamed("name", "right_id"), "right_id").withColumn("confidence", F.round("confidence", 9))
+    rank = F.expr("row_number() OVER (PARTITION BY left_id ORDER BY confidence DESC, history_id)")
     best = full.withColumn("rank", rank).filter(F.col("rank") <= top)
-    return items.select(F.col("id").alias("item_id"), F.col("name").alias("n_name")).join(best, "n_name").select(
-        "item_id", "category", "confidence", F.col("id").alias("history_id"), "rank")
+    return items.select(F.col("id").alias("item_id"), F.col("name").alias("left_id")).join(best, "left_id").select(
+        "item_id", "category", "confidence", "history_id", "rank")
 
 
 def expand_pairs(m: Matcher, scored: DataFrame) -> DataFrame:
@@ -337,8 +346,46 @@ def _text_strategy(source, target, source_id, target_id, cfg, threshold=0.5, top
                         F.col("similarity").alias("confidence"), F.lit("text_similarity").alias("strategy"))
 
 
+def _best_of(source: DataFrame, target: DataFrame, source_id: str, target_id: str, join, strategy: str) -> DataFrame:
+    """Best target of each source row by a join of their distinct keys; both have a column ``key``, ties go to the smallest target id."""
+    keyed = target.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(target_id).alias("target_id"))
+    pairs = join(source.select("key").dropna().distinct(), keyed.select("key"))
+    # One target per distinct source key, before any copies of the key come in.
+    pick = F.max_by(F.struct("target_id", "similarity"), F.struct("similarity", -F.col("target_id")))
+    best = pairs.join(keyed, pairs["right_id"] == keyed["key"]).withColumn("similarity", F.round("similarity", 9)).groupBy("left_id").agg(pick.alias("b"))
+    return source.join(best, source["key"] == best["left_id"]).select(
+        F.col(source_id).alias("source_id"), F.col("b.target_id").alias("target_id"), F.col("b.similarity").alias("confidence"), F.lit(strategy).alias("strategy"))
+
+
+def maker_match(source: DataFrame, target: DataFrame, source_id: str, target_id: str, source_maker: str, target_maker: str, threshold: float = 0.8) -> DataFrame:
+    """Strategy: the target with the most alike maker name, by matching blocks of the names without their company forms; blank names match nothing."""
+    key = lambda c: F.nullif(maker_fingerprint(F.col(c)), F.lit(""))
+    text = lambda df: df.select(F.col("key").alias("id"), F.col("key").alias("text"))
+    return _best_of(source.withColumn("key", key(source_maker)), target.withColumn("key", key(target_maker)), source_id, target_id,
+                    lambda a, b: similar_strings(text(a), text(b), threshold), "manufacturer")
+
+
+def spec_match(source: DataFrame, target: DataFrame, source_id: str, target_id: str, source_spec: str, target_spec: str, threshold: float = 0.6) -> DataFrame:
+    """Strategy: the target that shares most of the parsed features (nominal size, pressure, material, length, temperature) of a specification text."""
+    def key(c: str) -> Column:
+        found = [F.transform(v, lambda x: F.concat(F.lit(f"{k}="), x)) for k, v in spec_features(F.coalesce(F.col(c), F.lit(""))).items()]  # noqa: B023
+        return F.nullif(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array(*found)))), "|"), F.lit(""))
+
+    sets = lambda df: df.select(F.col("key").alias("id"), F.split("key", r"\|").alias("tokens"))
+    return _best_of(source.withColumn("key", key(source_spec)), target.withColumn("key", key(target_spec)), source_id, target_id,
+                    lambda a, b: similar_sets(sets(a), sets(b), threshold), "specification")
+
+
+def _maker_strategy(source, target, source_id, target_id, cfg):
+    return maker_match(source, target, source_id, target_id, "manufacturer", "manufacturer")
+
+
+def _spec_strategy(source, target, source_id, target_id, cfg):
+    return spec_match(source, target, source_id, target_id, "specification", "specification")
+
+
 # A strategy is a function of (source, target, source_id, target_id, cfg) giving (source_id, target_id, confidence, strategy).
-STRATEGIES = {"exact_code": _exact_strategy, "text_similarity": _text_strategy}
+STRATEGIES = {"exact_code": _exact_strategy, "text_similarity": _text_strategy, "specification": _spec_strategy, "manufacturer": _maker_strategy}
 
 
 def register_strategy(name: str, fn) -> None:

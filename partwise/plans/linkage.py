@@ -8,7 +8,10 @@ from partwise.operators import matching as J
 from partwise.operators.dedup import maker_similarity
 from partwise.operators.mapping import flatten_matches
 from partwise.plans import tfidf_sql as S
+from partwise.plans.items import ITEMS, items
 from partwise.plans.registry import query
+from partwise.plans.text_features import sql_all
+from partwise.rules.extraction import SPEC_FEATURES
 from partwise.session import table
 
 NEW = "SELECT item_id AS id, text FROM benchmark"
@@ -174,7 +177,65 @@ def j09(spark, d):
     return J.best_match(s, found, "s_suppkey").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("j10_maker_similarity")
+#: Two systems write the same maker differently; the fingerprint drops the company form.
+SRC_MAKER = "CASE WHEN p_size % 7 = 0 THEN '' ELSE replace(p_brand, '#', '') || '阀门有限公司' END"
+TGT_MAKER = "CASE WHEN p_size % 5 = 0 THEN NULL ELSE replace(p_brand, '#', ' ') || '阀门 制造' END"
+SPEC_SETS = "list_distinct(flatten([" + ", ".join(
+    f"list_transform({sql_all('lower(specification)', [(p, 1) for p in ps], '')}, lambda x: '{k}=' || x)" for k, ps in SPEC_FEATURES.items()) + "]))"
+SIDES = f"""{ITEMS}, src AS (SELECT code AS source_id, name, spec AS specification, CASE WHEN size % 3 = 0 THEN code + 1 END AS standard_code, lower(replace(maker, '有限公司', '')) AS maker
+  FROM items JOIN (SELECT p_partkey AS code, {SRC_MAKER} AS maker FROM part) USING (code) WHERE source = 'ERP'),
+tgt AS (SELECT code AS target_id, name, spec AS specification, code AS standard_code, lower(replace(maker, ' ', '')) AS maker
+  FROM items JOIN (SELECT p_partkey AS code, {TGT_MAKER} AS maker FROM part) USING (code) WHERE source = 'PLM')"""
+PART_COS = S.cosine("SELECT source_id AS id, name AS text FROM src", "SELECT target_id AS id, name AS text FROM tgt", "SELECT count(*) FROM tgt", V.BASELINE)
+FOUR = f"""{SIDES}, {PART_COS}, {S.ratio("mr", "SELECT DISTINCT s.maker AS a, t.maker AS b FROM src s, tgt t WHERE s.maker <> '' AND t.maker <> ''")},
+ss AS (SELECT source_id, list_sort({SPEC_SETS}) AS f FROM src), ts AS (SELECT min(target_id) AS target_id, list_sort({SPEC_SETS}) AS f FROM tgt GROUP BY 2),
+sd AS (SELECT DISTINCT f FROM ss), sp AS (SELECT sd.f, target_id, len(list_intersect(sd.f, ts.f)) * 1.0::DOUBLE / len(list_distinct(sd.f || ts.f)) AS c FROM sd, ts WHERE len(list_intersect(sd.f, ts.f)) > 0),
+e AS (SELECT source_id, target_id, 1.0::DOUBLE AS confidence, 'exact_code' AS strategy, 0 AS o FROM src JOIN tgt USING (standard_code)),
+x AS (SELECT new_id AS source_id, master_id AS target_id, s AS confidence, 'text_similarity' AS strategy, 1 AS o FROM cos WHERE s >= 0.5
+  QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY s DESC, master_id) <= 5),
+p AS (SELECT source_id, target_id, round(c, 9) AS confidence, 'specification' AS strategy, 2 AS o FROM ss JOIN (
+  SELECT * FROM sp WHERE c >= 0.6 QUALIFY row_number() OVER (PARTITION BY f ORDER BY round(c, 9) DESC, target_id) = 1) USING (f)),
+k AS (SELECT source_id, target_id, round(ratio, 9) AS confidence, 'manufacturer' AS strategy, 3 AS o FROM src JOIN (
+  SELECT a AS maker, target_id, ratio FROM mr JOIN (SELECT maker, min(target_id) AS target_id FROM tgt GROUP BY 1) t ON t.maker = b WHERE ratio >= 0.8 - 1e-9
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(ratio, 9) DESC, target_id) = 1) USING (maker)),
+found AS (SELECT * FROM e UNION ALL SELECT * FROM x UNION ALL SELECT * FROM p UNION ALL SELECT * FROM k)"""
+
+
+def two_systems(spark, d):
+    part = table(spark, d, "part")
+    rows = items(spark, d).join(part.select(F.col("p_partkey").alias("code"), F.expr(SRC_MAKER).alias("here"), F.expr(TGT_MAKER).alias("there")), "code")
+    rows = rows.withColumnRenamed("spec", "specification")
+    src = rows.filter("source = 'ERP'").select(F.col("code").alias("source_id"), "name", "specification", F.col("here").alias("manufacturer"), F.when(F.col("size") % 3 == 0, F.col("code") + 1).alias("standard_code"))
+    tgt = rows.filter("source = 'PLM'").select(F.col("code").alias("target_id"), "name", "specification", F.col("there").alias("manufacturer"), F.col("code").alias("standard_code"))
+    return src, tgt
+
+
+def strategies_run(spark, d):
+    src, tgt = two_systems(spark, d)
+    cfg = J.MatchConfig("source_id", "target_id", [("name", "name")], describe=False, vectoriser=V.BASELINE)
+    return src, [fn(src, tgt, "source_id", "target_id", cfg) for fn in J.STRATEGIES.values()]
+
+
+@query("j09_four_strategies", f"""
+WITH RECURSIVE {FOUR}, b AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, o, target_id) = 1)
+SELECT src.source_id, target_id, round(coalesce(confidence, 0.0), 6) AS confidence, coalesce(strategy, 'none') AS strategy FROM src LEFT JOIN b USING (source_id)""")
+def j09_four(spark, d):
+    src, found = strategies_run(spark, d)
+    return J.best_match(src, found, "source_id").withColumn("confidence", F.round("confidence", 6))
+
+
+@query("u01_all_strategies", f"WITH RECURSIVE {FOUR} SELECT source_id, target_id, round(confidence, 6) AS confidence, strategy FROM found")
+def u01_all(spark, d):
+    _, found = strategies_run(spark, d)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("j10_maker_similarity", f"""WITH RECURSIVE p AS (SELECT DISTINCT regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS a,
+  regexp_replace(lower(regexp_replace(s_name, 'Supplier#0*', 'Brand#')), '[^a-z0-9]', '', 'g') AS b FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+{S.ratio("r", "SELECT a, b FROM p")} SELECT a, b, round(ratio, 6) AS similarity FROM r""")
 def j10(spark, d):
     li, p, s = (table(spark, d, t) for t in ("lineitem", "part", "supplier"))
     pairs = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(

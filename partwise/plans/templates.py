@@ -8,6 +8,7 @@ from partwise.operators import profiling as D
 from partwise.operators import templates as C
 from partwise.plans import tfidf_sql as S
 from partwise.plans.items import ITEMS, items
+from partwise.plans.linkage import SIDES, two_systems
 from partwise.plans.mapping_profile import source_rows
 from partwise.plans.registry import query
 from partwise.plans.text_features import q
@@ -74,6 +75,16 @@ def c24(spark, d):
     return got.select("item_id", "rule_id", F.round("score", 6).alias("score"), "weight")
 
 
+@query("c24_fuzzy_maker_rule", f"""WITH RECURSIVE {SIDES}, {S.ratio("mr", "SELECT DISTINCT s.maker AS a, t.maker AS b FROM src s, tgt t WHERE s.maker <> '' AND t.maker <> ''")}
+SELECT source_id AS item_id, 's1' AS rule_id, round(max(ratio), 6) AS score, 0.15::DOUBLE AS weight, 0.1::DOUBLE AS boost FROM src JOIN mr ON maker = a WHERE ratio >= 0.8 - 1e-9 GROUP BY 1""")
+def c24_fuzzy(spark, d):
+    rule = next(r for r in RULES if r["rule_id"] == "s1")
+    src, tgt = two_systems(spark, d)
+    found = J.maker_match(src, tgt, "source_id", "target_id", "manufacturer", "manufacturer", rule["threshold"])
+    got = C.similarity_results(found.select(F.col("source_id").alias("item_id"), F.col("confidence").alias("score")), rule)
+    return got.select("item_id", "rule_id", F.round("score", 6).alias("score"), "weight", "boost")
+
+
 VOTED = f"""{FEAT}, r AS ({rule_sql()}), tot AS (SELECT item_id, count(*) AS k, least(1.0, sum(score * weight) / sum(weight) + sum(boost)) AS confidence FROM r GROUP BY 1),
 v AS (SELECT item_id, level1, level2, round(sum(score * weight), 9) AS s, min(rule_id) AS first FROM r WHERE level1 IS NOT NULL GROUP BY 1, 2, 3),
 vr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, first) AS rank FROM v),

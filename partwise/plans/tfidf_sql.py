@@ -38,3 +38,16 @@ def cosine(new: str, master: str, master_rows: str, v: Vectoriser) -> str:
         grams("n_tf", new, v), weights("n_w", "n_tf", "voc"),
         "cos AS (SELECT n_w.id AS new_id, m_w.id AS master_id, round(sum(n_w.w * m_w.w), 9) AS s FROM n_w JOIN m_w USING (term) GROUP BY 1, 2)",
     ])
+
+
+def ratio(name: str, pairs: str) -> str:
+    """Recursive CTEs ending in <name>(a, b, ratio): the matching-blocks ratio of the distinct pairs (a, b) of ``pairs``.
+
+    A step takes the longest common piece of two strings, the earliest in the first and then in
+    the second one, and leaves what lies before and behind it.
+    """
+    piece = "list_min(flatten([[CASE WHEN contains(y, substr(x, i, n)) THEN {'less': -n, 'i': i} END FOR n IN range(1, length(x) - i + 2)] FOR i IN range(1, length(x) + 1)]))"
+    return f"""{name}_b AS (SELECT a, b, a AS x, b AS y, 0::BIGINT AS k FROM ({pairs}) UNION ALL
+ SELECT a, b, unnest([substr(x, 1, i - 1), substr(x, i + n)]), unnest([substr(y, 1, j - 1), substr(y, j + n)]), unnest([n, 0]) FROM (
+  SELECT *, strpos(y, substr(x, i, n)) AS j FROM (SELECT *, m.i AS i, -m.less AS n FROM (SELECT *, {piece} AS m FROM {name}_b WHERE x <> '' AND y <> '') WHERE m IS NOT NULL))),
+{name} AS (SELECT a, b, 2.0::DOUBLE * sum(k) / (length(a) + length(b)) AS ratio FROM {name}_b GROUP BY a, b)"""

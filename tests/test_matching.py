@@ -100,5 +100,5 @@ def test_hot_terms_are_dealt_over_tasks(spark, monkeypatch):
     cfg = J.MatchConfig("new", "id", [("text", "text")], describe=False)
     new = rows.filter("id < 9").withColumnRenamed("id", "new")
     want = sorted(map(tuple, J.match(new, rows, cfg, 0.3, 60).collect()))
-    monkeypatch.setattr(J, "LIST_ROWS", 3)
+    monkeypatch.setattr(J.block_pairs, "__defaults__", (3,))
     assert sorted(map(tuple, J.match(new, rows, cfg, 0.3, 60).collect())) == want
