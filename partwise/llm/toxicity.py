@@ -111,26 +111,43 @@ def _telling_words(features: DataFrame, frequent: np.ndarray, n: float, ones: fl
                 cell, k = np.unique(_pairs(words[frequent[words]])[2], return_counts=True)
                 counts[y, cell] += k
         met = np.nonzero(counts.sum(axis=0))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[:, met].sum(axis=0)), pa.array(counts[1, met])], names=["cell", "df", "a"])
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)) for v in (met, counts[:, met].sum(axis=0), counts[1, met])], names=["cell", "df", "a"])
 
     def gain(n, ones, df, a):
         return F.try_divide(n * F.pow(a * n - df * ones, 2), df * (n - df) * ones * (n - ones))
 
     df, a = F.col("df"), F.col("a")
-    rows = features.select("y", "words")
-    counted = rows.coalesce(8).mapInArrow(cells, "cell long, df long, a long").groupBy("cell").agg(F.sum("df").alias("df"), F.sum("a").alias("a"))
+    # The labelled sample is bounded, so a few tasks can count it; each sends one row per cell, then one per promising pair.
+    rows = features.select("y", "words").coalesce(4)
+    counted = rows.mapInArrow(cells, "cell int, df int, a int").groupBy("cell").agg(F.sum("df").alias("df"), F.sum("a").alias("a"))
     promising = np.zeros(CELLS, bool)
     promising[counted.filter((df >= 5) & (df < n) & (gain(n, ones, df, a) >= least_gain)).select("cell").toPandas()["cell"].to_numpy(np.int64)] = True
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def summed() -> list:
+            keys, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return [(keys, *[np.bincount(where, np.concatenate([h[k] for h in held]), len(keys)) for k in (1, 2)])]
+
         for batch in batches:
             for y, words in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words.values.to_numpy()
                 left, right, cell = _pairs(words[frequent[words]])
-                keep = promising[cell]
-                yield pa.RecordBatch.from_arrays([pa.array(left[keep]), pa.array(right[keep]), pa.array(np.full(keep.sum(), y, np.int32))], names=["u", "v", "y"])
-
-    exact = rows.mapInArrow(pairs, "u int, v int, y int").groupBy("u", "v").agg(F.count("*").alias("df"), F.sum("y").alias("a")).filter(df >= 5)
+                keys = (left[promising[cell]].astype(np.int64) << 32) | right[promising[cell]]
+                held.append((keys, np.ones(len(keys)), np.full(len(keys), float(y))))
+                size += len(keys)
+                if size > 1 << 22:
+                    held = summed()
+                    size = len(held[0][0])
+        if size:
+            keys, df, a = summed()[0]
+            for i in range(0, len(keys), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array((keys[part] >> 32).astype(np.int32)), pa.array((keys[part] & 0xFFFFFFFF).astype(np.int32)),
+                                                  pa.array(df[part].astype(np.int32)), pa.array(a[part].astype(np.int32))], names=["u", "v", "df", "a"])
+
+    exact = rows.mapInArrow(pairs, "u int, v int, df int, a int").groupBy("u", "v").agg(F.sum("df").alias("df"), F.sum("a").alias("a")).filter(df >= 5)
     one = rows.select("y", F.explode("words").alias("u")).groupBy("u").agg(F.count("*").alias("n_u"), F.sum("y").alias("ones_u"))
     exact = exact.join(one, "u").join(one.select(F.col("u").alias("v"), F.col("n_u").alias("n_v"), F.col("ones_u").alias("ones_v")), "v")
     beside = lambda m, k: F.coalesce(gain(F.col(m).cast("double"), F.col(k), df, a), F.lit(0.0)) >= least_gain
