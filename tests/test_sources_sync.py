@@ -1,5 +1,6 @@
 """Sources, sinks and the streaming form of triage on small fixtures."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,18 +77,56 @@ def test_stream_equals_batch_rules(spark):
     src = scratch_path(spark, "feed")
     frame = lambda rows: spark.createDataFrame([(*r[:4],) + (r[4],) for r in rows], "seq bigint, code string, source string, content_hash string, t string").select(
         "seq", "code", "source", "content_hash", F.col("t").cast("timestamp").alias("last_modified"))
-    ok, bad, cp = (scratch_path(spark, x) for x in ("ok", "bad", "cp"))
+    out, cp = (scratch_path(spark, x) for x in ("out", "cp"))
     for rows in (base, nxt):
         frame(rows).coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(T._parse_datatype_string(schema)).parquet(src)
-        C.write_split(C.stream_triage(stream, "10 days"), ok, bad, cp).awaitTermination()
-    accepted = {(r.seq, r.status, r.version) for r in spark.read.parquet(ok).collect()}
+        C.write_outcomes(C.stream_triage(stream, 10 * 86_400), out, cp).awaitTermination()
+    ok, bad = (C.written_outcomes(spark, out, k) for k in ("accepted", "conflicts"))
+    accepted = {(r.seq, r.status, r.version) for r in ok.collect()}
     assert accepted == {(1, "new", 1), (2, "new", 1), (5, "updated", 2), (6, "new", 1)}
-    assert {(r.seq, r.status) for r in spark.read.parquet(bad).collect()} == {(4, "conflict")}
-    state = C.current_state(spark.read.parquet(ok))
+    assert {(r.seq, r.status) for r in bad.collect()} == {(4, "conflict")}
+    state = C.current_state(ok)
     assert {(r.code, r.version) for r in state.collect()} == {("a", 1), ("b", 2), ("c", 1)}
 
     ntz = lambda df: df.withColumn("last_modified", F.col("last_modified").cast("timestamp_ntz"))
     old = ntz(frame(base)).filter("code <> ''").withColumn("version", F.lit(1))
     batch = ntz(frame(nxt)).withColumn("payload", F.lit(""))
     assert {(r.seq, r.status, r.version) for r in Y.triage(old, batch).collect()} == {(4, "conflict", 1), (5, "updated", 2), (6, "new", 1)}
+
+
+def test_late_rows_have_their_own_table(spark):
+    """A row a day behind its key's newest row changes nothing, one within the delay is judged like any other, and a key is forgotten after a year."""
+    src, out, cp = (scratch_path(spark, x) for x in ("late_feed", "late_out", "late_cp"))
+    schema = "seq bigint, code string, source string, content_hash string, last_modified timestamp"
+    for rows in ([(1, "a", "ERP", "h1", "2024-01-10 00:00:00")], [(2, "a", "ERP", "h2", "2024-01-08 00:00:00"), (3, "a", "ERP", "h3", "2024-01-09 12:00:00"), (4, None, "ERP", "h", "2024-01-09 12:00:00")],
+                 [(5, "b", "ERP", "h1", "2025-06-01 00:00:00")], [(6, "a", "ERP", "h3", "2025-06-02 00:00:00"), (7, "b", "ERP", "h1", "2023-01-01 00:00:00")]):
+        spark.createDataFrame(rows, "seq bigint, code string, source string, content_hash string, t string").select(
+            "seq", "code", "source", "content_hash", F.col("t").cast("timestamp").alias("last_modified")).coalesce(1).write.mode("append").parquet(src)
+        C.write_outcomes(C.stream_triage(spark.readStream.schema(T._parse_datatype_string(schema)).parquet(src)), out, cp).awaitTermination()
+    assert {(r.seq, r.status, r.kind, r.version) for r in C.written_outcomes(spark, out).collect()} == {(1, "new", "accepted", 1), (2, "late", "late", 1), (3, "updated", "accepted", 2),
+        (5, "new", "accepted", 1), (6, "new", "accepted", 1), (7, "late", "late", 1)}
+
+
+def test_runs_of_equal_rows_decide_like_single_rows():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        n = int(rng.integers(1, 12))
+        hashes, micros = rng.choice(np.array(["x", "y", "z"], object), n), np.sort(rng.integers(0, 2_000, n)) * 1_000_000
+        held = None if rng.random() < 0.3 else ("y", int(rng.integers(0, 1_500)) * 1_000_000, 4, 1_200 * 1_000_000)
+        status, version, state = C.outcomes(held, hashes, micros, 600 * 1_000_000)
+        want, now = [], held
+        for h, m in zip(hashes, micros):
+            if held and m < held[3] - 600 * 1_000_000:
+                want.append(("late", held[2]))
+                continue
+            if now is None:
+                now, s = (h, m, 1), "new"
+            elif now[0] == h:
+                s = "unchanged"
+            elif abs(m - now[1]) <= 300 * 1_000_000:
+                s = "conflict"
+            else:
+                now, s = (h, m, now[2] + 1), "updated"
+            want.append((s, now[2]))
+        assert list(zip(status, version.tolist())) == want and tuple(state[:3]) == tuple(now[:3])
