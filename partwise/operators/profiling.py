@@ -91,13 +91,14 @@ def _occurrences(body, word: str):
 DENSITY_ROWS = 100
 
 
-def industry_scores(df: DataFrame) -> DataFrame:
-    """Score of every industry: weighted share of indicator occurrences, each kind saturating at one per indicator.
+def industry_scores(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Score of every industry, of each source where its column ``by`` is named: weighted share of indicator occurrences, each kind saturating at one per indicator.
 
     Occurrences are counted over all rows and beyond ``DENSITY_ROWS`` scaled down to that many,
     so that a score says how dense an industry's indicators are, however many rows there are.
     """
-    body = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), text(c)) for c in df.columns])
+    body = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), text(c)) for c in df.columns if c != by])
+    keys = [by] if by else []
     sums = []
     for name, kinds in I.INDICATORS.items():
         for kind in I.KIND_WEIGHTS:
@@ -107,19 +108,20 @@ def industry_scores(df: DataFrame) -> DataFrame:
                 hits = [_occurrences(F.col("body"), w) for w in kinds[kind]]
             total = F.sum(sum(hits[1:], hits[0])) * F.least(F.lit(1.0), F.lit(float(DENSITY_ROWS)) / F.count("*"))
             sums.append(F.least(total / len(kinds[kind]), F.lit(1.0)).alias(f"{name}_{kind}"))
-    flat = df.select(body.alias("body")).agg(*sums)
+    flat = df.select(*keys, body.alias("body")).groupBy(*keys).agg(*sums)
     rows = F.array(*[
         F.struct(F.lit(i).alias("rank"), F.lit(name).alias("industry"),
                  sum((F.col(f"{name}_{k}") * w for k, w in I.KIND_WEIGHTS.items()), F.lit(0.0)).alias("score"))
         for i, name in enumerate(I.INDICATORS)])
-    return flat.select(F.explode(rows).alias("r")).select("r.*")
+    return flat.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")
 
 
-def recognise_industry(scores: DataFrame) -> DataFrame:
-    """Best industry, the first listed on a tie; generic with confidence 0 below the minimum score."""
-    best = scores.agg(F.max_by(F.struct("industry", "score"), F.struct("score", -F.col("rank"))).alias("b"))
+def recognise_industry(scores: DataFrame, by: str | None = None) -> DataFrame:
+    """Best industry (of each source), the first listed on a tie; generic with confidence 0 below the minimum score."""
+    keys = [by] if by else []
+    best = scores.groupBy(*keys).agg(F.max_by(F.struct("industry", "score"), F.struct("score", -F.col("rank"))).alias("b"))
     known = F.col("b.score") >= I.MIN_INDUSTRY_SCORE
-    return best.select(F.when(known, F.col("b.industry")).otherwise("generic").alias("industry"),
+    return best.select(*keys, F.when(known, F.col("b.industry")).otherwise("generic").alias("industry"),
                        F.when(known, F.col("b.score")).otherwise(F.lit(0.0)).alias("confidence"))
 
 
@@ -158,18 +160,19 @@ def source_schema(df: DataFrame, source_id: str) -> DataFrame:
                       F.col("confidence").alias("confidence_score"))
 
 
-def field_combinations(df: DataFrame, fields: list[str]) -> DataFrame:
-    """Support of each 2- and 3-field combination; rows collapse to their population pattern first."""
+def field_combinations(df: DataFrame, fields: list[str], by: str | None = None) -> DataFrame:
+    """Support of each 2- and 3-field combination (in each source); rows collapse to their population pattern first."""
+    keys = [by] if by else []
     filled = F.array_compact(F.array(*[F.when(text(f) != "", F.lit(f)) for f in fields]))
-    patterns = df.groupBy(filled.alias("filled")).agg(F.count("*").alias("n"))
+    patterns = df.groupBy(*keys, filled.alias("filled")).agg(F.count("*").alias("n"))
     combos = [c for k in (2, 3) for c in combinations(sorted(fields), k)]
     listed = F.array(*[F.array(*[F.lit(f) for f in c]) for c in combos])
     # Patterns number at most 2^fields whatever the row count, so one counting window over them is small.
-    total = F.expr("sum(n) OVER ()")
+    total = F.expr(f"sum(n) OVER ({f'PARTITION BY {by}' if by else ''})")
     hit = F.explode(F.filter(listed, lambda c: F.size(F.array_except(c, F.col("filled"))) == 0))
-    exploded = patterns.withColumn("total", total).select("n", "total", hit.alias("combo"))
-    return exploded.groupBy(F.array_join("combo", ",").alias("fields"), "total").agg(
-        F.sum("n").alias("n")).select("fields", (F.col("n") / F.col("total")).alias("support"))
+    exploded = patterns.withColumn("total", total).select(*keys, "n", "total", hit.alias("combo"))
+    return exploded.groupBy(*keys, F.array_join("combo", ",").alias("fields"), "total").agg(
+        F.sum("n").alias("n")).select(*keys, "fields", (F.col("n") / F.col("total")).alias("support"))
 
 
 # Base weights of the fields in a combination.

@@ -11,7 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partwise.operators.profiling import field_combinations
 from partwise.rules import templates as R
+from partwise.session import stored
 
 RESULT = "rule_id string, rule_type string, score double, weight double, boost double, level1 string, level2 string"
 
@@ -35,6 +37,80 @@ def rules_table(spark, rules: list[dict]) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, rule_type string, priority int, weight double, boost double, level1 string, level2 string, terms array<string>, enabled boolean")
 
 
+RULE = ("rule_id string, rule_type string, priority int, weight double, boost double, threshold double, level1 string, level2 string, "
+        "method string, terms array<string>, fields array<string>")
+#: Combinations of filled fields become rules from this support on.
+MIN_SUPPORT = 0.3
+
+
+def industry_rules(spark) -> DataFrame:
+    """The rules of every industry as rows: industry and the columns of ``RULE``."""
+    rows = []
+    for industry in R.TAXONOMY:
+        for r in template_rules(industry):
+            if r["enabled"]:
+                rows.append((industry, r["rule_id"], r["rule_type"], r["priority"], float(r["weight"]), float(r.get("boost", 0)), float(r.get("threshold", 0)),
+                             r.get("level1"), r.get("level2"), r.get("method"), r.get("keywords") or r.get("patterns") or [], r.get("fields") or []))
+    return spark.createDataFrame(rows, "industry string, " + RULE)
+
+
+def source_rules(items: DataFrame, industries: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
+    """The rules of each source: those of its recognised industry, and composite rules for the fields that its own items fill together.
+
+    ``items`` has source_id and ``fields``, ``industries`` one row (source_id, industry) per
+    source, ``rules`` the columns of ``industry_rules``. One row per source and rule.
+    """
+    names = [c.split()[0] for c in RULE.split(", ")]
+    own = industries.select("source_id", "industry").join(rules, "industry").select("source_id", *names)
+    combos = field_combinations(items.select("source_id", *fields), fields, "source_id").filter(F.col("support") > MIN_SUPPORT)
+    null = F.lit(None).cast("string")
+    composite = combos.select("source_id", F.concat(F.lit("c:"), "fields").alias("rule_id"), F.lit("composite").alias("rule_type"), F.lit(R.COMPOSITE_RULE["priority"]).alias("priority"),
+                              F.lit(float(R.COMPOSITE_RULE["weight"])).alias("weight"), F.lit(0.0).alias("boost"), F.round("support", 9).alias("threshold"), null.alias("level1"),
+                              null.alias("level2"), null.alias("method"), F.array().cast("array<string>").alias("terms"), F.split("fields", ",").alias("fields"))
+    return own.unionByName(composite)
+
+
+def apply_source_rules(items: DataFrame, rules: DataFrame, fields: list[str], similarities: DataFrame | None = None) -> DataFrame:
+    """(item_id, result columns) of each rule of the item's source that holds.
+
+    The rules of a source travel as one array beside its items, a row per source, and one
+    expression reads them; no rule is known when the plan is made. ``similarities`` (item_id,
+    method, score) are what similarity joins found; a similarity rule takes an item's best of its method.
+    """
+    packed = stored(rules.groupBy("source_id").agg(F.collect_list(F.struct(*[c.split()[0] for c in RULE.split(", ")])).alias("rules")), "source_rules")
+    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.coalesce(F.col(f).cast("string"), F.lit("")))])
+    found = None
+    if similarities is not None:
+        best = similarities.groupBy("item_id", "method").agg(F.max("score").alias("score"))
+        found = best.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "score"))).alias("found"))
+    rows = items.join(packed, "source_id")
+    rows = rows.join(found, "item_id", "left") if found is not None else rows.withColumn("found", F.lit(None).cast("map<string,double>"))
+
+    def score(r: Column) -> Column:
+        here = F.transform(r.fields, lambda f: F.coalesce(F.element_at(F.col("values"), f), F.lit("")))
+        body = F.array_join(F.filter(here, lambda x: x != ""), " ")
+        low = F.lower(body)
+        of = lambda hit, xs: F.size(F.filter(xs, hit)) / F.size(xs)
+        return (F.when(r.rule_type == "keyword", of(lambda t: F.contains(low, F.lower(t)), r.terms))
+                .when(r.rule_type == "pattern", of(lambda t: F.regexp_like(body, F.concat(F.lit("(?i)"), t)), r.terms))
+                .when(r.rule_type == "composite", of(lambda x: x != "", here))
+                .when(r.rule_type == "similarity", F.element_at(F.col("found"), r.method)))
+
+    results = F.transform("rules", lambda r: F.struct(r.rule_id.alias("rule_id"), r.rule_type.alias("rule_type"), score(r).cast("double").alias("score"), r.weight.alias("weight"),
+                                                      r.boost.alias("boost"), r.level1.alias("level1"), r.level2.alias("level2"), r.threshold.alias("threshold")))
+    held = rows.withColumn("values", values).select("item_id", F.explode(results).alias("r")).select("item_id", "r.*")
+    return held.filter((F.col("score") > 0) & (F.round("score", 9) >= F.col("threshold"))).drop("threshold")
+
+
+def source_summaries(items: DataFrame, voted: DataFrame, industries: DataFrame, fields: list[str]) -> DataFrame:
+    """Totals of a run for each source with its recognised industry; items without any text fail."""
+    blank = F.concat_ws("", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]) == ""
+    rows = items.select("source_id", "item_id", blank.alias("blank")).join(voted, "item_id")
+    return rows.groupBy("source_id").agg(
+        F.count("*").alias("total"), F.count_if("blank").alias("failed"), F.count_if(F.col("rules_matched") == 0).alias("unmatched"), F.avg("confidence").alias("average_confidence"),
+        F.count_if(F.col("confidence") < R.LOW_CONFIDENCE).alias("low_confidence_count")).join(industries.select("source_id", "industry"), "source_id")
+
+
 def _text(df: DataFrame, names: list[str]) -> Column:
     return F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in names if c in df.columns])
 
