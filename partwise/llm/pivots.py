@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partwise.llm.common import written
-from partwise.operators.dedup import components
+from partwise.llm.common import components, written
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:

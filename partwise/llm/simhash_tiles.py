@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwise.llm.common import text_of, written
-from partwise.operators.dedup import components
+from partwise.llm.common import components, text_of, written
 
 QUARTERS, QUARTER_BITS = 4, 16
 
