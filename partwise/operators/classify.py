@@ -20,7 +20,7 @@ from partwise.operators.dedup import containment
 from partwise.rules import classification as R
 from partwise.rules import extraction as X
 from partwise.rules import training as TR
-from partwise.session import cut_lineage
+from partwise.session import cut_lineage, stored
 
 RUNS = r"[\x{4e00}-\x{9fff}]+|[a-zA-Z]+"
 RUNS2 = r"[\x{4e00}-\x{9fff}]{2,}|[a-zA-Z]{2,}"
@@ -152,7 +152,8 @@ def _pairs(prof: DataFrame, cats: DataFrame, top: int) -> DataFrame:
 
 def _scored(items: DataFrame, categories: DataFrame, top: int) -> tuple[DataFrame, DataFrame]:
     rows, prof = _profiles(items)
-    cats = _categories(categories)
+    # Written, so that its lists are columns to what follows and not expressions to be computed at every use.
+    cats = stored(_categories(categories), "categories")
     both = _pairs(prof, cats, top)
     samples = _sample_scores({k: F.col(f"in_{k}") for k in ("dn", "pn", "material")})
     best = {c: F.greatest(*s) if len(s) > 1 else s[0] for c, s in samples.items()}

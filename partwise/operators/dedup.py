@@ -188,25 +188,42 @@ def _attribute_pairs(g: DataFrame) -> DataFrame:
     return both.select(F.col("x.master").alias("master"), share.alias("p")).groupBy("master").agg(F.sum("p").alias("attributes"))
 
 
+#: A node with more than this share of all rows is a hub, so there are fewer hubs than its inverse.
+HUB_SHARE = 1 / 1000
+
+
+def _beside(rows: DataFrame, of_node: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``of_node``, which has one row per ``key`` and the number ``n`` of its rows; hubs by broadcast, the others by a shuffle."""
+    bound = (of_node.agg(F.sum("n")).first()[0] or 0) * HUB_SHARE
+    hubs, others = F.broadcast(of_node.filter(F.col("n") > bound).drop("n")), of_node.filter(F.col("n") <= bound).drop("n")  # fewer than a thousand rows
+    return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(others, key))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label): smallest node reachable from each node of the edge list (a, b).
+    """(v, label): smallest node reachable from each node of the edge list (a, b); null ends and loops are ignored.
 
-    Each round takes the smallest neighbouring label and then that label's own label, so
-    chains shorten by half; every round is checkpointed and the loop ends when none changes.
+    Star contraction: a large step links the larger neighbours of a node to the smallest node it
+    knows, a small step links a node's smaller neighbours to the smallest of them, until every
+    node hangs on its component's smallest one. A node's neighbours are never listed: their
+    minimum is combined before the shuffle, and the edges of a hub stay where they are. Every
+    round is written to the shared folder.
     """
-    both = cut_lineage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).filter("u <> v").distinct())
-    labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("v"), F.least("u", "m").alias("label")))
+    ends = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).filter("a IS NOT NULL AND b IS NOT NULL AND v <> m")
+    ends = stored(ends.distinct(), "links")
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)"))).first())
+    before = mark(ends)
     while True:
-        near = both.join(labels, "v").groupBy("u").agg(F.min("label").alias("m"))
-        step = labels.join(near, labels["v"] == near["u"]).select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("far"))
-        nxt = step.join(jump, "label").select("v", "old", F.least("label", "far").alias("label"))
-        nxt = cut_lineage(nxt)
-        if nxt.filter("label <> old").isEmpty():
-            return nxt.select("v", "label")
-        labels = nxt.select("v", "label")
+        both = ends.unionByName(ends.select(F.col("m").alias("v"), F.col("v").alias("m")))
+        least = stored(both.groupBy("v").agg(F.least("v", F.min("m")).alias("root"), F.count("*").alias("n")), "least")
+        large = _beside(ends.select(F.col("m").alias("v"), F.col("v").alias("x")), least, "v").select(F.col("x").alias("v"), F.col("root").alias("m"))
+        large = stored(large.filter("v <> m").distinct(), "links")
+        least = stored(large.groupBy("v").agg(F.min("m").alias("root"), F.count("*").alias("n")), "least")
+        small = _beside(large.select("v", F.col("m").alias("x")), least, "v").filter("x <> root").select(F.col("x").alias("v"), F.col("root").alias("m"))
+        ends = stored(small.unionByName(least.select("v", F.col("root").alias("m"))).distinct(), "links")
+        after = mark(ends)
+        if after == before:
+            return ends.select("v", F.col("m").alias("label")).unionByName(ends.select(F.col("m").alias("v"), F.col("m").alias("label")).distinct())
+        before = after
 
 
 def decide(scores: DataFrame) -> DataFrame:

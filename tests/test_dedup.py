@@ -1,5 +1,6 @@
 """Duplicate detection against brute force over rows, with a hot group of copies and blank fields."""
 
+import random
 from difflib import SequenceMatcher
 from itertools import combinations
 
@@ -90,6 +91,30 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_random_graphs_and_hubs(spark):
+    """Against union-find; one hub is the smallest node of its star, the other its largest."""
+    rng = random.Random(3)
+    edges = [(rng.randrange(600), rng.randrange(600)) for _ in range(420)] + [(None, 5), (6, None)]
+    parent = list(range(600))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    linked = {x for a, b in edges if a is not None and b is not None and a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    stars = spark.range(1, 1_000_000).select(F.when(F.col("id") < 900_000, 1000).otherwise(10_000_000).alias("a"), (F.col("id") + 1000).alias("b"))
+    got = D.components(df.unionByName(stars))
+    assert {r.v: r.label for r in got.filter("v < 600").collect()} == {x: root(x) for x in linked}
+    big = {(r.label, r.n) for r in got.filter("v >= 600").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert big == {(1000, 900_000), (901_000, 100_001)}
+
+
 def test_containment_by_rarest_piece(spark):
     """Keys of any length, also where all pieces of a key occur but not the key."""
     texts = ["abcabc", "xbcx", "a", "", "longer text with abc inside", "bcab"]
