@@ -175,6 +175,24 @@ def k03(spark, d):
     return K.upsert(target, rows, ["code"], [F.col("seq")])
 
 
+@query("k03_bucketed_upsert", """
+WITH o AS (SELECT o_custkey AS code, o_orderstatus AS status, o_orderkey AS seq, o_orderkey % 2 AS half FROM orders),
+one AS (SELECT code, status, seq FROM o WHERE half = 0 QUALIFY row_number() OVER (PARTITION BY code ORDER BY seq DESC) = 1),
+two AS (SELECT code, status, seq FROM o WHERE half = 1 AND code % 3 = 0 QUALIFY row_number() OVER (PARTITION BY code ORDER BY seq DESC) = 1)
+SELECT * FROM two UNION ALL SELECT * FROM one WHERE code NOT IN (SELECT code FROM two)
+UNION ALL SELECT c_custkey, 'new', CAST(-1 AS BIGINT) FROM customer WHERE c_custkey NOT IN (SELECT code FROM one) AND c_custkey NOT IN (SELECT code FROM two)""")
+def k03_bucketed(spark, d):
+    """Two commits and one delivered twice; each rewrites the buckets of its own keys."""
+    target = table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.lit("new").alias("status"), F.lit(-1).cast("bigint").alias("seq"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("seq"))
+    stored = K.KeyedTable(spark, scratch_path(spark, "keyed"), ["code"], 16)
+    stored.create(target)
+    first, second = rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1 AND code % 3 = 0")
+    for name, part in (("first", first), ("second", second), ("first", first)):
+        stored.commit(name, part, [F.col("seq")])
+    return stored.read().select("code", "status", "seq")
+
+
 @query("k04_insert_if_absent", """
 WITH e AS (SELECT user_id AS record_id, event_type AS source_system, md5(props) AS content_hash, min(event_id) AS first_id
            FROM events GROUP BY 1,2,3),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,6 +71,46 @@ def merge_into(rows: DataFrame, table: str, keys: list[str], order: list[Column]
     batch.alias("batch").mergeInto(table, on).whenMatched().updateAll().whenNotMatched().insertAll().merge()
 
 
+class KeyedTable:
+    """A table stored in hash buckets of its keys; a commit rewrites the buckets that its rows fall into and no others.
+
+    Commits carry a batch id and a batch is applied once, so a batch that is delivered again
+    changes nothing. One writer at a time; a commit that fails half-way is repaired by
+    committing the same batch again. The number of buckets is fixed when the table is made.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = 256):
+        self.spark, self.rows_path, self.log_path, self.keys, self.buckets = spark, f"{folder}/rows", f"{folder}/batches", keys, buckets
+
+    def create(self, rows: DataFrame) -> None:
+        """Store ``rows``, one per key, as the first contents."""
+        self._write(rows.withColumn("bucket", self._bucket()))
+        self.spark.createDataFrame([], "batch string").write.mode("overwrite").parquet(self.log_path)
+
+    def read(self) -> DataFrame:
+        return self._stored().drop("bucket")
+
+    def commit(self, batch: str, rows: DataFrame, order: list[Column]) -> int:
+        """Upsert ``rows``; the last of a key by ``order`` counts. Gives the number of buckets rewritten, 0 for a batch already applied."""
+        if not self.spark.read.parquet(self.log_path).filter(F.col("batch") == batch).isEmpty():
+            return 0
+        changed = latest_per_key(rows, self.keys, order).withColumn("bucket", self._bucket())
+        touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # at most the number of buckets
+        if touched:
+            self._write(upsert(self._stored().filter(F.col("bucket").isin(touched)), changed, self.keys, order))
+        self.spark.createDataFrame([(batch,)], "batch string").write.mode("append").parquet(self.log_path)
+        return len(touched)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(self.rows_path)
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.rows_path)
+
+
 def insert_if_absent(target: DataFrame, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Rows whose key the target lacks, first per key, appended to it."""
     fresh = first_per_key(rows, keys, order).join(target.select(*keys), keys, "left_anti")

@@ -130,3 +130,18 @@ def test_runs_of_equal_rows_decide_like_single_rows():
                 now, s = (h, m, now[2] + 1), "updated"
             want.append((s, now[2]))
         assert list(zip(status, version.tolist())) == want and tuple(state[:3]) == tuple(now[:3])
+
+
+def test_commits_rewrite_touched_buckets_only(spark, tmp_path):
+    rows = lambda pairs: spark.createDataFrame(pairs, "k long, v string, at int")
+    t = W.KeyedTable(spark, str(tmp_path), ["k"], 8)
+    t.create(rows([(i, "old", 0) for i in range(40)] + [(None, "none", 0)]))
+    files = lambda: {p.relative_to(tmp_path) for p in (tmp_path / "rows").rglob("*.parquet")}
+    before = files()
+    assert t.commit("b1", rows([(3, "new", 1), (3, "newer", 2), (99, "added", 1)]), [F.col("at")]) in (1, 2)
+    kept = before & files()
+    assert len(before) - len(kept) <= 2 and len(kept) >= 6
+    assert t.commit("b1", rows([(3, "again", 9)]), [F.col("at")]) == 0
+    assert t.commit("b2", rows([]), [F.col("at")]) == 0
+    got = {r.k: r.v for r in t.read().collect()}
+    assert got == {**{i: "old" for i in range(40)}, 3: "newer", 99: "added", None: "none"}
