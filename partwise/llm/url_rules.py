@@ -26,9 +26,13 @@ def host_and_path(url: str) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+#: Hex digits of the prefix that is joined on.
+SHORT = 8
+
+
 def _hashed(expression: Column) -> Column:
     digest = F.sha2(expression, 256)
-    return F.struct(F.substring(digest, 1, 8).alias("short"), digest.alias("digest"))
+    return F.struct(F.substring(digest, 1, SHORT).alias("short"), digest.alias("digest"))
 
 
 def judge(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str = "url", default: str = "allow",
@@ -50,6 +54,8 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str = "url",
     # A shape is a number of labels and a number of path characters, so there are few however many rules there are.
     shapes = table.select("labels", "chars").distinct().orderBy("labels", "chars").collect()
     table = table.groupBy("h.short", "h.digest").agg(F.max("rank").alias("rank"))
+    # The join is on the short prefix; of the few rules that share one, the full digest tells.
+    table = table.groupBy("short").agg(F.collect_list(F.struct("digest", "rank")).alias("rules"))
 
     host, path = host_and_path(url_col)
     base = urls.select(F.col(id_col), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
@@ -64,11 +70,12 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str = "url",
     rows = base.select(id_col, "_url", "host", "path", F.posexplode_outer(tried).alias("pos", "e"))
     rows = rows.select(id_col, "_url", "host", "path", (F.coalesce("pos", F.lit(0)) == 0).cast("long").alias("first"), "e.short", "e.digest")
     if rules.limit(broadcast_rules + 1).count() <= broadcast_rules:
-        hit = rows.join(F.broadcast(table), ["short", "digest"], "left")
+        hit = rows.join(F.broadcast(table), "short", "left")
     else:
         rows = rows.withColumn("salt", F.pmod(F.xxhash64(id_col, "_url"), F.lit(salts)))
         table = table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        hit = rows.join(table, ["short", "digest", "salt"], "left")
+        hit = rows.join(table, ["short", "salt"], "left")
+    hit = hit.withColumn("rank", F.get(F.filter("rules", lambda r: r.digest == F.col("digest")), F.lit(0))["rank"])
     best = hit.groupBy(id_col, "_url", "host", "path").agg(F.max("rank").alias("rank"), F.sum("first").alias("copies"))
     whole, host_part = F.shiftright("rank", 32).cast("int"), F.shiftright(F.col("rank").bitwiseAND((1 << 32) - 1), 1).cast("int")
     # The winner's text is the end of the host and the beginning of the path, whose lengths the rank holds.

@@ -80,9 +80,10 @@ def judged(url):
     return host, path, best[3], best[4]
 
 
-@pytest.mark.parametrize("limit", [100_000, 2])
-def test_url_rules_against_all_rules(spark, limit):
-    """Broadcast and salted shuffle give the same verdicts."""
+@pytest.mark.parametrize("limit,short", [(100_000, 8), (2, 8), (100_000, 1), (2, 0)])
+def test_url_rules_against_all_rules(spark, monkeypatch, limit, short):
+    """Broadcast and salted shuffle give the same verdicts, also where different rules share their short prefix."""
+    monkeypatch.setattr(url_rules, "SHORT", short)
     urls = spark.createDataFrame(URLS, "page_id long, url string").selectExpr("*", "'x' AS host", "'y' AS path", "1 AS rank")
     rules = spark.createDataFrame(RULES, "action string, host string, path string")
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(urls, rules, "page_id", broadcast_rules=limit).collect())
