@@ -19,8 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Numbers that are written with other signs than digits: halves, circled and Roman numbers.
-NUMBER_SIGNS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMBER_SIGNS}]+")
+NUMBER_SIGNS = frozenset(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+OTHERS = re.compile(rf"[ {''.join(sorted(NUMBER_SIGNS))}]+")
+
+
+def letters_of(text: str) -> str:
+    """The lower-cased letters of a text, with one space for whatever is between them."""
+    found = NOT_LETTERS.sub(" ", text.lower())
+    # Few texts have number signs, and looking for them one by one is slow.
+    if not found.isascii() and not NUMBER_SIGNS.isdisjoint(found):
+        found = OTHERS.sub(" ", found)
+    return found.strip()
 UNKNOWN = "und"
 SIZES = (3, 5)
 #: Odd multipliers of the hash functions, one for each probe.
@@ -29,7 +39,7 @@ PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 def grams(text: str) -> np.ndarray:
     """The byte n-grams of a text's lower-cased letters, each word between spaces, as numbers; empty where it has no letter."""
-    letters = NOT_LETTERS.sub(" ", text.lower()).strip()
+    letters = letters_of(text)
     if not letters:
         return np.zeros(0, np.uint64)
     b = np.frombuffer(f" {letters} ".encode(), np.uint8).astype(np.uint64)
