@@ -88,10 +88,15 @@ def links(fingerprints: DataFrame, radius: int, block: int = 2048) -> DataFrame:
     blocks = tiled.join(sizes, "tile").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n"))).groupBy("tile", "block").agg(
         F.collect_list("fp").alias("fps"))
     blocks = written(blocks, "tiles")
+    # A tile number is four counts of 0 to 16, so there are at most 17^4 rows to broadcast, however large the table is.
+    near = F.broadcast(blocks.groupBy("tile").agg((F.max("block") + 1).alias("n")))
     left = blocks.select(F.col("tile").alias("tile_a"), F.col("block").alias("block_a"), F.col("fps").alias("a"),
                          F.explode(F.array(*[F.lit(d) for d in _near_tiles(radius)])).alias("step"))
-    left = left.withColumn("tile", F.col("tile_a") + F.col("step"))
-    paired = left.join(blocks, "tile").filter("step <> 0 OR block_a <= block").select(
+    left = left.withColumn("tile", F.col("tile_a") + F.col("step")).join(near, "tile")
+    # Every pair of blocks has a row of its own before the shuffle, so the pairs of a full tile are dealt by block.
+    first = F.when(F.col("step") == 0, F.col("block_a")).otherwise(F.lit(0))
+    left = left.select("tile", F.explode(F.sequence(first, F.col("n") - 1)).alias("block"), "step", "block_a", "a")
+    paired = left.join(blocks, ["tile", "block"]).select(
         "a", F.when((F.col("step") != 0) | (F.col("block_a") != F.col("block")), F.col("fps")).alias("b"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
