@@ -94,11 +94,12 @@ def isotonic(scores: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[np.nd
 
 
 def learn(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", stats_col: str = "stats", label_col: str = "quality", waves: int = 256,
-          width: float = 0.6, ridge: float = 1e-3, folds: int = 4, bins: int = 400, seed: int = 5) -> Model | None:
+          width: float = 0.6, ridge: float = 1e-3, folds: int = 4, bins: int = 400, leaves: int = 1024, seed: int = 5) -> Model | None:
     """A model from all rows of ``described`` (id, statistics; a table) that ``labels`` marks 0 or 1; None without any.
 
-    Sums over rows are made per partition and then per group of partitions; the driver gets
-    ``folds`` times 16 sums of ``waves`` squared numbers, and ``bins`` rows for the calibration.
+    Sums over rows are made in at most ``leaves`` tasks of several partitions each and then in 16
+    tasks over those; the driver gets ``folds`` times 16 sums of ``waves`` squared numbers, and
+    ``bins`` rows for the calibration. Whole texts are described before; a repeated row counts as often as it stands.
     Null labels and ids are skipped. A row's fold is a hash of its id.
     """
     marked = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("double").alias("y")).dropna()
@@ -131,7 +132,7 @@ def learn(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", stats
                 total += np.frombuffer(s)
         yield pd.DataFrame({"part": [0], "s": [total.tobytes()]})
 
-    sums = rows.mapInPandas(summed, "part int, s binary").repartition(16, "part").mapInPandas(joined, "part int, s binary").collect()
+    sums = rows.coalesce(leaves).mapInPandas(summed, "part int, s binary").repartition(16, "part").mapInPandas(joined, "part int, s binary").collect()
     by_fold = sum(np.frombuffer(s.s).reshape(folds, k, k + 1) for s in sums)
 
     def solved(m: np.ndarray) -> np.ndarray:
