@@ -88,7 +88,7 @@ class Rollup:
         """Write a batch's deltas unless the batch or a base that covers it is there; a half-written one is replaced. True if it was new."""
         if batch in self._ids("batch") or any(batch <= b for b in self._ids("base")):
             return False
-        delta.select(*KEYS, "docs", "tokens").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        delta.select(*KEYS, "docs", "tokens").write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return True
 
     def _parts(self, upto: int | None = None) -> list[str]:
@@ -107,4 +107,4 @@ class Rollup:
     def compact(self, upto: int) -> None:
         """Sum the batches up to an id into one base; they must all have arrived, since later ones of that range are then refused."""
         if upto not in self._ids("base"):
-            self.totals(upto).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/base={upto}")
+            self.totals(upto).write.mode("overwrite").parquet(f"{self.path}/base={upto}")
