@@ -10,6 +10,8 @@ with the longer host, of the same rule twice the blocking one.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,12 +63,13 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str, url_col: str = "url",
     base = urls.select(F.col(id_col), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
 
-    def expression(k: int, m: int) -> Column:
-        suffix = F.array_join(F.slice(labels, -k, k), ".")
-        return F.when((F.size(labels) >= k) & (F.length("path") >= m), _hashed(F.concat(suffix, F.substring("path", 1, m))))
+    def expression(s: Column) -> Column:
+        return _hashed(F.concat(F.array_join(F.slice(labels, -s["labels"], s["labels"]), "."), F.substring(F.col("path"), 1, s["chars"])))
 
-    tried = F.array_compact(F.array(*[expression(s.labels, s.chars) for s in shapes])) if shapes else F.array().cast(
-        "array<struct<short:string,digest:string>>")
+    # One literal array that every row filters by its own lengths: the plan is as small for a thousand shapes as for one.
+    all_shapes = F.from_json(F.lit(json.dumps([s.asDict() for s in shapes])), "array<struct<labels:int,chars:int>>")
+    fitting = F.filter(all_shapes, lambda s: (F.size(labels) >= s["labels"]) & (F.length("path") >= s["chars"]))
+    tried = F.transform(fitting, expression)
     rows = base.select(id_col, "_url", "host", "path", F.posexplode_outer(tried).alias("pos", "e"))
     rows = rows.select(id_col, "_url", "host", "path", (F.coalesce("pos", F.lit(0)) == 0).cast("long").alias("first"), "e.short", "e.digest")
     if rules.limit(broadcast_rules + 1).count() <= broadcast_rules:

@@ -2,15 +2,26 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
+from xxhash import xxh64_intdigest
 
 from partwise.llm import fingerprints as P
 from partwise.llm import url_rules
 from tests.llm.cases import AWKWARD, awkward, documents, empty
 
 
+def slow_fingerprint(text):
+    """Votes of word pairs by their length, with the chained hash that Spark gives two columns."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    terms = [(xxh64_intdigest(b.encode(), xxh64_intdigest(a.encode(), 42)), len(a) + len(b)) for a, b in zip(words, words[1:])]
+    terms = terms or [(xxh64_intdigest(w.encode(), 42), len(w)) for w in words]
+    whole = sum(w for _, w in terms)
+    return sum(1 << j for j in range(64) if 2 * sum(w for h, w in terms if h >> j & 1) > whole)
+
+
 def test_edit_report_against_brute_force(spark):
     for df in (documents(spark), awkward(spark).filter("doc_id <> 7")):
         rows = sorted((r.doc_id, r.text or "") for r in df.collect())
@@ -24,6 +35,8 @@ def test_edit_report_against_brute_force(spark):
             r = got[i]
             assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
             assert prints.setdefault(text, r.fingerprint) == r.fingerprint and prints.setdefault(edited, r.edited_fingerprint) == r.edited_fingerprint
+            if len(text) < 10_000:
+                assert (int(r.fingerprint, 16), int(r.edited_fingerprint, 16)) == (slow_fingerprint(text), slow_fingerprint(edited))
             bits = bin(int(r.fingerprint, 16) ^ int(got[following[0]].fingerprint, 16)).count("1")
             assert r.near_next == pytest.approx(max(0.0, np.cos(np.pi * bits / 64)))
             assert 0 <= r.near_edited <= 1
@@ -90,3 +103,20 @@ def test_url_rules_against_all_rules(spark, monkeypatch, limit, short):
     assert got == sorted((i, *judged(u)) for i, u in URLS)
     assert url_rules.judge(urls.limit(0), rules, "page_id").collect() == []
     assert all(r.rule is None and r.verdict == "allow" for r in url_rules.judge(urls, rules.limit(0), "page_id").collect())
+
+
+def test_rules_of_many_shapes(spark):
+    """A thousand rules with two hundred path lengths cost one small plan; every URL still gets its longest rule."""
+    rng = random.Random(11)
+    rows = [(("block", "allow")[k % 2], ".".join(rng.choice("abc") for _ in range(1 + k % 5)), "/" + "p" * (k % 200)) for k in range(1000)]
+    rules = spark.createDataFrame(rows, "action string, host string, path string")
+    urls = [(k, f"http://{'.'.join(rng.choice('abcd') for _ in range(6))}/{'p' * rng.randrange(250)}") for k in range(40)]
+    plan = url_rules.judge(spark.createDataFrame(urls, "page_id long, url string"), rules, "page_id")
+    assert plan._jdf.queryExecution().analyzed().toString().count("sha2(") < 5
+
+    def longest(url):
+        host, path = url.removeprefix("http://").split("/", 1)
+        fits = [h + p for _, h, p in rows if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits, key=len, default=None)
+
+    assert {r.page_id: r.rule and len(r.rule) for r in plan.collect()} == {i: longest(u) and len(longest(u)) for i, u in urls}
