@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partwise.functions.termcodes import frequent_runs
 from partwise.functions.text import SEGMENTS, WORD, WORD2, ngrams, tokens
 
 
@@ -82,6 +83,33 @@ def vocabulary(counts: DataFrame, rows: DataFrame, vectorisers: dict[str, Vector
     return stats.crossJoin(F.broadcast(total)).select("field", "term", "df", idf.alias("idf"))
 
 
+def frequent_terms(texts: DataFrame, text: str, vectorisers: dict[str, Vectoriser]) -> DataFrame:
+    """(field, term, df, idf) of the most frequent terms of each vectoriser with ``max_features``, over the same text column.
+
+    What ``vocabulary`` gives for them, without counting every run of words (see ``termcodes.frequent_runs``);
+    vectorisers of one pattern share the counts. The terms themselves reach the driver: ``max_features`` each.
+    """
+    if not all(v.max_features for v in vectorisers.values()):
+        raise ValueError("only vectorisers with max_features")
+    total, found = texts.count(), []
+    for pattern, group in dict.fromkeys((v.pattern, v.group) for v in vectorisers.values()):
+        limits = {f: (v.longest, v.max_features) for f, v in vectorisers.items() if (v.pattern, v.group) == (pattern, group)}
+        for f, terms in frequent_runs(texts, F.col(text), pattern, group, limits).items():
+            found += [(f, term, df) for term, df in terms]
+    kept = texts.sparkSession.createDataFrame(found, "field string, term string, df long")
+    return kept.withColumn("idf", F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1)
+
+
+def row_vocabulary(texts: DataFrame, text: str, field: str, v: Vectoriser) -> DataFrame:
+    """(field, term, df, idf) of all single words of a text column; a row's repeats go before anything is grouped."""
+    if v.longest != 1 or v.max_features:
+        raise ValueError("single words without a limit only")
+    words = texts.select(F.explode(F.array_distinct(tokens(F.col(text), v.pattern, v.group))).alias("term"))
+    total = texts.agg(F.count("*").alias("rows"))
+    idf = F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1
+    return words.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select(F.lit(field).alias("field"), "term", "df", idf.alias("idf"))
+
+
 def vectors(counts: DataFrame, vocab: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(pk, field, term, idf, w): weights of the terms the vocabulary knows, normalised over all of them.
 

@@ -44,11 +44,9 @@ CONFIGS = {"baseline": V.BASELINE, **V.CAPPED}
     S.grams(f"{k}_tf", MASTER, v) + ", " + S.vocabulary(f"{k}_v", f"{k}_tf", ROWS, v) for k, v in CONFIGS.items()) + " " + " UNION ALL ".join(
     f"SELECT '{k}' AS vectoriser, count(*) AS terms, round(sum(idf), 4) AS idf_sum FROM {k}_v" for k in CONFIGS))
 def e22_vocab(spark, d):
-    rows, counts = doc_counts(spark, d, CONFIGS)
-    # Fields whose vectorisers are bounded keep their own limit; the unbounded one is fitted apart.
+    rows = documents(spark, d)
     bounded = {k: v for k, v in CONFIGS.items() if v.max_features}
-    both = V.vocabulary(counts.filter("field <> 'baseline'"), rows, bounded).unionByName(
-        V.vocabulary(counts.filter("field = 'baseline'"), rows, {"baseline": V.BASELINE}))
+    both = V.frequent_terms(rows, "text", bounded).unionByName(V.row_vocabulary(rows, "text", "baseline", V.BASELINE))
     return both.groupBy(F.col("field").alias("vectoriser")).agg(F.count("*").alias("terms"), F.round(F.sum("idf"), 4).alias("idf_sum"))
 
 

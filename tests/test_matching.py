@@ -102,3 +102,13 @@ def test_hot_terms_are_dealt_over_tasks(spark, monkeypatch):
     want = sorted(map(tuple, J.match(new, rows, cfg, 0.3, 60).collect()))
     monkeypatch.setattr(J.block_pairs, "__defaults__", (3,))
     assert sorted(map(tuple, J.match(new, rows, cfg, 0.3, 60).collect())) == want
+
+
+def test_frequent_terms_are_those_of_the_whole_vocabulary_without_counting_all_runs(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, " ".join(["a b c"] * (i % 4) + ["b c d", f"x{i} y{i % 3} a"])) for i in range(40)] + [(99, None), (100, "")], "id int, text string").repartition(3)
+    vec = {"one": V.Vectoriser(V.WORD, 2, 7), "two": V.Vectoriser(V.WORD, 3, 12), "all": V.Vectoriser(V.WORD, 3, 1000), "long": V.Vectoriser(V.WORD2, 2, 5)}
+    counts = V.term_counts(V.profiles(rows, {f: F.col("text") for f in vec}), vec)
+    want = {(r.field, r.term, r.df, round(r.idf, 9)) for r in V.vocabulary(counts, rows, vec).collect()}
+    # The whole vocabulary counts every run; the pruned one may not.
+    monkeypatch.setattr(V, "term_counts", None)
+    assert {(r.field, r.term, r.df, round(r.idf, 9)) for r in V.frequent_terms(rows, "text", vec).collect()} == want
