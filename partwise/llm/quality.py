@@ -97,9 +97,9 @@ def learn(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", stats
           width: float = 0.6, ridge: float = 1e-3, folds: int = 4, bins: int = 400, leaves: int = 1024, seed: int = 5) -> Model | None:
     """A model from all rows of ``described`` (id, statistics; a table) that ``labels`` marks 0 or 1; None without any.
 
-    Sums over rows are made in at most ``leaves`` tasks of several partitions each and then in 16
-    tasks over those; the driver gets ``folds`` times 16 sums of ``waves`` squared numbers, and
-    ``bins`` rows for the calibration. Whole texts are described before; a repeated row counts as often as it stands.
+    Sums over rows are made in at most ``leaves`` tasks of several partitions each and then part by
+    part over those, so the driver gets them once, ``folds`` times ``waves`` squared numbers, and
+    ``bins`` rows for the calibration, whatever the number of partitions. Whole texts are described before; a repeated row counts as often as it stands.
     Null labels and ids are skipped. A row's fold is a hash of its id.
     """
     marked = labels.select(F.col(id_col).alias("_i"), F.col(label_col).cast("double").alias("y")).dropna()
@@ -116,24 +116,32 @@ def learn(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", stats
                   rng.uniform(0, 2 * np.pi, waves), np.zeros(waves + 1), np.zeros(1), np.array([moments.y]))
     k = waves + 1
 
+    cuts = 4  # a fold's equations leave a task in so many parts, which are summed apart
+
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((folds, k, k + 1))
+        total = None
         for part in batches:
-            z, y, fold = model.features(np.array(part["x"].tolist())), part["y"].to_numpy(), part["fold"].to_numpy()
-            for f in np.unique(fold):
-                at = fold == f
-                total[f] += np.hstack([z[at].T @ z[at], (z[at].T @ y[at])[:, None]])
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId() % 16], "s": [total.tobytes()]})
+            if len(part):
+                total = np.zeros((folds, k, k + 1)) if total is None else total
+                z, y, fold = model.features(np.array(part["x"].tolist())), part["y"].to_numpy(), part["fold"].to_numpy()
+                for f in np.unique(fold):
+                    at = fold == f
+                    total[f] += np.hstack([z[at].T @ z[at], (z[at].T @ y[at])[:, None]])
+        if total is not None:
+            for i, piece in enumerate(np.array_split(total.ravel(), folds * cuts)):
+                yield pd.DataFrame({"part": [i], "s": [piece.tobytes()]})
 
     def joined(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(folds * k * (k + 1))
-        for part in parts:
-            for s in part["s"]:
-                total += np.frombuffer(s)
-        yield pd.DataFrame({"part": [0], "s": [total.tobytes()]})
-
-    sums = rows.coalesce(leaves).mapInPandas(summed, "part int, s binary").repartition(16, "part").mapInPandas(joined, "part int, s binary").collect()
-    by_fold = sum(np.frombuffer(s.s).reshape(folds, k, k + 1) for s in sums)
+        total: dict[int, np.ndarray] = {}
+        for frame in parts:
+            for i, s in zip(frame["part"], frame["s"]):
+                total[i] = total[i] + np.frombuffer(s) if i in total else np.frombuffer(s)
+        # Nothing from a task without sums, however many such tasks there are.
+        if total:
+            yield pd.DataFrame({"part": list(total), "s": [s.tobytes() for s in total.values()]})
+
+    parts = rows.coalesce(leaves).mapInPandas(summed, "part int, s binary").repartition(folds * cuts, "part").mapInPandas(joined, "part int, s binary").collect()
+    by_fold = np.concatenate([np.frombuffer(r.s) for r in sorted(parts, key=lambda r: r.part)]).reshape(folds, k, k + 1)
 
     def solved(m: np.ndarray) -> np.ndarray:
         return np.linalg.solve(m[:, :k] + ridge * max(m[-1, k - 1], 1.0) * np.diag([1.0] * waves + [1e-9]), m[:, k])

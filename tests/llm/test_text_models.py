@@ -203,3 +203,21 @@ def test_quality_awkward(spark):
 def test_every_document_has_a_row(spark, name):
     got = queries.REGISTRY[name].run(spark, "/root/testdata/sf0.001")
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in documents(spark).select("doc_id").collect())
+
+
+def test_quality_sums_reach_the_driver_once_whatever_the_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, len(quality.STATISTICS)))
+    stats = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, stats array<double>").repartition(40)
+    labels = spark.createDataFrame([(i, int(r[0] > 0)) for i, r in enumerate(x)], "doc_id long, quality int")
+    kind, sent = type(stats), []
+    collect = kind.collect
+
+    def counted(df):
+        rows = collect(df)
+        sent.extend(len(r.s) for r in rows if "s" in df.columns and isinstance(r.s, (bytes, bytearray)))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", counted)
+    quality.learn(stats, labels, waves=32)
+    assert sum(sent) == 4 * 33 * 34 * 8
