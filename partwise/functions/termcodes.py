@@ -22,6 +22,21 @@ class Runs:
     words: list[str] = field(default_factory=list)
     pairs: list[np.ndarray] = field(default_factory=list)  # per level from 2 on: first * size of the level below + second, ascending
 
+    @classmethod
+    def of(cls, terms: list[str]) -> tuple[Runs, np.ndarray]:
+        """The runs of ``terms`` and of all their parts, and for each (levels one after the other) its place in ``terms``, -1 for a mere part."""
+        cut = [t.split(" ") for t in terms]
+        levels, place = [], {t: i for i, t in enumerate(terms)}
+        for k in range(1, max(map(len, cut), default=1) + 1):
+            levels.append(sorted({" ".join(w[i:i + k]) for w in cut for i in range(len(w) - k + 1)}))
+        out, order = cls(levels[0]), [levels[0]]
+        for level in levels[1:]:
+            at, size = {t: i for i, t in enumerate(order[-1])}, len(order[-1])
+            pairs = sorted((at[t.rsplit(" ", 1)[0]] * size + at[t.split(" ", 1)[1]], t) for t in level)
+            out.pairs.append(np.array([p for p, _ in pairs], np.int64))
+            order.append([t for _, t in pairs])
+        return out, np.array([place.get(t, -1) for level in order for t in level], np.int64)
+
     def sizes(self) -> list[int]:
         return [len(self.words), *map(len, self.pairs)]
 
@@ -126,3 +141,32 @@ def frequent_runs(texts: DataFrame, text: Column, pattern: str, group: int, limi
         best = sorted((i for i, x in enumerate(flat) if x[2] <= longest), key=lambda i: (-flat[i][1], flat[i][0]))[:m]
         out[name] = [(flat[i][0], int(rows[i])) for i in best]
     return out
+
+
+def row_weights(rows: DataFrame, ident: str, text: Column, pattern: str, group: int, terms: list[tuple[str, float]]) -> DataFrame:
+    """(ident, term, w): the weight tf * idf of each of the (term, idf) in each row, of unit length per row; rows without any are left out.
+
+    Each row is weighed where it is read, so nothing is shuffled; the terms are broadcast.
+    """
+    known, place = Runs.of([t for t, _ in terms])
+    shared = rows.sparkSession.sparkContext.broadcast((known, place, [t for t, _ in terms], np.array([w for _, w in terms])))
+    words = rows.select(ident, tokens(text, pattern, group).alias("words"))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place, names, idf = shared.value
+        names, size = pa.array(names, pa.string()), max(len(names), 1)
+        for b in batches:
+            hits, first = [np.zeros(0, np.int64)], 0
+            for (at, row), n in zip(known.found(b.column(1)), known.sizes()):
+                term = place[first + at[at >= 0]]
+                hits.append((row[at >= 0].astype(np.int64) * size + term)[term >= 0])
+                first += n
+            one, tf = np.unique(np.concatenate(hits), return_counts=True)
+            row, term = one // size, one % size
+            raw = tf * idf[term]
+            w = raw / np.sqrt(np.bincount(row, raw * raw, b.num_rows))[row]
+            for i in range(0, len(one), 200_000):
+                part = slice(i, i + 200_000)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[part])), names.take(pa.array(term[part])), pa.array(w[part])], [ident, "term", "w"])
+
+    return words.mapInArrow(weighed, f"`{ident}` {words.schema[ident].dataType.simpleString()}, term string, w double")

@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwise.functions.termcodes import frequent_runs
+from partwise.functions.termcodes import frequent_runs, row_weights
 from partwise.functions.text import SEGMENTS, WORD, WORD2, ngrams, tokens
 
 
@@ -100,6 +100,12 @@ def frequent_terms(texts: DataFrame, text: str, vectorisers: dict[str, Vectorise
     return kept.withColumn("idf", F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1)
 
 
+def capped_weights(rows: DataFrame, ident: str, text: str, v: Vectoriser) -> DataFrame:
+    """(ident, term, w) of each row of a text column over its ``max_features`` most frequent terms, which the driver holds."""
+    terms = [(r.term, r.idf) for r in frequent_terms(rows, text, {text: v}).collect()]
+    return row_weights(rows, ident, F.col(text), v.pattern, v.group, terms)
+
+
 def row_vocabulary(texts: DataFrame, text: str, field: str, v: Vectoriser) -> DataFrame:
     """(field, term, df, idf) of all single words of a text column; a row's repeats go before anything is grouped."""
     if v.longest != 1 or v.max_features:

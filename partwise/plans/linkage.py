@@ -54,11 +54,8 @@ def e22_vocab(spark, d):
     S.grams("m_tf", MASTER, V.CAPPED["field_match"]), S.vocabulary("voc", "m_tf", ROWS, V.CAPPED["field_match"]), S.weights("m_w", "m_tf", "voc")])
     + " SELECT id AS doc_id, term, round(w, 6) AS weight FROM m_w")
 def e22(spark, d):
-    vec = {"text": V.CAPPED["field_match"]}
-    rows, counts = doc_counts(spark, d, vec)
-    w = V.vectors(counts, V.vocabulary(counts, rows, vec))
-    members = rows.select("doc_id", V.profile_key([F.col("text")]).alias("pk"))
-    return members.join(w, "pk").select("doc_id", "term", F.round("w", 6).alias("weight"))
+    w = V.capped_weights(documents(spark, d), "doc_id", "text", V.CAPPED["field_match"])
+    return w.select("doc_id", "term", F.round("w", 6).alias("weight"))
 
 
 BLOCK_NEW = """SELECT s_suppkey, CASE WHEN s_acctbal >= 0 THEN CAST(s_nationkey AS STRING) ELSE '' END AS nation,

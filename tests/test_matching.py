@@ -112,3 +112,15 @@ def test_frequent_terms_are_those_of_the_whole_vocabulary_without_counting_all_r
     # The whole vocabulary counts every run; the pruned one may not.
     monkeypatch.setattr(V, "term_counts", None)
     assert {(r.field, r.term, r.df, round(r.idf, 9)) for r in V.frequent_terms(rows, "text", vec).collect()} == want
+
+
+def test_capped_weights_count_only_in_the_tasks(spark):
+    rows = spark.createDataFrame([(i, " ".join(["a b c"] * (i % 4) + ["b c d", f"x{i} y{i % 3} a"])) for i in range(30)] + [(30, None), (31, ""), (31, "a b a b"), (32, "zz")], "id int, text string").repartition(3)
+    v = V.Vectoriser(V.WORD, 2, 9)
+    counts = V.term_counts(V.profiles(rows, {"text": F.col("text")}), {"text": v})
+    want = V.vectors(counts, V.vocabulary(counts, rows, {"text": v}))
+    members = rows.select("id", V.profile_key([F.col("text")]).alias("pk"))
+    got = V.capped_weights(rows, "id", "text", v)
+    key = lambda df: sorted((r.id, r.term, round(r.w, 9)) for r in df.collect())
+    assert key(got) == key(members.join(want, "pk"))
+    assert "Exchange" not in got.select("id", "term", "w")._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
