@@ -143,6 +143,19 @@ def frequent_runs(texts: DataFrame, text: Column, pattern: str, group: int, limi
     return out
 
 
+def _weights(b: pa.RecordBatch, known: Runs, place: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, w) of the batch (ident, words), ascending by row."""
+    hits, first, size = [np.zeros(0, np.int64)], 0, max(len(idf), 1)
+    for (at, row), n in zip(known.found(b.column(1)), known.sizes()):
+        term = place[first + at[at >= 0]]
+        hits.append((row[at >= 0].astype(np.int64) * size + term)[term >= 0])
+        first += n
+    one, tf = np.unique(np.concatenate(hits), return_counts=True)
+    row, term = one // size, one % size
+    raw = tf * idf[term]
+    return row, term, raw / np.sqrt(np.bincount(row, raw * raw, b.num_rows))[row]
+
+
 def row_weights(rows: DataFrame, ident: str, text: Column, pattern: str, group: int, terms: list[tuple[str, float]]) -> DataFrame:
     """(ident, term, w): the weight tf * idf of each of the (term, idf) in each row, of unit length per row; rows without any are left out.
 
@@ -154,19 +167,51 @@ def row_weights(rows: DataFrame, ident: str, text: Column, pattern: str, group:
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place, names, idf = shared.value
-        names, size = pa.array(names, pa.string()), max(len(names), 1)
+        names = pa.array(names, pa.string())
         for b in batches:
-            hits, first = [np.zeros(0, np.int64)], 0
-            for (at, row), n in zip(known.found(b.column(1)), known.sizes()):
-                term = place[first + at[at >= 0]]
-                hits.append((row[at >= 0].astype(np.int64) * size + term)[term >= 0])
-                first += n
-            one, tf = np.unique(np.concatenate(hits), return_counts=True)
-            row, term = one // size, one % size
-            raw = tf * idf[term]
-            w = raw / np.sqrt(np.bincount(row, raw * raw, b.num_rows))[row]
-            for i in range(0, len(one), 200_000):
+            row, term, w = _weights(b, known, place, idf)
+            for i in range(0, len(row), 200_000):
                 part = slice(i, i + 200_000)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[part])), names.take(pa.array(term[part])), pa.array(w[part])], [ident, "term", "w"])
 
     return words.mapInArrow(weighed, f"`{ident}` {words.schema[ident].dataType.simpleString()}, term string, w double")
+
+
+def row_scores(rows: DataFrame, ident: str, text: Column, pattern: str, group: int, terms: list[tuple[str, float]], names: list[str], vectors: np.ndarray,
+               threshold: float, most: int, margin: float = 1e-8) -> DataFrame:
+    """(ident, name, s): cosine of each row with each named vector (terms x names), where it reaches ``threshold`` less a margin.
+
+    Terms and vectors are broadcast and each row is compared where it is read. Of a name's rows a
+    task gives its ``most`` best of each batch, with all that are within the margin of the last one.
+    """
+    known, place = Runs.of([t for t, _ in terms])
+    shared = rows.sparkSession.sparkContext.broadcast((known, place, np.array([w for _, w in terms]), names, vectors))
+    words = rows.select(ident, tokens(text, pattern, group).alias("words"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place, idf, names, vectors = shared.value
+        names = pa.array(names, pa.string())
+        step = max(1, (1 << 22) // max(vectors.shape[1], 1))
+        for b in batches:
+            row, term, w = _weights(b, known, place, idf)
+            found = []
+            start = 0
+            while start < len(row):
+                # Whole rows, some four million products at a time.
+                end = len(row) if start + step >= len(row) else max(int(np.searchsorted(row, row[start + step])), int(np.searchsorted(row, row[start], "right")))
+                one, first = np.unique(row[start:end], return_index=True)
+                s = np.add.reduceat(vectors[term[start:end]] * w[start:end, None], first)
+                at, name = np.nonzero(s >= threshold - margin)
+                found.append((one[at], name, s[at, name]))
+                start = end
+            if not found:
+                continue
+            r, name, s = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((-s, name))
+            r, name, s = r[order], name[order], s[order]
+            head = np.searchsorted(name, name)
+            tail = np.searchsorted(name, name, "right") - 1
+            keep = s >= s[np.minimum(head + most - 1, tail)] - margin
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r[keep])), names.take(pa.array(name[keep])), pa.array(s[keep])], [ident, "name", "s"])
+
+    return words.mapInArrow(scored, f"`{ident}` {words.schema[ident].dataType.simpleString()}, name string, s double")

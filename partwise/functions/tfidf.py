@@ -11,7 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partwise.functions.termcodes import frequent_runs, row_weights
+from partwise.functions.termcodes import frequent_runs, row_scores, row_weights  # noqa: F401
 from partwise.functions.text import SEGMENTS, WORD, WORD2, ngrams, tokens
 
 

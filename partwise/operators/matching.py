@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,9 +166,7 @@ class Matcher:
         return _pairs(reach, m, self.exact, F.col("n.tail") * F.col("m.tail") >= F.col("n.floor"))
 
     def combined(self, scored: DataFrame) -> DataFrame:
-        weights = self.cfg.weights()
-        total = sum((F.col(f"s_{f}") * w for f, w in weights.items()), F.lit(0.0))
-        return scored.withColumn("similarity", total / sum(weights.values()))
+        return _combined(scored, self.cfg)
 
     def top_rows(self, scored: DataFrame, top_n: int) -> DataFrame:
         """Best masters per new item, ties by master id: profiles first, then their rows.
@@ -187,6 +186,9 @@ class Matcher:
 
 def match(new: DataFrame, master: DataFrame, cfg: MatchConfig, threshold: float = 0.3, top_n: int = 5) -> DataFrame:
     """(new_id, master_id, rank, s_<field>..., similarity) with similarity at or above the threshold."""
+    few = _match_capped(new, master, cfg, threshold, top_n)
+    if few is not None:
+        return few
     m = Matcher(new, master, cfg)
     scored = m.combined(m.score(m.candidates(threshold)))
     # Rounded before ranking, so that equal scores tie whatever order their terms were added in.
@@ -194,6 +196,40 @@ def match(new: DataFrame, master: DataFrame, cfg: MatchConfig, threshold: float
     return m.top_rows(kept, top_n)
 
 
+#: Most numbers (terms times distinct new texts) that are sent to every task.
+BROADCAST_CELLS = 1 << 22
+
+
+def _match_capped(new: DataFrame, master: DataFrame, cfg: MatchConfig, threshold: float, top_n: int) -> DataFrame | None:
+    """``match`` of one text over a bounded vocabulary with few new texts: each master is compared where it is read. None where these are too many."""
+    v = cfg.vectoriser
+    if not v.max_features or cfg.compared() != ["f0"] or cfg.exact or threshold <= 0:
+        return None
+    n_rows, texts, _ = _side(new, cfg, 0)
+    m_rows, _, _ = _side(master, cfg, 1)
+    prof = stored(V.profiles(n_rows, texts).select("pk", "f0"), "profiles")
+    if prof.count() * v.max_features > BROADCAST_CELLS:
+        return None
+    terms = [(r.term, r.idf) for r in V.frequent_terms(m_rows, "f0", {"f0": v}).collect()]
+    at, weights = {t: i for i, (t, _) in enumerate(terms)}, V.row_weights(prof, "pk", F.col("f0"), v.pattern, v.group, terms).collect()
+    names = sorted({r.pk for r in weights})
+    column, vectors = {pk: i for i, pk in enumerate(names)}, np.zeros((len(terms), len(names)))
+    for r in weights:
+        vectors[at[r.term], column[r.pk]] = r.w
+    found = V.row_scores(m_rows, "id", F.col("f0"), v.pattern, v.group, terms, names, vectors, threshold, top_n)
+    scored = found.select(F.col("name").alias("n_pk"), F.col("id").alias("master_id"), *[F.col("s").alias(f"s_{f}") for f in cfg.fields()])
+    kept = _combined(scored, cfg).withColumn("similarity", F.round("similarity", 9)).filter(F.col("similarity") >= threshold)
+    best = kept.withColumn("rank", F.expr("row_number() OVER (PARTITION BY n_pk ORDER BY similarity DESC, master_id)")).filter(F.col("rank") <= top_n)
+    items = _members(n_rows, list(texts), []).select(F.col("pk").alias("n_pk"), F.col("id").alias("new_id"))
+    return items.join(best, "n_pk").select("new_id", "master_id", "rank", *[f"s_{f}" for f in cfg.fields()], "similarity")
+
+
+def _combined(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
+    weights = cfg.weights()
+    total = sum((F.col(f"s_{f}") * w for f, w in weights.items()), F.lit(0.0))
+    return scored.withColumn("similarity", total / sum(weights.values()))
+
+
 def match_details(cfg: MatchConfig) -> Column:
     """map of ``<field>_similarity`` rounded to four places."""
     pairs = [x for f in cfg.fields() for x in (F.lit(f"{f}_similarity"), F.round(F.col(f"s_{f}"), 4))]

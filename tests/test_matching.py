@@ -124,3 +124,15 @@ def test_capped_weights_count_only_in_the_tasks(spark):
     key = lambda df: sorted((r.id, r.term, round(r.w, 9)) for r in df.collect())
     assert key(got) == key(members.join(want, "pk"))
     assert "Exchange" not in got.select("id", "term", "w")._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+
+
+def test_capped_match_with_few_new_texts_needs_no_join_of_terms(spark, monkeypatch):
+    new = spark.createDataFrame([(1, "red valve dn50"), (2, "red valve dn50"), (3, ""), (4, None), (5, "blue pump nothing else")], "n int, t string")
+    master = spark.createDataFrame([(i, f"red valve dn{i % 7 * 10} pn16") for i in range(40)] + [(90, "blue pump"), (91, "blue pump"), (92, None), (92, "pump blue"), (93, "qq")], "m int, t string").repartition(4)
+    cfg = J.MatchConfig("n", "m", [("t", "t")], vectoriser=V.Vectoriser(V.WORD, 2, 30))
+    key = lambda df: sorted((r.new_id, r.master_id, r["rank"], round(r.s_f0, 9), round(r.s_description, 9), round(r.similarity, 9)) for r in df.collect())
+    with monkeypatch.context() as m:
+        m.setattr(J, "BROADCAST_CELLS", 0)
+        want = key(J.match(new, master, cfg, 0.3, 4))
+    monkeypatch.setattr(J, "Matcher", None)
+    assert want and key(J.match(new, master, cfg, 0.3, 4)) == want
