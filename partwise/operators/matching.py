@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from partwise.functions import tfidf as V
 from partwise.functions.extract import spec_features
 from partwise.functions.text import maker_fingerprint
+from partwise.operators.reach import master_words, reachable, row_frequencies
 from partwise.operators.setjoin import block_pairs, similar_sets, similar_strings
 from partwise.session import stored
 
@@ -111,17 +112,22 @@ def _pairs(new_posts: DataFrame, master_posts: DataFrame, exact: list[str], can_
 class Matcher:
     """The prepared sides of a match: profiles, vocabulary of the master, vectors of both."""
 
-    def __init__(self, new: DataFrame, master: DataFrame, cfg: MatchConfig):
+    def __init__(self, new: DataFrame, master: DataFrame, cfg: MatchConfig, threshold: float | None = None, most: int | None = None):
+        """With ``threshold`` or ``most`` only what reaches it, or is among as many best, need be found; few new texts then find it by bounds."""
         self.cfg = cfg
         self.n_rows, texts, self.exact = _side(new, cfg, 0)
         self.m_rows, _, _ = _side(master, cfg, 1)
+        self.all_rows = self.m_rows
         self.texts = list(texts)
         n_prof = V.profiles(self.n_rows, texts, self.exact)
-        m_prof = V.profiles(self.m_rows, texts, self.exact)
         vec = cfg.vectorisers()
         # Texts are read and split once; every later step starts from these written counts.
-        m_counts = stored(V.term_counts(m_prof, vec), "terms")
         n_counts = stored(V.term_counts(n_prof, vec), "terms")
+        self.near = self._near(n_counts, threshold, most)
+        if self.near is not None:
+            return
+        m_prof = V.profiles(self.m_rows, texts, self.exact)
+        m_counts = stored(V.term_counts(m_prof, vec), "terms")
         self.vocab = stored(V.vocabulary(m_counts, self.m_rows, vec), "vocabulary")
         self.n_vec = stored(V.vectors(n_counts, self.vocab), "vectors")
         # A product has only terms of both sides, so of the master only the new items' terms are kept; its norms count all.
@@ -129,6 +135,28 @@ class Matcher:
         self.n_exact = n_prof.select("pk", *self.exact)
         self.m_exact = m_prof.select("pk", *self.exact)
 
+    def _near(self, n_counts: DataFrame, threshold: float | None, most: int | None) -> DataFrame | None:
+        """(n_pk, m_pk, s_f0) of the pairs that can matter, and ``m_rows`` cut to theirs; None where the whole master is to be compared.
+
+        Of the master only the terms of these rows are counted, over all its rows.
+        """
+        v = self.cfg.vectoriser
+        if self.cfg.compared() != ["f0"] or self.exact or v.max_features or v.longest > 2 or not ((threshold or 0) > 0 or most):
+            return None
+        words = master_words(self.m_rows, "f0", v)
+        rows = words.count()
+        pairs = reachable(n_counts, words, v, rows, threshold, most)
+        if pairs is None:
+            return None
+        pairs = stored(pairs, "near")
+        self.m_rows = stored(self.m_rows.withColumn("pk", V.profile_key([F.col("f0")])).join(pairs.select(F.col("m_pk").alias("pk")).distinct(), "pk", "left_semi").drop("pk"), "near_rows")
+        vec = self.cfg.vectorisers()
+        counts = stored(V.term_counts(V.profiles(self.m_rows, {"f0": F.col("f0")}), vec), "terms")
+        known = row_frequencies(words, counts.select("term"), v.longest).withColumn("idf", F.log((1 + F.lit(rows)) / (1 + F.col("df"))) + 1)
+        raw = F.col("tf") * F.col("idf")
+        norms = counts.join(known, "term").groupBy(F.col("pk").alias("m_pk")).agg(F.sqrt(F.sum(raw * raw)).alias("norm"))
+        return stored(pairs.join(norms, "m_pk").select("n_pk", "m_pk", (F.col("dot") / F.col("norm")).alias("s_f0")), "scores")
+
     def _posts(self, vec: DataFrame, exact: DataFrame) -> DataFrame:
         posts = V.postings(vec)
         return posts.join(exact, "pk") if self.exact else posts
@@ -136,16 +164,20 @@ class Matcher:
     def score(self, pairs: DataFrame) -> DataFrame:
         """Per-field cosine of profile pairs: (n_pk, m_pk, s_<field>...)."""
         fields = self.cfg.compared()
+        same = [f for f in self.cfg.fields() if f not in fields]
+        if self.near is not None:
+            return pairs.withColumns({f"s_{f}": F.col("s_f0") for f in same})
         left = V.packed(self.n_vec, fields).withColumnsRenamed({"pk": "n_pk"} | {f"v_{f}": f"n_{f}" for f in fields})
         right = V.packed(self.m_vec, fields).withColumnsRenamed({"pk": "m_pk"} | {f"v_{f}": f"m_{f}" for f in fields})
         both = pairs.join(left, "n_pk").join(right, "m_pk")
         scored = both.select("n_pk", "m_pk", *[V.dot(F.col(f"n_{f}"), F.col(f"m_{f}")).alias(f"s_{f}") for f in fields])
-        same = [f for f in self.cfg.fields() if f not in fields]
         return scored.withColumns({f"s_{f}": F.col("s_f0") for f in same})
 
     def candidates(self, threshold: float) -> DataFrame:
         """Profile pairs some field of which can reach the threshold; a weighted mean never exceeds its largest term."""
         low = threshold - EPS
+        if self.near is not None:
+            return self.near.filter(F.col("s_f0") >= low)
         n = self._posts(self.n_vec, self.n_exact).filter(F.col("tail") >= low)
         m = self._posts(self.m_vec, self.m_exact).filter(F.col("tail") >= low)
         return _pairs(n, m, self.exact, F.col("n.tail") * F.col("m.tail") >= low)
@@ -156,6 +188,8 @@ class Matcher:
         The ``probe`` rarest terms give k scored masters, hence a floor; only terms whose tail
         reaches the floor are then looked up. Without k masters the floor is 0 and every term is.
         """
+        if self.near is not None:
+            return self.near
         n = self._posts(self.n_vec, self.n_exact)
         m = self._posts(self.m_vec, self.m_exact)
         name = self.cfg.fields()[0]
@@ -189,7 +223,7 @@ def match(new: DataFrame, master: DataFrame, cfg: MatchConfig, threshold: float
     few = _match_capped(new, master, cfg, threshold, top_n)
     if few is not None:
         return few
-    m = Matcher(new, master, cfg)
+    m = Matcher(new, master, cfg, threshold, top_n)
     scored = m.combined(m.score(m.candidates(threshold)))
     # Rounded before ranking, so that equal scores tie whatever order their terms were added in.
     kept = scored.withColumn("similarity", F.round("similarity", 9)).filter(F.col("similarity") >= threshold)
@@ -238,7 +272,7 @@ def match_details(cfg: MatchConfig) -> Column:
 
 def match_baseline(new: DataFrame, master: DataFrame, cfg: MatchConfig, top_n: int = 3) -> DataFrame:
     """One joined text, no threshold: the best top_n masters, zero scores included."""
-    m = Matcher(new, master, cfg)
+    m = Matcher(new, master, cfg, most=top_n)
     name = cfg.fields()[0]
     scored = m.score(m.candidates_topk(top_n)).withColumn("similarity", F.round(f"s_{name}", 9)).filter(F.col("similarity") > 0)
     best = m.top_rows(scored.select("n_pk", "m_pk", "similarity"), top_n)
@@ -249,14 +283,14 @@ def _fill_zero(m: Matcher, best: DataFrame, top_n: int) -> DataFrame:
     """Items short of top_n take unscored masters of their block by id. The first 2n-1 of a block always suffice."""
     rows = best.groupBy("new_id").agg(F.count("*").alias("have"), F.collect_set("master_id").alias("seen"))
     short = m.n_rows.select(F.col("id").alias("new_id"), *m.exact).join(rows, "new_id", "left").withColumns(
-        {"have": F.coalesce("have", F.lit(0)), "seen": F.coalesce("seen", F.array().cast(f"array<{dict(m.m_rows.dtypes)['id']}>"))}).filter(F.col("have") < top_n)
+        {"have": F.coalesce("have", F.lit(0)), "seen": F.coalesce("seen", F.array().cast(f"array<{dict(m.all_rows.dtypes)['id']}>"))}).filter(F.col("have") < top_n)
     out = best
     for mask in product([False, True], repeat=len(m.exact)):
         used = [e for e, on in zip(m.exact, mask) if on]
         order = ", ".join(used)
         ranked = F.expr(f"row_number() OVER ({'PARTITION BY ' + order if used else ''} ORDER BY id)")
-        pool = m.m_rows.select("id", *used).orderBy("id").limit(2 * top_n - 1) if not used else (
-            m.m_rows.select("id", *used).withColumn("at", ranked).filter(F.col("at") <= 2 * top_n - 1).drop("at"))
+        pool = m.all_rows.select("id", *used).orderBy("id").limit(2 * top_n - 1) if not used else (
+            m.all_rows.select("id", *used).withColumn("at", ranked).filter(F.col("at") <= 2 * top_n - 1).drop("at"))
         pools = pool.groupBy(*used).agg(F.array_sort(F.collect_list("id")).alias("pool"))
         part = short.filter(_mask(m.exact, mask))
         got = part.join(pools, used) if used else part.crossJoin(F.broadcast(pools))
@@ -289,7 +323,7 @@ DEFAULT_THRESHOLDS = {"low": 0.2, "medium": 0.4, "high": 0.6}
 
 def recommend_threshold(sample: DataFrame, corpus: DataFrame, cfg: MatchConfig, max_results: int = 20) -> DataFrame:
     """Quartiles of the positive scores among each sampled row's best matches."""
-    m = Matcher(sample, corpus, cfg)
+    m = Matcher(sample, corpus, cfg, most=max_results)
     scored = m.score(m.candidates_topk(max_results)).withColumn("similarity", F.round(f"s_{cfg.fields()[0]}", 9))
     best = m.top_rows(scored.filter(F.col("similarity") > 0).select("n_pk", "m_pk", "similarity"), max_results)
     q = best.agg(F.percentile("similarity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))

@@ -73,7 +73,7 @@ def j01(spark, d):
 
 @query("j02_field_cosine", f"WITH {COS} SELECT new_id, master_id, round(s, 6) AS score FROM cos WHERE s >= 0.3")
 def j02(spark, d):
-    m = J.Matcher(passages(spark, d), documents(spark, d), FIELD)
+    m = J.Matcher(passages(spark, d), documents(spark, d), FIELD, 0.3)
     scored = m.score(m.candidates(0.3)).select("n_pk", "m_pk", F.round("s_f0", 9).alias("s")).filter("s >= 0.3")
     return J.expand_pairs(m, scored).select("new_id", "master_id", F.round("s", 6).alias("score"))
 
@@ -81,7 +81,7 @@ def j02(spark, d):
 @query("j03_weighted_mean", f"""
 WITH {COS} SELECT new_id, master_id, round(s, 6) AS s_f0, round(s, 6) AS s_description, round((0.8 * s + 0.6 * s) / 1.4, 6) AS similarity FROM cos WHERE s >= 0.4""")
 def j03(spark, d):
-    m = J.Matcher(passages(spark, d), documents(spark, d), FIELD)
+    m = J.Matcher(passages(spark, d), documents(spark, d), FIELD, 0.4)
     scored = m.combined(m.score(m.candidates(0.4))).filter(F.round("similarity", 9) >= 0.4)
     out = J.expand_pairs(m, scored)
     return out.select("new_id", "master_id", *[F.round(c, 6).alias(c) for c in ("s_f0", "s_description", "similarity")])

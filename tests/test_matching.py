@@ -136,3 +136,34 @@ def test_capped_match_with_few_new_texts_needs_no_join_of_terms(spark, monkeypat
         want = key(J.match(new, master, cfg, 0.3, 4))
     monkeypatch.setattr(J, "Matcher", None)
     assert want and key(J.match(new, master, cfg, 0.3, 4)) == want
+
+
+def test_few_new_texts_find_their_best_rows_by_bounds(spark, monkeypatch):
+    """The same pairs and scores as over the whole master's postings, with ties, copies, empty and null texts, and words seldom enough to be outside the table."""
+    from partwise.operators import reach
+
+    words = [f"w{i % 11}x" for i in range(97)] + [f"rare{i}" for i in range(60)]
+    text = lambda i: " ".join(words[(i * j * 7 + j) % len(words)] for j in range(1, 5 + i % 9))
+    master = spark.createDataFrame([(i, text(i % 150)) for i in range(200)] + [(900, None), (901, ""), (901, text(3)), (902, "w0x")], "m long, t string").repartition(5)
+    new = spark.createDataFrame([(i, text(i * 13)) for i in range(12)] + [(20, text(13)), (50, None), (51, "unknown words"), (52, "w1x w1x rare3")], "n long, t string")
+    key = lambda df: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect())
+    monkeypatch.setattr(reach, "FREQUENT_WORDS", 6)
+    monkeypatch.setattr(reach, "ROWS", 7)
+    monkeypatch.setattr(reach, "CELLS", 256)
+    monkeypatch.setattr(reach, "CHUNK", 16)
+
+    def results():
+        config = lambda v, describe: J.MatchConfig("n", "m", [("t", "t")], describe=describe, vectoriser=v)
+        yield key(J.match(new, master, config(V.FIELD_MATCH, True), 0.3, 4))
+        yield key(J.match_baseline(new, master, config(V.BASELINE, False), 3))
+        yield key(J.recommend_threshold(new, master, config(V.SIMILAR, False), 6))
+
+    with monkeypatch.context() as m:
+        m.setattr(J, "reachable", lambda *a: None)
+        want = list(results())
+    # Neither postings nor the vocabulary of the whole master are made.
+    monkeypatch.setattr(V, "vocabulary", None)
+    monkeypatch.setattr(V, "postings", None)
+    assert all(want) and list(results()) == want
+    monkeypatch.setattr(reach, "WANTED", 0)
+    assert next(results()) == want[0]
