@@ -416,34 +416,38 @@ def _text_strategy(source, target, source_id, target_id, cfg, threshold=0.5, top
                         F.col("similarity").alias("confidence"), F.lit("text_similarity").alias("strategy"))
 
 
-def _best_of(source: DataFrame, target: DataFrame, source_id: str, target_id: str, join, strategy: str) -> DataFrame:
-    """Best target of each source row by a join of their distinct keys; both have a column ``key``, ties go to the smallest target id."""
-    keyed = target.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min(target_id).alias("target_id"))
-    pairs = join(source.select("key").dropna().distinct(), keyed.select("key"))
+def _best_of(source: DataFrame, target: DataFrame, source_id: str, target_id: str, source_text: str, target_text: str, key, join, strategy: str) -> DataFrame:
+    """Best target of each source row by a join of their distinct keys; ties go to the smallest target id.
+
+    ``key`` makes the key of a text, null where it matches nothing; it is made once for each distinct text, not for each row.
+    """
+    texts = target.groupBy(F.col(target_text).alias("text")).agg(F.min(target_id).alias("target_id"))
+    keyed = stored(texts.select(key(F.col("text")).alias("key"), "target_id"), "target_keys").filter("key IS NOT NULL").groupBy("key").agg(F.min("target_id").alias("target_id"))
+    mine = stored(source.select(F.col(source_text).alias("text")).distinct().select("text", key(F.col("text")).alias("key")), "source_keys").filter("key IS NOT NULL")
+    pairs = join(mine.select("key").distinct(), keyed.select("key"))
     # One target per distinct source key, before any copies of the key come in.
     pick = F.max_by(F.struct("target_id", "similarity"), F.struct("similarity", -F.col("target_id")))
     best = pairs.join(keyed, pairs["right_id"] == keyed["key"]).withColumn("similarity", F.round("similarity", 9)).groupBy("left_id").agg(pick.alias("b"))
-    return source.join(best, source["key"] == best["left_id"]).select(
-        F.col(source_id).alias("source_id"), F.col("b.target_id").alias("target_id"), F.col("b.similarity").alias("confidence"), F.lit(strategy).alias("strategy"))
+    by_text = mine.join(best, mine["key"] == best["left_id"]).select("text", "b")
+    return source.select(F.col(source_id).alias("source_id"), F.col(source_text).alias("text")).join(by_text, "text").select(
+        "source_id", F.col("b.target_id").alias("target_id"), F.col("b.similarity").alias("confidence"), F.lit(strategy).alias("strategy"))
 
 
 def maker_match(source: DataFrame, target: DataFrame, source_id: str, target_id: str, source_maker: str, target_maker: str, threshold: float = 0.8) -> DataFrame:
     """Strategy: the target with the most alike maker name, by matching blocks of the names without their company forms; blank names match nothing."""
-    key = lambda c: F.nullif(maker_fingerprint(F.col(c)), F.lit(""))
+    key = lambda c: F.nullif(maker_fingerprint(c), F.lit(""))
     text = lambda df: df.select(F.col("key").alias("id"), F.col("key").alias("text"))
-    return _best_of(source.withColumn("key", key(source_maker)), target.withColumn("key", key(target_maker)), source_id, target_id,
-                    lambda a, b: similar_strings(text(a), text(b), threshold), "manufacturer")
+    return _best_of(source, target, source_id, target_id, source_maker, target_maker, key, lambda a, b: similar_strings(text(a), text(b), threshold), "manufacturer")
 
 
 def spec_match(source: DataFrame, target: DataFrame, source_id: str, target_id: str, source_spec: str, target_spec: str, threshold: float = 0.6) -> DataFrame:
     """Strategy: the target that shares most of the parsed features (nominal size, pressure, material, length, temperature) of a specification text."""
-    def key(c: str) -> Column:
-        found = [F.transform(v, lambda x: F.concat(F.lit(f"{k}="), x)) for k, v in spec_features(F.coalesce(F.col(c), F.lit(""))).items()]  # noqa: B023
+    def key(c: Column) -> Column:
+        found = [F.transform(v, lambda x: F.concat(F.lit(f"{k}="), x)) for k, v in spec_features(F.coalesce(c, F.lit(""))).items()]  # noqa: B023
         return F.nullif(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.array(*found)))), "|"), F.lit(""))
 
     sets = lambda df: df.select(F.col("key").alias("id"), F.split("key", r"\|").alias("tokens"))
-    return _best_of(source.withColumn("key", key(source_spec)), target.withColumn("key", key(target_spec)), source_id, target_id,
-                    lambda a, b: similar_sets(sets(a), sets(b), threshold), "specification")
+    return _best_of(source, target, source_id, target_id, source_spec, target_spec, key, lambda a, b: similar_sets(sets(a), sets(b), threshold), "specification")
 
 
 def _maker_strategy(source, target, source_id, target_id, cfg):

@@ -167,3 +167,14 @@ def test_few_new_texts_find_their_best_rows_by_bounds(spark, monkeypatch):
     assert all(want) and list(results()) == want
     monkeypatch.setattr(reach, "WANTED", 0)
     assert next(results()) == want[0]
+
+
+def test_keys_are_made_once_for_each_distinct_text(spark, monkeypatch):
+    """Copies of a specification or maker add rows, not keys; blank, null and key-less texts match nothing."""
+    kept, stored = {}, J.stored
+    monkeypatch.setattr(J, "stored", lambda df, label: kept.setdefault(label, stored(df, label)))
+    src = spark.createDataFrame([(i, ["DN50 PN16", "dn 50 pn16", "", None, "plain"][i % 5]) for i in range(50)], "s long, a string")
+    tgt = spark.createDataFrame([(i, ["DN50 PN16 L=2m", None, "DN50 PN16", "x"][i % 4]) for i in range(40)], "t long, b string")
+    got = {r.source_id: (r.target_id, r.confidence) for r in J.spec_match(src, tgt, "s", "t", "a", "b").collect()}
+    assert set(got) == {i for i in range(50) if i % 5 < 2} and set(got.values()) == {(2, 1.0)}
+    assert kept["source_keys"].count() == 5 and kept["target_keys"].count() == 4
