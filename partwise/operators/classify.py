@@ -288,7 +288,8 @@ def wide_keywords(items: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def spec_patterns(items: DataFrame) -> DataFrame:
-    """Spec keywords, then the regex families, in rule order; the first three count."""
+    """Spec keywords, then the regex families, in rule order; the first three count. Each distinct (spec, name) is read once, however many items have it."""
+    keys = [F.coalesce("spec", F.lit("")).alias("spec"), F.coalesce("name", F.lit("")).alias("name")]
     text, spec = item_text(spec_first=True), F.coalesce("spec", F.lit(""))
     rec = lambda c, conf, source: F.struct(F.lit(c).alias("category"), conf.alias("confidence"), F.lit(source).alias("source"))
     out = []
@@ -298,7 +299,8 @@ def spec_patterns(items: DataFrame) -> DataFrame:
     for _, pattern, cats in R.SPEC_FAMILIES:
         out += [F.when(spec.rlike("(?i)" + pattern), rec(c, F.lit(R.SPEC_PATTERN), "spec_pattern")) for c in cats]
     first = F.slice(F.array_compact(F.array(*out)), 1, 3)
-    got = items.select("item_id", F.posexplode(first).alias("place", "r"))
+    found = stored(items.select(*keys).distinct().select("spec", "name", first.alias("found")), "spec_patterns").filter(F.size("found") > 0)
+    got = items.select("item_id", *keys).join(found, ["spec", "name"]).select("item_id", F.posexplode("found").alias("place", "r"))
     return got.select("item_id", "r.category", F.round("r.confidence", 9).alias("confidence"), "r.source", "place", (F.col("place") + 1).alias("rank"))
 
 

@@ -8,6 +8,7 @@ from partwise.functions import records as REC
 from partwise.operators import classify as C
 from partwise.operators import quality as Q
 from partwise.rules import classification as R
+from partwise.rules import training as TR
 
 LABELLED = [
     ("304不锈钢疏水器", {"304"}), ("316L不锈钢法兰", {"316L"}), ("321不锈钢三通", {"321"}), ("碳钢螺塞", {"碳钢"}), ("20#钢管道", {"20#"}), ("Q235法兰", {"Q235"}),
@@ -78,3 +79,13 @@ def test_quality_of_a_full_record(spark):
     got = Q.assess(df, F.expr("timestamp_ntz'2024-10-01'")).first()
     assert (got.completeness, got.accuracy, got.consistency, got.richness, got.reliability) == pytest.approx((85, 90, 60, 16, 70))
     assert got.quality_grade == "C" and got.overall_score == pytest.approx(68.65)
+
+
+def test_spec_patterns_read_each_distinct_text_once(spark, monkeypatch):
+    kept, stored = {}, C.stored
+    monkeypatch.setattr(C, "stored", lambda df, label: kept.setdefault(label, stored(df, label)))
+    word = next(iter(TR.SPEC_RULES.values()))[0]
+    items = spark.createDataFrame([(i, ["zz", None, "zz"][i % 3], [word, word, None][i % 3]) for i in range(30)], "item_id long, name string, spec string")
+    got = C.spec_patterns(items).groupBy("item_id").count().collect()
+    assert {r.item_id for r in got} == {i for i in range(30) if i % 3 < 2}
+    assert kept["spec_patterns"].count() == 3
