@@ -115,7 +115,11 @@ def search_weights(features: DataFrame, candidates: list[dict[str, float]]) -> D
 
 
 def cross_validate(features: DataFrame, weights: dict[str, float], ident: str, folds: int = 5) -> list[float]:
-    """Held-out accuracy per fold of a logistic regression on the weighted features; folds by hashed id."""
+    """Held-out accuracy per fold of a logistic regression on the weighted features; folds by hashed id.
+
+    Held-out rows are scored by the coefficients as a column expression: the model's own transform
+    sends the model, its training summary and with that the session, which cannot be sent once the session has tags.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -123,9 +127,10 @@ def cross_validate(features: DataFrame, weights: dict[str, float], ident: str, f
     data = VectorAssembler(inputCols=list(weights), outputCol="features").transform(scaled)
     out = []
     for fold in range(folds):
-        train, held = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
+        train, held = data.filter(F.col("fold") != fold), scaled.filter(F.col("fold") == fold)
         model = LogisticRegression(maxIter=50, regParam=0.001).fit(train)
-        row = model.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()
+        margin = sum((F.col(k) * float(c) for k, c in zip(weights, model.coefficients)), F.lit(float(model.intercept)))
+        row = held.agg(F.avg(((margin > 0).cast("int") == F.col("label")).cast("double")).alias("a")).first()
         out.append(row["a"])
     return out
 
