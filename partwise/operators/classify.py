@@ -100,7 +100,8 @@ def _profiles(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct item texts with what every comparison needs, computed once."""
     have = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in items.columns else F.lit("").alias(c) for c in ITEM_TEXTS]
     keyed = items.select("item_id", *have).withColumn("pk", profile_key([F.col(c) for c in ITEM_TEXTS]))
-    one = keyed.groupBy("pk").agg(*[F.any_value(c).alias(c) for c in ITEM_TEXTS]).withColumn("low", F.lower(F.trim("name")))
+    # Distinct by the texts themselves, which are hashed; first values of text per key would sort all rows.
+    one = items.select(*have).distinct().withColumn("pk", profile_key([F.col(c) for c in ITEM_TEXTS])).withColumn("low", F.lower(F.trim("name")))
     feats = spec_features(F.col("spec"), F.col("dn"), F.col("pn"), F.col("material"))
     with_input = {k: F.filter(F.concat(feats[k], F.array(F.lower(F.col(k)))), lambda v: v != "") for k in ("dn", "pn", "material")}
     return keyed.select("item_id", "pk"), one.select(
@@ -199,11 +200,20 @@ def attributes(df: DataFrame) -> DataFrame:
 
 
 def material_classify(items: DataFrame, categories: DataFrame, top: int = 5) -> DataFrame:
-    """rule_classify on the name without its grades, then the grade bonus and family points, capped at 100 and ranked again."""
-    hits = items.withColumn("hits", G.grade_hits("name"))
+    """rule_classify on the name without its grades, then the grade bonus and family points, capped at 100 and ranked again.
+
+    Grades are read once for each distinct name, and the categories are ranked once for each
+    distinct set of texts, however many items have it.
+    """
+    have = [F.coalesce(F.col(c), F.lit("")).alias(c) if c in items.columns else F.lit("").alias(c) for c in ITEM_TEXTS]
+    texts = profile_key([F.col(c) for c in ITEM_TEXTS]).alias("texts")
+    one = stored(items.select(*have).distinct().select(texts, *ITEM_TEXTS), "texts")
+    # Written, so that the searches run once and not at every use of the hits.
+    hits = stored(one.select("name").distinct().withColumn("hits", G.grade_hits("name")), "grades")
     named = hits.withColumn("concept", G.core_concept(F.col("name"), F.col("hits")))
-    clean = named.withColumn("name", F.when(F.coalesce("concept", F.lit("")) != "", F.col("concept")).otherwise(F.col("name"))).drop("hits", "concept")
-    base = rule_classify(clean, categories, top).join(hits.select("item_id", "hits"), "item_id")
+    clean = stored(named.select("name", "hits", F.when(F.coalesce("concept", F.lit("")) != "", F.col("concept")).otherwise(F.col("name")).alias("clean")), "grades")
+    hits = one.join(clean, "name").select(F.col("texts").alias("item_id"), F.col("clean").alias("name"), *[c for c in ITEM_TEXTS if c != "name"], "hits")
+    base = rule_classify(hits.drop("hits"), categories, top).join(hits.select("item_id", "hits"), "item_id")
     low = F.lower("category")
     points = F.when(F.lit(False), 0.0)
     for family, rules in R.MATERIAL_BOOSTS:
@@ -218,7 +228,8 @@ def material_classify(items: DataFrame, categories: DataFrame, top: int = 5) ->
     key = (F.when((F.size("materials") > 0) & (c > R.MATERIAL_FROM), c + R.MATERIAL_GAIN)
            .when(contains_any(F.col("category"), R.RESORT_WORDS), c + R.RESORT_GAIN).otherwise(c))
     rank = F.expr("row_number() OVER (PARTITION BY item_id ORDER BY sort_key DESC, original_rank)")
-    return out.withColumn("sort_key", key).withColumn("rank", rank).drop("sort_key", "hits", "bonus")
+    best = out.withColumn("sort_key", key).withColumn("rank", rank).drop("sort_key", "hits", "bonus").withColumnRenamed("item_id", "texts")
+    return items.select("item_id", *have).select("item_id", texts).join(best, "texts").drop("texts")
 
 
 def compare(original: DataFrame, enhanced: DataFrame) -> DataFrame:
