@@ -96,6 +96,7 @@ def industry_scores(df: DataFrame, by: str | None = None) -> DataFrame:
 
     Occurrences are counted over all rows and beyond ``DENSITY_ROWS`` scaled down to that many,
     so that a score says how dense an industry's indicators are, however many rows there are.
+    Rows alike in all columns are read once.
     """
     body = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), text(c)) for c in df.columns if c != by])
     keys = [by] if by else []
@@ -106,9 +107,9 @@ def industry_scores(df: DataFrame, by: str | None = None) -> DataFrame:
                 hits = [F.regexp_count(F.col("body"), F.lit("(?i)" + p)) for p in kinds[kind]]
             else:
                 hits = [_occurrences(F.col("body"), w) for w in kinds[kind]]
-            total = F.sum(sum(hits[1:], hits[0])) * F.least(F.lit(1.0), F.lit(float(DENSITY_ROWS)) / F.count("*"))
+            total = F.sum(sum(hits[1:], hits[0]) * F.col("n")) * F.least(F.lit(1.0), F.lit(float(DENSITY_ROWS)) / F.sum("n"))
             sums.append(F.least(total / len(kinds[kind]), F.lit(1.0)).alias(f"{name}_{kind}"))
-    flat = df.select(*keys, body.alias("body")).groupBy(*keys).agg(*sums)
+    flat = df.select(*keys, body.alias("body")).groupBy(*keys, "body").agg(F.count("*").alias("n")).groupBy(*keys).agg(*sums)
     rows = F.array(*[
         F.struct(F.lit(i).alias("rank"), F.lit(name).alias("industry"),
                  sum((F.col(f"{name}_{k}") * w for k, w in I.KIND_WEIGHTS.items()), F.lit(0.0)).alias("score"))

@@ -155,7 +155,7 @@ def two_voted(spark, d):
     alike = J.match(src, tgt, cfg, 0.6, 1).select(F.col("new_id").alias("item_id"), F.lit("tfidf_cosine").alias("method"), F.col("similarity").alias("score"))
     makers = J.maker_match(src, tgt, "source_id", "target_id", "manufacturer", "manufacturer").select(
         F.col("source_id").alias("item_id"), F.lit("fuzzy_string").alias("method"), F.col("confidence").alias("score"))
-    return two, industries, C.vote(two, C.apply_source_rules(two, rules, FIELDS, alike.unionByName(makers)))
+    return two, industries, C.vote_by_source(two, rules, FIELDS, alike.unionByName(makers))
 
 
 def _listed(values: list[str]) -> str:

@@ -35,3 +35,19 @@ def test_material_classifier_reads_a_name_once(spark, monkeypatch):
     assert all(sorted(v) == sorted(of[i, 0]) for (i, _), v in of.items()) and len(of) % 20 == 0
     best = {i: sorted(of[i, 0])[0] for i in (0, 2)}
     assert best[0][1] == "疏水阀" and best[2][1] == "球阀"
+
+
+def test_sources_are_voted_once_for_each_text(spark, monkeypatch):
+    from partwise.operators import templates as T
+
+    rows = counted(monkeypatch, T)
+    fields = ["material_name", "specification", "category", "manufacturer"]
+    texts = [("a", "球阀 DN25", "DN25 PN16", "", "x"), ("a", "", "", "", ""), ("a", None, "", "", ""), ("b", "球阀", "5mg/ml", "", "")]
+    items = spark.createDataFrame([(s, i * 100 + k, *x) for k in range(10) for i, (s, *x) in enumerate(texts)], "source_id string, item_id long, material_name string, specification string, category string, manufacturer string")
+    industries = spark.createDataFrame([("a", "manufacturing"), ("b", "medical")], "source_id string, industry string")
+    rules = T.source_rules(items, industries, T.industry_rules(spark), fields)
+    similar = spark.createDataFrame([(1, "fuzzy_string", 0.9), (1, "fuzzy_string", 0.95), (301, "fuzzy_string", 0.9)], "item_id long, method string, score double")
+    show = lambda df: sorted((r.item_id, r.level1, r.level2, round(r.confidence, 9), r.rules_matched) for r in df.collect())
+    got = show(T.vote_by_source(items, rules, fields, similar))
+    assert rows["texts"] == [5]  # null and empty are one text; items 1 and 301 differ from their copies in what was found for them
+    assert got == show(T.vote(items, T.apply_source_rules(items, rules, fields, similar))) and len(got) == 40
