@@ -68,10 +68,10 @@ class Duplicates:
             maker_fingerprint(F.col("manufacturer")).alias("maker"), F.lower(blank("type")).alias("type"),
             canonical_unit(F.col("unit")).alias("unit"), F.to_json(F.map_from_entries(attrs)).alias("attrs"))
         fields = ["name", "spec", "maker", "type", "unit", "attrs"]
-        keyed = rows.withColumn("pk", V.profile_key([F.col(c) for c in fields]))
-        self.rows = keyed.select("pk", "code", "source")
-        prof = keyed.groupBy("pk").agg(
-            *[F.any_value(c).alias(c) for c in fields], F.count("*").alias("n"), F.min("code").alias("node"))
+        pk = V.profile_key([F.col(c) for c in fields]).alias("pk")
+        self.rows = rows.select(pk, "code", "source")
+        # Grouped by the fields themselves, which are hashed; first values of text per key would sort all rows.
+        prof = rows.groupBy(*fields).agg(F.count("*").alias("n"), F.min("code").alias("node")).select(pk, *fields, "n", "node")
         self.profiles = cut_lineage(prof.withColumn("attrs", F.from_json("attrs", "map<string,string>")))
         counts = stored(V.term_counts(self.profiles, VECTORISERS), "terms")
         vocab = V.vocabulary(counts, df, VECTORISERS)
@@ -284,16 +284,15 @@ def enrich_groups(decided: DataFrame, master_rows: DataFrame, catalog: DataFrame
 
     ``master_rows`` is (master, name, spec), ``catalog`` is (id, name, spec, category). One
     distinct category over all hits raises the score and proposes merging into it. Blank text
-    looks nothing up. The catalog is reduced to distinct (text, category) first, so neither
+    looks nothing up. The catalog is reduced to distinct (text, category) first and written, so neither
     copies of a text nor a master's number of hits are ever listed.
     """
     cats = None
     for c in ("name", "spec"):
         keys = master_rows.filter(F.col(c) != "").select(F.col(c).alias("key"), "master")
-        of_text = catalog.filter(F.col(c) != "").select(F.md5(c).alias("text_id"), F.col(c).alias("text"), "category")
-        known = of_text.select("text_id", "category").distinct()
-        got = containment(of_text.groupBy("text_id").agg(F.any_value("text").alias("text")), keys.select("key"))
-        per_key = got.join(known, "text_id").select("key", "category").distinct()
+        known = stored(catalog.filter(F.col(c) != "").select(F.col(c).alias("text"), "category").distinct().withColumn("text_id", F.md5("text")), "catalog")
+        got = containment(known.select("text_id", "text").distinct(), keys.select("key"))
+        per_key = got.join(known.drop("text"), "text_id").select("key", "category").distinct()
         part = per_key.join(keys, "key").select("master", "category")
         cats = part if cats is None else cats.unionByName(part)
     cats = cats.groupBy("master").agg(F.array_sort(F.collect_set("category")).alias("existing_categories"))
@@ -329,6 +328,6 @@ def merge_map(members: DataFrame, requested: DataFrame) -> DataFrame:
     """One row per merged code of the requested groups; an unknown group is reported with status not_found."""
     merged = requested.join(members, "master").filter(F.col("code") != F.col("master")).select(
         "master", F.col("code").alias("merged_code"), F.lit("merged").alias("status"))
-    unknown = requested.join(members, "master", "left_anti").select(
+    unknown = requested.join(members.select("master").distinct(), "master", "left_anti").select(
         "master", F.lit(None).cast("bigint").alias("merged_code"), F.lit("not_found").alias("status"))
     return merged.unionByName(unknown)

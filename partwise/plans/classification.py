@@ -17,7 +17,7 @@ from partwise.rules import extraction as X
 from partwise.rules import manufacturing as MF
 from partwise.rules import medical as MD
 from partwise.rules import training as TR
-from partwise.session import table
+from partwise.session import stored, table
 
 CATEGORY_ROWS = """SELECT category, min(level) AS level, '' AS description FROM (SELECT category, 2 AS level FROM {items} UNION ALL SELECT type, 1 FROM {items} UNION ALL
  SELECT noun, 3 FROM {nouns}) GROUP BY category"""
@@ -183,10 +183,12 @@ def mapping(spark, d):
     return spark.sql(MAPPING_ROWS.format(part="{part}"), part=table(spark, d, "part"))
 
 
-def lists(spark, d):
-    i, c = it(spark, d), cats(spark, d)
+def lists(spark, d, wanted=None):
+    """Items and their recommendations; of the items ``wanted`` (item_id) alone, with what all items say of categories and makers."""
+    every, c = it(spark, d), cats(spark, d)
+    i = every if wanted is None else stored(every.join(wanted, "item_id", "left_semi"), "wanted")
     lex = C.lexicon(c)
-    return i, [C.wide_keywords(i, lex), C.keyword_recommendation(i, trained_rules(spark), lex, c), C.spec_patterns(i), C.maker_recommendation(i, mapping(spark, d), i)]
+    return i, [C.wide_keywords(i, lex), C.keyword_recommendation(i, trained_rules(spark), lex, c), C.spec_patterns(i), C.maker_recommendation(i, mapping(spark, d), every)]
 
 
 @query("c09_trained_keywords", f"WITH {BASE}, {TRAINED}, {TEXTS} SELECT item_id, category, round(least(sum(rc * 0.25), 1.0), 6)::DOUBLE AS confidence FROM texts JOIN rules ON contains(text, lower(key)) GROUP BY 1, 2")
@@ -245,8 +247,8 @@ RESULTS = f"""{MERGED}, {SRC}, {scored('src')}, res AS (SELECT item_id, category
  SELECT item_id, category, confidence, '{NAMES[3]}', 3 FROM ma WHERE rank = 1)"""
 
 
-def results(spark, d):
-    i, ls = lists(spark, d)
+def results(spark, d, wanted=None):
+    i, ls = lists(spark, d, wanted)
     ranked = C.rule_classify(i, cats(spark, d)).withColumn("confidence", F.col("confidence") / 100)
     out = None
     for place, (name, df) in enumerate(zip(NAMES, [C.merge_mean(i, ls), ranked, ls[2], ls[3]])):

@@ -12,7 +12,7 @@ from partwise.plans import tfidf_sql as S
 from partwise.plans.classification import CASCADE, results
 from partwise.plans.registry import query
 from partwise.rules.classification import FAILED
-from partwise.session import table
+from partwise.session import stored, table
 
 PARTS = """SELECT p_partkey AS code, replace(p_name, ' ', '') AS name, p_type || ' ' || p_brand || ' ' || p_name AS spec, p_brand AS manufacturer,
  p_type AS type, CASE WHEN p_size % 2 = 0 THEN 'pcs' ELSE '个' END AS unit, CASE p_partkey % 4 WHEN 0 THEN 'ERP' WHEN 1 THEN 'PLM' WHEN 2 THEN 'PDM' ELSE 'WMS' END AS source
@@ -59,7 +59,7 @@ class Run:
         self.pairs = J.cut_lineage(self.dup.pairs())
         self.groups = J.cut_lineage(self.dup.groups(self.pairs))
         self.decided = J.cut_lineage(J.decide(self.dup.group_scores(self.groups)))
-        self.members = J.member_rows(self.dup, self.groups)
+        self.members = stored(J.member_rows(self.dup, self.groups), "members")
         self.catalog = table(spark, d, "part").select(
             F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("")).alias("name"), F.lit("").alias("spec"),
             F.when(F.expr("p_name LIKE '%ring'"), F.lit("rings")).otherwise(F.col("p_type")).alias("category"))
@@ -70,7 +70,8 @@ class Run:
         return J.enrich_groups(self.decided, keys, self.catalog)
 
     def recommended(self):
-        answers = C.priority_cascade(*results(self.spark, self.d)).filter(F.col("category") != FAILED)
+        masters = self.decided.select(F.col("master").alias("item_id"))
+        answers = C.priority_cascade(*results(self.spark, self.d, masters)).filter(F.col("category") != FAILED)
         return J.recommend_actions(self.enriched(), answers.select(F.col("item_id").alias("master"), "category"))
 
 

@@ -51,3 +51,15 @@ def test_sources_are_voted_once_for_each_text(spark, monkeypatch):
     got = show(T.vote_by_source(items, rules, fields, similar))
     assert rows["texts"] == [5]  # null and empty are one text; items 1 and 301 differ from their copies in what was found for them
     assert got == show(T.vote(items, T.apply_source_rules(items, rules, fields, similar))) and len(got) == 40
+
+
+def test_catalog_is_written_distinct(spark, monkeypatch):
+    from partwise.operators import dedup as J
+
+    rows = counted(monkeypatch, J)
+    catalog = spark.createDataFrame([(i, "steel bolt", "", "a" if i % 2 else "b") for i in range(20)] + [(20, "ring", "", "a")], "id long, name string, spec string, category string")
+    decided = spark.createDataFrame([(1, 0.7, "manual_review"), (2, 0.7, "manual_review")], "master long, similarity double, action string")
+    keys = spark.createDataFrame([(1, "bolt", ""), (2, "ring", "")], "master long, name string, spec string")
+    got = {r.master: (r.existing_categories, r.action) for r in J.enrich_groups(decided, keys, catalog).collect()}
+    assert rows["catalog"] == [3, 0]
+    assert got == {1: (["a", "b"], "manual_review"), 2: (["a"], "merge_with_existing")}
